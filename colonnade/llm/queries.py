@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colonnade.llm import packing
+from colonnade.llm import mixing, packing
 from colonnade.session import table
 
 
@@ -10,9 +10,16 @@ def op1_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op7_mixing": op7_mixing,
 }
 
 #: DuckDB SQL for the queries that SQL can express at whole-table cost.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_mixing": mixing.ORACLE_SQL,
+}
