@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colonnade.llm import mixing, packing
+from colonnade.llm import media, mixing, packing, sharding
 from colonnade.session import table
 
 
@@ -10,13 +10,23 @@ def op1_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_sharding(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_tiff(spark, sf_dir):
+    return media.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op5_sharding": op5_sharding,
     "op7_mixing": op7_mixing,
+    "op9_tiff": op9_tiff,
 }
 
 #: DuckDB SQL for the queries that SQL can express at whole-table cost.
