@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colonnade.llm import media, mixing, packing, sharding
+from colonnade.llm import language, media, mixing, packing, sharding
 from colonnade.session import table
 
 
@@ -14,6 +14,10 @@ def op5_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,7 @@ def op9_tiff(spark, sf_dir):
 QUERIES = {
     "op1_packing": op1_packing,
     "op5_sharding": op5_sharding,
+    "op6_language": op6_language,
     "op7_mixing": op7_mixing,
     "op9_tiff": op9_tiff,
 }
