@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colonnade.llm import language, media, mixing, packing, sharding
+from colonnade.llm import jaccard, language, media, mixing, packing, pii, sharding
 from colonnade.session import table
 
 
@@ -22,16 +22,26 @@ def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard(spark, sf_dir):
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op9_tiff(spark, sf_dir):
     return media.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark, sf_dir):
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op5_sharding": op5_sharding,
     "op6_language": op6_language,
     "op7_mixing": op7_mixing,
+    "op8_jaccard": op8_jaccard,
     "op9_tiff": op9_tiff,
+    "op10_pii": op10_pii,
 }
 
 #: DuckDB SQL for the queries that SQL can express at whole-table cost.
