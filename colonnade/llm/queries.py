@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colonnade.llm import jaccard, language, media, mixing, packing, pii, sharding
+from colonnade.llm import html, jaccard, language, media, mixing, packing, pii, sharding, simhash
 from colonnade.session import table
 
 
@@ -10,6 +10,14 @@ def op1_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_html(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_simhash(spark, sf_dir):
+    return simhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -36,6 +44,8 @@ def op10_pii(spark, sf_dir):
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_html": op3_html,
+    "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op6_language": op6_language,
     "op7_mixing": op7_mixing,
