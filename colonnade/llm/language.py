@@ -32,10 +32,10 @@ BITS = 31
 SAMPLE_CELLS = 512
 MAX_LANGUAGES = 512
 BLOCK = 48
-PART = 1 << 16
 UNKNOWN = "und"
 SMOOTHING = 0.2
 AMBIGUOUS = 0.75
+REJECT_BELOW = 0.2
 WINDOW = 60
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, runner_up string, ambiguous boolean"
@@ -172,33 +172,38 @@ def fit_counts(languages: list[str], table: np.ndarray, windows: list[tuple[int,
     return model
 
 
+def judge(model: Model, texts: pa.Array, runner_up: bool = False) -> tuple:
+    """Languages and scores of a column of texts, and the runners-up if asked for; counted in blocks of BLOCK."""
+    lang, second, score = [UNKNOWN] * len(texts), [None] * len(texts), np.zeros(len(texts))
+    block: list[tuple[int, str]] = []
+
+    def settle() -> None:
+        best, other, p = model.decode(counts_of([t for _, t in block]))
+        for (i, _), k, m, s in zip(block, best.tolist(), other.tolist(), p.tolist(), strict=True):
+            lang[i], score[i] = model.languages[k], s
+            second[i] = model.languages[m] if m != k else None
+        block.clear()
+
+    for i, text in enumerate(texts):
+        text = text.as_py()
+        if model.languages and text and has_letter(text):
+            block.append((i, text))
+            if len(block) == BLOCK:
+                settle()
+    if block:
+        settle()
+    return (lang, score, second) if runner_up else (lang, score)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document (SCHEMA): language, score and whether the runner-up comes close."""
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("runner_up", pa.string()), ("ambiguous", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, held = b.column(0), b.column(1)
-            lang, second, score = [UNKNOWN] * len(ids), [None] * len(ids), np.zeros(len(ids))
-            block: list[tuple[int, str]] = []
-
-            def settle() -> None:
-                best, next_, p = model.decode(counts_of([t for _, t in block]))
-                for (i, _), k, m, s in zip(block, best.tolist(), next_.tolist(), p.tolist(), strict=True):
-                    lang[i], score[i] = model.languages[k], s
-                    second[i] = model.languages[m] if m != k else None
-                block.clear()
-
-            for i, text in enumerate(b.column(2)):
-                text = text.as_py()
-                if model.languages and text and has_letter(text):
-                    block.append((i, text))
-                    if len(block) == BLOCK:
-                        settle()
-            if block:
-                settle()
+            lang, score, second = judge(model, b.column(2), runner_up=True)
             unsure = pa.array([k == UNKNOWN or bool(s < AMBIGUOUS) for k, s in zip(lang, score, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([ids, held, pa.array(lang, pa.string()), pa.array(score), pa.array(second, pa.string()), unsure], schema=out)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score), pa.array(second, pa.string()), unsure], schema=out)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
@@ -206,3 +211,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def identify(docs: DataFrame) -> DataFrame:
     """Fits on the labelled rows that are not held out and predicts all rows."""
     return predict(docs, fit(docs))
+
+
+def keep_identified(docs: DataFrame, floor: float = REJECT_BELOW) -> DataFrame:
+    """The rows of docs whose language is known: not ``und``, and with a score of at least floor. A null lang is filled in; nothing else changes."""
+    model, names = fit(docs), docs.columns
+    at, lang_at = names.index("text"), names.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            best, score = judge(model, b.column(at))
+            keep = [k != UNKNOWN and s >= floor for k, s in zip(best, score, strict=True)]
+            cols = list(b.columns)
+            cols[lang_at] = pa.array([k if v is None else v for k, v in zip(best, cols[lang_at].to_pylist(), strict=True)], b.schema.field(lang_at).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -11,7 +11,7 @@ it. So a source's taken words equal its rounded target.
 
 Scale: the text column is only counted, never shuffled. Running sums are made within (source, cell), where a cell is one of
 4096 by hash, and a table of cell sums gives each cell its start, so a source with a third of all rows is spread over 4096
-groups. The source table is joined by a null-safe equi-join; adaptive execution broadcasts it when it is small.
+groups. Targets join that table, and rows meet it once, on the keys of the running sums, so rows are shuffled once.
 
 Defined results: null text has size 0 and takes nothing; a null source is a source of its own, last in order; repeated rows count
 once each; an empty table gives an empty result; other columns of the input do not matter, whatever their names.
@@ -63,11 +63,11 @@ def mix(
     targets = targets.withColumn("whole", whole).withColumn("cut", F.round("target").cast("long") - F.col("whole") * F.col("source_size"))
     cells = rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     order = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(F.col("source").alias("c_source"), F.col("cell").alias("c_cell"), F.coalesce(F.sum("cell_size").over(order), F.lit(0)).alias("base"))
-    within = Window.partitionBy("source", "cell").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumn("end", F.sum("size").over(within)).join(cells, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("cell") == F.col("c_cell")))
+    cells = cells.select("source", "cell", F.coalesce(F.sum("cell_size").over(order), F.lit(0)).alias("base"))
     t = targets.select(F.col("source").alias("t_source"), "source_size", "target", "whole", "cut")
-    joined = placed.join(t, F.col("source").eqNullSafe(F.col("t_source")))
+    cells = cells.join(t, F.col("source").eqNullSafe(F.col("t_source"))).select(F.col("source").alias("c_source"), F.col("cell").alias("c_cell"), "base", "source_size", "target", "whole", "cut")
+    within = Window.partitionBy("source", "cell").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = rows.withColumn("end", F.sum("size").over(within)).join(cells, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("cell") == F.col("c_cell")))
     start = F.col("base") + F.col("end") - F.col("size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("cut") - start)).cast("long")
     taken = F.col("whole") * F.col("size") + F.col("part")
@@ -79,13 +79,16 @@ def materialize(docs: DataFrame, **options) -> DataFrame:
 
     A repetition that is taken in part keeps the text up to the end of its last word taken. ``n_chars`` follows the text where there is such a column.
     """
-    mixed = mix(docs, keep=tuple(docs.columns), **options)
+    names = docs.columns
+    safe = docs.select("doc_id", "source", "text", *[F.col(c).alias(f"own_{i}") for i, c in enumerate(names)])
+    mixed = mix(safe, keep=tuple(f"own_{i}" for i in range(len(names))), **options)
     copies = mixed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("whole")))).where((F.col("copy") < F.col("whole")) | (F.col("part") > 0))
     cut = (F.col("copy") == F.col("whole")) & (F.col("part") < F.col("size"))
-    text = F.when(cut, first_words(F.col("text"), F.col("part"))).otherwise(F.col("text"))
-    out = {c: F.col(c) for c in docs.columns} | {"text": text}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(cut, F.char_length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    own = {c: F.col(f"own_{i}") for i, c in enumerate(names)}
+    text = F.when(cut, first_words(own["text"], F.col("part"))).otherwise(own["text"])
+    out = own | {"text": text}
+    if "n_chars" in names:
+        out["n_chars"] = F.when(cut, F.char_length(text)).otherwise(own["n_chars"]).cast(docs.schema["n_chars"].dataType)
     return copies.select(*[v.alias(k) for k, v in out.items()])
 
 
