@@ -1,8 +1,53 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language ID, near-duplicate removal, redaction, mixing of sources, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; run() writes every stage's result as Parquet to the
+shared folder and reads it again, so a lost executor costs a stage's tasks at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from colonnade.llm import stages
+from colonnade.llm.jaccard import shared_table
+from colonnade.session import table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told go."""
+    return stages.identified(docs)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return stages.one_of_each_group(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by the names of its kinds."""
+    return stages.redacted(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated, and one of each source cut, to meet the sources' targets."""
+    return stages.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the training sequences."""
+    return stages.packed(docs)
+
+
+STAGES = [("language ID", language_id), ("n-gram Jaccard join", jaccard_join), ("PII", personal_data), ("mixing sources to target weights", mix_sources), ("packing", pack)]
+
+#: Classifiers, components and token ids are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = shared_table(docs)
+    return docs
