@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from colonnade.plans import aggregates, codec_runs, joins, ordering, scalars, storage  # noqa: F401  they register
+from colonnade.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
