@@ -76,12 +76,14 @@ def a11(spark, d):
     return o.groupBy(F.col("grp").alias("block")).agg(F.max(bits.bit_width(F.col("repo_id"))).alias("width"), F.count("*").alias("n")).select("block", "width", bits.packed_bytes(F.col("n"), F.col("width")).alias("bytes"))
 
 
-_SEC = "s AS (SELECT epoch_s::BIGINT AS sec, count(*)::BIGINT AS cnt FROM ev WHERE pos < 200 GROUP BY 1)"
+_SEC = "s AS (SELECT epoch_s::BIGINT AS sec, count(*)::BIGINT AS cnt FROM ev GROUP BY 1), r AS (SELECT unnest(range((SELECT min(sec) FROM s), (SELECT max(sec) + 1 FROM s))) AS sec), h AS (SELECT r.sec, coalesce(cnt, 0) AS cnt FROM r LEFT JOIN s USING (sec))"
 
 
-@query("a12_dense_histogram", "WITH {EV}, " + _SEC + ", r AS (SELECT unnest(range((SELECT min(sec) FROM s), (SELECT max(sec) + 1 FROM s))) AS sec) SELECT r.sec::BIGINT AS sec, coalesce(cnt, 0)::BIGINT AS cnt FROM r LEFT JOIN s USING (sec)")
+@query("a12_dense_histogram", "WITH {EV}, " + _SEC + " SELECT (sec // 86400)::BIGINT AS day, count(*)::BIGINT AS seconds, sum(cnt)::BIGINT AS events, count(*) FILTER (cnt = 0)::BIGINT AS empty FROM h GROUP BY 1")
 def a12(spark, d):
-    return S.dense_histogram(events_view(spark, d).where("pos < 200").select(F.col("epoch_s").alias("sec")), "sec")
+    """Counts for every second, empty ones included, summed up by day."""
+    h = S.dense_histogram(events_view(spark, d).select(F.col("epoch_s").alias("sec")), "sec")
+    return h.groupBy(F.floor(F.col("sec") / 86400).alias("day")).agg(F.count("*").alias("seconds"), F.sum("cnt").alias("events"), F.count_if(F.col("cnt") == 0).alias("empty"))
 
 
 @query("a13_histogram_expansion", "WITH {EV} SELECT epoch_s::BIGINT AS sec FROM ev")
