@@ -133,12 +133,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     ``n_near`` is, for documents whose id is divisible by 20, how many other documents have fingerprints within RADIUS bits; else null.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = rows.where("doc_id IS NOT NULL").select("doc_id", F.char_length("text").cast("long").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
+    # no alias where none is needed, or the two joins' shuffles of the same rows would not be recognised as one
+    doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    rows = docs.select(doc_id, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    known = rows.where("doc_id IS NOT NULL")  # both joins below read the same shuffle of these
+    ids = known.select("doc_id", F.char_length("text").cast("long").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
     chain = next_ids(ids).checkpoint()
-    heads = rows.join(chain.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "n"), "doc_id").select("for_id", F.expr("left(text, cast(n div 3 AS int))").alias("head"))
+    heads = known.join(chain.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "n"), "doc_id").select("for_id", F.expr("left(text, cast(n div 3 AS int))").alias("head"))
     heads = heads.groupBy(F.col("for_id").alias("doc_id")).agg(F.min("head").alias("head"))
-    full = rows.join(heads, "doc_id", "left").withColumn("n_chars", F.char_length("text").cast("long"))
+    full = known.join(heads, "doc_id", "left").unionByName(rows.where("doc_id IS NULL").withColumn("head", F.lit(None).cast("string"))).withColumn("n_chars", F.char_length("text").cast("long"))
     edited = F.expr("concat(left(text, cast(n_chars - n_chars div 3 AS int)), left(coalesce(head, ''), cast(n_chars div 3 AS int)))")
     both = full.select("doc_id", "n_chars", "text", edited.alias("edited"))
     done = shared_table(both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fp"), fingerprint(F.col("edited")).alias("efp")))
