@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colonnade.llm import html, jaccard, language, media, mixing, packing, pii, sharding, simhash
+from colonnade.llm import chat, html, jaccard, language, media, mixing, packing, pii, sharding, simhash
 from colonnade.session import table
 
 
@@ -10,6 +10,10 @@ def op1_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_chat(spark, sf_dir):
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op3_html(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -44,6 +48,7 @@ def op10_pii(spark, sf_dir):
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_chat": op2_chat,
     "op3_html": op3_html,
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
@@ -56,5 +61,6 @@ QUERIES = {
 
 #: DuckDB SQL for the queries that SQL can express at whole-table cost.
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat": chat.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
 }
