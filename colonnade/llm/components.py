@@ -1,9 +1,9 @@
-"""Connected components of an edge table by alternating large and small stars.
+"""Connected components of an edge table.
 
-Each round joins every vertex's neighbours to the least vertex seen (first the larger neighbours, then the smaller ones) until the edges
-are stars around the least vertex of their component. Minima are made with map-side combining, so a vertex with very many
-edges is one partial row a task; its edges stay spread by the neighbour. Before that, each task contracts the edges it holds with a local
-union-find. Rounds are cut with checkpoint(); only counts reach the driver.
+Every task first contracts the edges it holds with a local union-find. While more than ``finish_at`` edges are left, alternating large and
+small stars join every vertex's neighbours to the least vertex seen; minima are made with map-side combining, so a vertex
+with very many edges is one partial row a task, and its edges stay spread by the neighbour. What is left, at most finish_at edges and so
+a bounded amount, is finished by one executor task. Rounds are cut with checkpoint(); only counts reach the driver.
 """
 
 from __future__ import annotations
@@ -37,36 +37,46 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[child], names[roots[child]]
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+FINISH_AT = 500_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch], hold: int = FINISH_AT) -> Iterator[pa.RecordBatch]:
     u = v = np.zeros(0, "i8")
     for b in batches:
         u, v = forest(np.concatenate((u, b.column(0).to_numpy())), np.concatenate((v, b.column(1).to_numpy())))
-        if len(u) > 500_000:  # a task holds a bounded part of the forest
+        if len(u) > hold:  # a task holds a bounded part of the forest
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
             u = v = np.zeros(0, "i8")
     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def stars(edges: DataFrame) -> DataFrame:
+    """One large and one small star step over edges (u, v) with u > v."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+    large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+    small = large.join(least, F.col("u") == F.col("k"))
+    return small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+
+def settled(edges: DataFrame) -> bool:
+    """Whether every vertex has one edge to a vertex that has none."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("n")), F.struct(F.col("v").alias("x"), F.lit(0).alias("n")))).alias("e")).groupBy("e.x").agg(F.sum("e.n").alias("up"), F.min("e.n").alias("least"))
+    return not ends.where("up > 1 OR (up = 1 AND least = 0)").limit(1).count()
+
+
+def components(edges: DataFrame, rounds: int = 60, finish_at: int = FINISH_AT) -> DataFrame:
     """(u, component) of every vertex of edges (u long, v long) that is not its component's least vertex."""
-    spark = edges.sparkSession
-    shared_checkpoints(spark)
-    stars = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(_contract, "u long, v long").distinct().checkpoint()
-    last = None
+    shared_checkpoints(edges.sparkSession)
+    left = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(_contract, "u long, v long").checkpoint()
     for _ in range(rounds):
-        # u > v in every edge; stars are final when no v has a smaller neighbour and every u has one edge
-        state = stars.groupBy("u").agg(F.count("*").alias("n")).agg(F.count("*").alias("vertices"), F.sum("n").alias("edges"))
-        roots = stars.select("v").join(stars.select(F.col("u").alias("v")), "v", "left_semi").limit(1)
-        row = state.first()
-        if not row["vertices"] or (row["vertices"] == row["edges"] and not roots.count()):
-            last = stars
+        if left.count() <= finish_at:
+            left = left.coalesce(1).mapInArrow(_contract, "u long, v long").checkpoint()
+            break
+        if settled(left):
             break
-        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = large.join(least, F.col("u") == F.col("k"))
-        stars = small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
-    if last is None:
+        left = stars(left).checkpoint()
+    else:
         raise RuntimeError("components did not settle")
-    return last.select("u", F.col("v").alias("component"))
+    return left.select("u", F.col("v").alias("component"))

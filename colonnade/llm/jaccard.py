@@ -4,19 +4,20 @@ Two sets x, y are linked when |x & y| >= t * |x | y|. Under any total order of t
 |x| - ceil(t |x|) + 1 shingles. The order puts rare shingles first (a sketch of 2^20 counters over all documents, an upper bound of
 each count, then the hash), so that passages many documents share seldom reach a prefix. Stages:
 
-1. describe: one row per document with its set size, set digest, prefix and a parity bitmap of 2048 bits. Documents with equal sets are
+1. describe: one row per document with its set size, set digest, prefix and a parity bitmap. Documents with equal sets are
    one class; classes with identical prefixes and size are one group.
 2. post the prefix of each group under its shingles; runs of one group alone are dropped.
-3. Rounds of star pairs: within each run, sorted by size, every group is paired with the run's anchor if both can
-   still be linked by size and position; each document keeps its least anchor. Pairs whose bitmaps rule the link out go, the rest are
-   verified on whole sets, and linked documents merge. These rounds are linear in the postings however large a run is.
-4. A complete round: all pairs within a run that lie in different components still, expanded from groups to their members, filtered and
+3. Star rounds: within each run, sorted by size, every group is paired with one of the 64 before it, which one depending on the
+   run and the round. Pairs that sizes, positions or bitmaps rule out go; each document keeps the partner whose bitmap is nearest. These are
+   verified on whole sets, and linked documents merge. A round is linear in the postings however large a run is.
+4. A complete round: all pairs within a run that lie in different components still, groups expanded to their members, filtered and
    verified in the same way. So no link between different components is lost, while a large group of near copies, merged by then,
    is never expanded into its pairs.
 
-Scale: texts are read four times and shuffled once (those that take part in a pair surviving the filters); postings are the largest
-shuffle, a fifth of the shingles in size. Only the sketch's blocks (8 MB, whatever the input) reach the driver. Lineage is cut with tables
-and checkpoints in the shared folder of spark.checkpoint.dir.
+Scale: texts are read once for the sketch, once for the descriptions and once a round; before they are shuffled to be verified, a Bloom filter
+of fixed size lets only those through that take part in a pair. Postings are the largest shuffle, a fifth of the shingles in
+size. Only the blocks of the sketch and of the filters (8 MB and 4 MB, whatever the input) reach the driver. Lineage is cut with tables and
+checkpoints in the shared folder of spark.checkpoint.dir.
 
 Defined results: null texts and texts without words have n_shingles 0 and are linked with nothing; repeated rows of one doc_id give
 repeated rows of one component; rows with a null doc_id get size and a null component; an empty table gives an empty result; other columns
@@ -34,13 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colonnade.llm.batches import bounded_batches
 from colonnade.llm.components import components
-from colonnade.llm.shingles import shingle_set
+from colonnade.llm.shingles import mix, shingle_set
 from colonnade.session import shared_checkpoints
 
 SKETCH_BITS = 20
 SKETCH_BLOCKS = 64
-BITMAP_BITS = 2048
+BITMAP_BITS = (512, 2048, 8192)
+FILTER_BITS = 25
+RING = 64
+CELL_ROWS = 4096
+CHUNK_ROWS = 65_536
 SIZE = 5
 THRESHOLD = (80, 100)
 STAR_ROUNDS = 2
@@ -111,7 +117,21 @@ def in_order(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def parity(s: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((s & np.uint64(BITMAP_BITS - 1)).astype("i8"), minlength=BITMAP_BITS).astype("u1") & 1).tobytes()
+    """For each value of the low bits, whether the set has an odd number of such shingles; longer for larger sets."""
+    bits = next((b for b in BITMAP_BITS if len(s) <= b), BITMAP_BITS[-1])
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype("i8"), minlength=bits).astype("u1") & 1).tobytes()
+
+
+def bits_apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Differing bits of each pair of bitmaps, the longer one folded to the shorter: at most the size of the symmetric difference."""
+    out = np.zeros(len(x), "i8")
+    lengths = np.array([[len(v) for v in x], [len(v) for v in y]], "i8").reshape(2, -1)
+    for a, b in np.unique(lengths, axis=1).T.tolist():
+        rows = np.flatnonzero((lengths[0] == a) & (lengths[1] == b))
+        least = min(a, b)
+        p, q = (np.bitwise_xor.reduce(np.frombuffer(b"".join([v[i] for i in rows]), "u1").reshape(len(rows), -1, least), axis=1) for v in (x, y))
+        out[rows] = np.bitwise_count(p ^ q).sum(1, dtype="i8")
+    return out
 
 
 def describe(docs: DataFrame, rank: np.ndarray, threshold=THRESHOLD, size: int = SIZE) -> DataFrame:
@@ -141,7 +161,7 @@ def describe(docs: DataFrame, rank: np.ndarray, threshold=THRESHOLD, size: int =
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Blocks of columns that begin and end with a run of equal values in the first column (sorted by it)."""
+    """Blocks of columns that begin and end with a run of equal values in the first three columns (sorted by them)."""
     held: list[np.ndarray] | None = None
     for b in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
@@ -149,7 +169,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
             cols = [np.concatenate((h, c)) for h, c in zip(held, cols, strict=True)]
         if not len(cols[0]):
             continue
-        end = np.searchsorted(cols[0], cols[0][-1], side="left")
+        new = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1]))
+        end = int(new[-1]) + 1 if len(new) else 0
         if end:
             yield [c[:end] for c in cols]
         held = [c[end:] for c in cols]
@@ -180,37 +201,56 @@ def postings(groups: DataFrame) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "n", "lead").mapInArrow(shared, "token long, n long, pos long, lead long")
 
 
-def star_pairs(posts: DataFrame, threshold=THRESHOLD) -> DataFrame:
-    """(a, b): each row of a run with the run's anchor, in the order of sizes; a new anchor where size or position rules the link out."""
+def star_pairs(posts: DataFrame, turn: int, threshold=THRESHOLD) -> DataFrame:
+    """(a, b): each row of a run with one of the RING rows before it, if component, size and position allow."""
     num, den = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, anchor = None, None
+        token, chunk, ring = None, None, []
         for b in batches:
-            tokens, ns, ps, leads, comps = (c.to_numpy(zero_copy_only=False).tolist() for c in b.columns)
+            tokens, ns, ps, leads, comps, salts = (c.to_numpy(zero_copy_only=False).tolist() for c in b.columns)
             x, y = [], []
-            for t, n, p, lead, comp in zip(tokens, ns, ps, leads, comps, strict=True):
-                if t != token or anchor[0] * den < num * n:
-                    token, anchor = t, (n, p, lead, comp)
-                    continue
-                if comp != anchor[3] and 1 + min(n - p - 1, anchor[0] - anchor[1] - 1) >= overlap_needed(n, anchor[0], threshold):
-                    x.append(anchor[2])
-                    y.append(lead)
+            for t, n, p, lead, comp, salt in zip(tokens, ns, ps, leads, comps, salts, strict=True):
+                if t != token or salt != chunk:
+                    token, chunk, ring, draw = t, salt, [], (t ^ (t >> 17)) * 0x9E3779B1 + turn * 0x85EBCA6B
+                else:
+                    m, q, other, their = ring[(draw >> 7) % len(ring)]
+                    if comp != their and m * den >= num * n and 1 + min(n - p - 1, m - q - 1) >= overlap_needed(n, m, threshold):
+                        x.append(min(other, lead))
+                        y.append(max(other, lead))
+                ring.append((n, p, lead, comp))
+                if len(ring) > RING:
+                    ring.pop(0)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
-    return posts.mapInArrow(run, "a long, b long")
+    return posts.mapInArrow(run, "a long, b long").distinct()
+
+
+def mixed_runs(rows: DataFrame, bitmaps: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Rows (token, n, pos, lead, comp) of the runs that hold several components, with bitmaps, dealt into cells of bounded size.
 
+    A run of more than cell_rows rows is dealt into buckets, and each pair of buckets is a cell (lo, hi), so every pair of rows meets in
+    one cell and no task needs a whole run.
+    """
+    runs = rows.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("k")).where("c1 <> c2").select("token", F.ceil(F.col("k") / cell_rows).alias("m"))
+    kept = rows.join(runs, "token").withColumn("bucket", F.pmod(F.xxhash64("lead"), F.col("m")))
+    cells = kept.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    cells = cells.select("token", F.least("bucket", "other").alias("lo"), F.greatest("bucket", "other").alias("hi"), "n", "pos", "lead", "comp", "bucket")
+    return cells.join(bitmaps.select(F.col("doc_id").alias("lead"), "bitmap"), "lead").select("token", "lo", "hi", "n", "pos", "lead", "comp", "bucket", "bitmap")
 
-def all_pairs(posts: DataFrame, threshold=THRESHOLD, block: int = 2048) -> DataFrame:
-    """(a, b) of each run whose components differ and that size and position allow; runs are walked in blocks."""
+
+def all_pairs(cells: DataFrame, threshold=THRESHOLD, block: int = 256) -> DataFrame:
+    """(a, b) of each cell of mixed_runs whose components differ and that size, position and bitmaps allow; cells are walked in blocks."""
     num, den = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, n, p, lead, comp in _runs(batches):
-            cuts = np.concatenate(([0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]))
+        for token, lo, hi, n, p, lead, comp, bucket, bitmap in _runs(batches):
+            cuts = np.concatenate(([0], np.flatnonzero((token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1, [len(token)]))
+            x_out, y_out = [], []
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if (comp[s:e] == comp[s]).all():
                     continue
+                across = lo[s] != hi[s]
                 for i in range(s, e, block):
                     i2 = min(e, i + block)
                     for j in range(i, e, block):
@@ -218,34 +258,84 @@ def all_pairs(posts: DataFrame, threshold=THRESHOLD, block: int = 2048) -> DataF
                             break  # sorted by size: all further ones are too large
                         j2 = min(e, j + block)
                         ok = (comp[i:i2, None] != comp[None, j:j2]) & (n[i:i2, None] * den >= num * n[None, j:j2])
+                        if across:
+                            ok &= bucket[i:i2, None] != bucket[None, j:j2]
                         ok &= np.minimum(n[i:i2, None] - p[i:i2, None], n[None, j:j2] - p[None, j:j2]) >= overlap_needed(n[i:i2, None], n[None, j:j2], threshold)
                         if i == j:
                             ok &= np.triu(np.ones(ok.shape, bool), 1)
                         x, y = np.nonzero(ok)
-                        a, c = lead[i:i2][x], lead[j:j2][y]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
+                        x, y = x + i, y + j
+                        if len(x):
+                            near = n[x] + n[y] - 2 * overlap_needed(n[x], n[y], threshold) >= bits_apart([bitmap[k] for k in x], [bitmap[k] for k in y])
+                            x_out.append(lead[x[near]])
+                            y_out.append(lead[y[near]])
+            if x_out:
+                a, c = np.concatenate(x_out), np.concatenate(y_out)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
 
-    return posts.mapInArrow(run, "a long, b long")
+    dealt = cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "lead")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def plausible(pairs: DataFrame, bitmaps: DataFrame, threshold=THRESHOLD) -> DataFrame:
-    """Pairs (a, b) that the sizes and parity bitmaps of (doc_id, n, bitmap) do not rule out."""
+    """(a, b, apart): pairs (a, b) that the sizes and parity bitmaps of (doc_id, n, bitmap) do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
             n, m = b.column(2).to_numpy(), b.column(4).to_numpy()
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "u8").reshape(b.num_rows, -1) for k in (3, 5))
-            apart = np.bitwise_count(x ^ y).sum(1, dtype="i8")  # at most the size of the symmetric difference
+            apart = bits_apart(b.column(3).to_pylist(), b.column(5).to_pylist())
             need = overlap_needed(n, m, threshold)
             ok = (n + m - 2 * need >= apart) & (np.minimum(n, m) >= need)
-            yield b.select(["a", "b"]).filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(apart)], ["a", "b", "apart"]).filter(pa.array(ok))
 
     one = bitmaps.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("x"))
     two = bitmaps.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("y"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "x", "n_b", "y")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long, apart long")
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """For each document the pair (a, b, apart) with the nearest bitmap: at most one row for each document."""
+    ends = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("other"), "apart").union(pairs.select("b", "a", "apart"))
+    best = ends.groupBy("doc_id").agg(F.min(F.struct("apart", "other")).alias("m"))
+    return best.select(F.least("doc_id", "m.other").alias("a"), F.greatest("doc_id", "m.other").alias("b")).distinct()
+
+
+def passing(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of docs (doc_id, text) whose id may be among ids (doc_id): a Bloom filter of 2^bits bits, in blocks ORed by the executors."""
+    blocks, per = SKETCH_BLOCKS, (1 << bits) // 8 // SKETCH_BLOCKS
+
+    def places(a: pa.Array) -> np.ndarray:
+        return (mix(a.to_numpy(zero_copy_only=False).astype("i8").view("u8")) >> np.uint64(64 - bits)).astype("i8")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, any_ = np.zeros(1 << bits, bool), False
+        for b in batches:
+            table[places(b.column(0))] = True
+            any_ |= b.num_rows > 0
+        parts = np.packbits(table).reshape(blocks, per)
+        some = [k for k in range(blocks) if any_ and parts[k].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["block", "bits"])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held[k] = held.get(k, np.uint8(0)) | np.frombuffer(c, "u1")
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["block", "bits"])
+
+    table = np.zeros((blocks, per), "u1")
+    for r in ids.mapInArrow(mark, "block int, bits binary").repartition(blocks, "block").mapInArrow(unite, "block int, bits binary").collect():
+        table[r["block"]] = np.frombuffer(r["bits"], "u1")
+    flat = table.reshape(-1)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(b.column(0).is_valid())
+            at = places(b.column(0))
+            yield b.filter(pa.array((flat[at >> 3] >> (7 - (at & 7)).astype("u1") & 1).astype(bool)))
+
+    return docs.select("doc_id", "text").mapInArrow(keep, "doc_id long, text string")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold=THRESHOLD, size: int = SIZE) -> DataFrame:
@@ -271,8 +361,8 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold=THRESHOLD, size: int =
                 part = b.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), size).tobytes() for t in part.column(1)], pa.binary())], ["doc_id", "s"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    needed = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, s binary")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().checkpoint()
+    needed = passing(docs, ids).join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, s binary")
     needed = shared_table(needed.dropDuplicates(["doc_id"]))
     rows = pairs.join(needed.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b").join(needed.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
     return rows.select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
@@ -280,6 +370,7 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold=THRESHOLD, size: int =
 
 def link(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, size: int = SIZE, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = shared_table(describe(rows, sketch(rows, size=size), threshold, size))
     full = described.where("n > 0 AND doc_id IS NOT NULL")
@@ -291,6 +382,8 @@ def link(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, size: int =
     members = classes.join(groups.select("n", "p", "lead"), ["n", "p"]).select("lead", "class_id").where("lead <> class_id")
     bitmaps = full.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "bitmap").dropDuplicates(["doc_id"])
 
+    # runs beyond CHUNK_ROWS are walked in chunks by the star rounds; there are at most postings / CHUNK_ROWS of them
+    long_runs = posts.groupBy("token").count().where(F.col("count") > CHUNK_ROWS).select("token", F.ceil(F.col("count") / CHUNK_ROWS).alias("chunks"))
     merged = None  # (u, component) of classes that are linked to a lesser one
     for r in range(star_rounds + 1):
         rows_of_runs = posts
@@ -304,15 +397,17 @@ def link(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, size: int =
         if merged is not None:
             rows_of_runs = rows_of_runs.join(merged.select(F.col("u").alias("lead"), "component"), "lead", "left")
             comp = F.coalesce("component", "lead")
-        known = rows_of_runs.select("token", "n", "pos", "lead", comp.alias("comp")).repartition("token").sortWithinPartitions("token", "n", "lead")
+        known = rows_of_runs.select("token", "n", "pos", "lead", comp.alias("comp"))
         if r == star_rounds:
-            found = all_pairs(known, threshold).distinct()
+            found = all_pairs(mixed_runs(known, bitmaps), threshold)
         else:
-            found = star_pairs(known, threshold)
+            salt = F.coalesce(F.pmod(F.xxhash64("lead"), F.col("chunks")), F.lit(0).cast("long"))
+            chunks = known.join(long_runs, "token", "left").withColumn("salt", salt).select("token", "n", "pos", "lead", "comp", "salt")
+            found = star_pairs(chunks.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "lead"), r, threshold)
             if r == 0:
                 found = found.union(members.select("lead", "class_id"))
-            found = found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        found = plausible(found, bitmaps, threshold).checkpoint()
+            found = nearest(plausible(found, bitmaps, threshold))
+        found = found.checkpoint()
         if not found.limit(1).count():
             continue
         edges = verified(found, rows, threshold, size)

@@ -112,10 +112,38 @@ def test_components_of_a_long_path_and_a_star(spark):
     n = 300
     edges = [(i, i + 1) for i in range(n)] + [(1000, 1001 + i) for i in range(200)] + [(5000, 5000), (7, 3)]
     random.Random(1).shuffle(edges)
-    got = {r.u: r.component for r in components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()}
+    got = {r.u: r.component for r in components(spark.createDataFrame(edges, "u long, v long").repartition(7), finish_at=0).collect()}
     assert got == {i: 0 for i in range(1, n + 1)} | {1001 + i: 1000 for i in range(200)}
 
 
+@pytest.mark.parametrize("finish_at", [0, 10**6])
+def test_components_by_either_way(spark, finish_at):
+    rng = random.Random(9)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)]
+    parent = list(range(400))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    got = {r.u: r.component for r in components(spark.createDataFrame(edges, "u long, v long").repartition(5), finish_at=finish_at).collect()}
+    assert got == {x: root(x) for x in range(400) if root(x) != x}
+
+
+def test_cells_meet_every_pair_once(spark):
+    rows = [(7, 10, 0, i, i) for i in range(50)] + [(8, 10, 0, i, 1) for i in range(9)] + [(9, 10, 0, 3, 3), (9, 10, 0, 60, 4)]
+    docs = spark.createDataFrame(rows, "token long, n long, pos long, lead long, comp long")
+    bitmaps = spark.createDataFrame([(i, 10, bytearray(64)) for i in range(61)], "doc_id long, n long, bitmap binary")
+    cells = J.mixed_runs(docs, bitmaps, cell_rows=8)
+    assert max(r["count"] for r in cells.groupBy("token", "lo", "hi").count().collect()) < 40
+    got = sorted((r.a, r.b) for r in J.all_pairs(cells).collect())
+    assert got == sorted({(a, b) for a in range(50) for b in range(a + 1, 50)} | {(3, 60)})
+
+
 def test_prefix_lengths():
     for n in range(1, 200):
         k = J.prefix_length(n)
