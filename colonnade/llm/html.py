@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colonnade.llm.batches import bounded_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select datalist".split())
 BLOCK = frozenset(
@@ -401,6 +403,7 @@ SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks long"
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page (page_id, url, html): its main text (SCHEMA)."""
+    bounded_batches(pages.sparkSession)
     m = model()
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_blocks", pa.int64())])
 

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colonnade.llm.batches import bounded_batches
+
 BUCKETS = 1 << 14
 BITS = 31
 SAMPLE_CELLS = 512
@@ -114,6 +116,7 @@ def held_out(doc_id=None):
 def fit(docs: DataFrame) -> Model:
     """Learns from rows (doc_id, text, lang) that are not held out."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     able = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     draw = F.xxhash64("doc_id")
@@ -197,6 +200,7 @@ def judge(model: Model, texts: pa.Array, runner_up: bool = False) -> tuple:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document (SCHEMA): language, score and whether the runner-up comes close."""
+    bounded_batches(docs.sparkSession)
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("runner_up", pa.string()), ("ambiguous", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

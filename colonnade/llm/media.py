@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colonnade.llm.batches import bounded_batches
+
 # Fixed values of the format: tags, types and compression schemes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS = 256, 257, 258, 259, 262, 273
 CHANNELS, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 277, 278, 279, 284, 317
@@ -318,6 +320,7 @@ def store_texts(docs: DataFrame, *, compression: int = DEFLATE) -> DataFrame:
                     held, size = [], 0
             yield _batch(held, STORED)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "id long, n_bytes long, media binary")
 
 
@@ -359,6 +362,7 @@ def read_pages(media: DataFrame, id_col: str = "id", media_col: str = "media") -
                         held, size = [], 0
             yield _batch(held, PAGES)
 
+    bounded_batches(media.sparkSession)
     return media.select(F.col(id_col).cast("long"), F.col(media_col).cast("binary")).mapInArrow(run, PAGE_SCHEMA)
 
 
