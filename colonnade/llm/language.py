@@ -32,6 +32,7 @@ from colonnade.llm.batches import bounded_batches
 BUCKETS = 1 << 14
 BITS = 31
 SAMPLE_CELLS = 512
+FIT_TASKS = 32
 MAX_LANGUAGES = 512
 BLOCK = 48
 UNKNOWN = "und"
@@ -144,8 +145,13 @@ def fit(docs: DataFrame) -> Model:
         names = list(sums)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[k].tobytes() for k in names], pa.binary()), pa.array([windows[k] for k in names], pa.list_(pa.string()))], ["lang", "counts", "windows"])
 
-    per = sample.groupBy(F.col("lang"), F.pmod(F.xxhash64("text"), F.lit(8))).agg(F.collect_list("text").alias("t"))  # bounded by the sample
-    got = per.select("lang", F.explode("t").alias("text")).mapInArrow(count, "lang string, counts binary, windows array<string>").collect()
+    def total(table):
+        counts = sum(np.frombuffer(c, "i8") for c in table["counts"].to_pylist())
+        windows = sorted(w for ws in table["windows"].to_pylist() for w in ws)
+        return pa.table({"lang": table["lang"][:1], "counts": pa.array([counts.tobytes()], pa.binary()), "windows": pa.array([windows], pa.list_(pa.string()))})
+
+    dealt = sample.repartition(FIT_TASKS, F.col("lang"), F.pmod(F.xxhash64("text"), F.lit(4)))
+    got = dealt.mapInArrow(count, "lang string, counts binary, windows array<string>").groupBy("lang").applyInArrow(total, "lang string, counts binary, windows array<string>").collect()
     index = {k: i for i, k in enumerate(languages)}
     table = np.zeros((len(languages), BUCKETS))
     windows: list[tuple[int, str]] = []
