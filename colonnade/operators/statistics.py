@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ALL = Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def every() -> WindowSpec:
+    """All rows of a table of symbols."""
+    return Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def dense_histogram(df: DataFrame, bucket: str) -> DataFrame:
@@ -14,8 +17,8 @@ def dense_histogram(df: DataFrame, bucket: str) -> DataFrame:
     ends = counts.agg(F.min(bucket).alias("lo"), F.max(bucket).alias("hi"))
     step = 4096
     cells = ends.where("lo IS NOT NULL").select(F.explode(F.sequence("lo", "hi", F.lit(step).cast("bigint"))).alias("from"), "hi")
-    every = cells.repartition("from").select(F.explode(F.sequence("from", F.least("hi", F.col("from") + step - 1))).alias(bucket))
-    return every.join(counts, bucket, "left").select(bucket, F.coalesce("cnt", F.lit(0)).alias("cnt"))
+    seconds = cells.repartition("from").select(F.explode(F.sequence("from", F.least("hi", F.col("from") + step - 1))).alias(bucket))
+    return seconds.join(counts, bucket, "left").select(bucket, F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
 def expand_histogram(counts: DataFrame, bucket: str, chunk: int = 4096) -> DataFrame:
@@ -32,14 +35,14 @@ def cumulative(counts: DataFrame) -> DataFrame:
 
 def smoothed(counts: DataFrame, alphabet: int) -> DataFrame:
     """Every symbol of 0..alphabet-1, with a count of one at least."""
-    every = counts.sparkSession.range(alphabet).withColumnRenamed("id", "sym")
-    return every.join(counts, "sym", "left").select("sym", F.greatest(F.coalesce("cnt", F.lit(0)), F.lit(1)).alias("cnt"))
+    symbols = counts.sparkSession.range(alphabet).withColumnRenamed("id", "sym")
+    return symbols.join(counts, "sym", "left").select("sym", F.greatest(F.coalesce("cnt", F.lit(0)), F.lit(1)).alias("cnt"))
 
 
 def normalise_max(counts: DataFrame, scale: int) -> DataFrame:
     """Frequencies that sum to scale: rounded down, at least one, what is missing goes to the first most frequent symbol."""
-    base = counts.withColumn("total", F.sum("cnt").over(ALL)).withColumn("c", F.greatest(F.expr(f"cnt * {scale} div total"), F.lit(1)))
-    ranked = base.withColumn("rest", scale - F.sum("c").over(ALL)).withColumn("rk", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("c").desc(), "sym")))
+    base = counts.withColumn("total", F.sum("cnt").over(every())).withColumn("c", F.greatest(F.expr(f"cnt * {scale} div total"), F.lit(1)))
+    ranked = base.withColumn("rest", scale - F.sum("c").over(every())).withColumn("rk", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("c").desc(), "sym")))
     return ranked.select("sym", "cnt", (F.col("c") + F.when(F.col("rk") == 1, F.col("rest")).otherwise(0)).cast("bigint").alias("freq"))
 
 
@@ -49,17 +52,17 @@ def normalise_remainders(counts: DataFrame, scale: int) -> DataFrame:
     A deficit is dealt out in turns by remainder, count and symbol; a surplus is taken from the smallest remainders first, each drained to one.
     """
     one = Window.partitionBy(F.lit(1))
-    base = counts.withColumn("total", F.sum("cnt").over(ALL)).select("sym", "cnt", F.greatest(F.expr(f"cnt * {scale} div total"), F.lit(1)).alias("c"), F.expr(f"cnt * {scale} % total").alias("rem"))
+    base = counts.withColumn("total", F.sum("cnt").over(every())).select("sym", "cnt", F.greatest(F.expr(f"cnt * {scale} div total"), F.lit(1)).alias("c"), F.expr(f"cnt * {scale} % total").alias("rem"))
     up = F.row_number().over(one.orderBy(F.col("rem").desc(), F.col("cnt").desc(), "sym")) - 1
     drained = F.coalesce(F.sum(F.col("c") - 1).over(one.orderBy("rem", "cnt", "sym").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = base.withColumn("need", scale - F.sum("c").over(ALL)).withColumn("k", F.count("*").over(ALL)).withColumn("up", up).withColumn("drained", drained)
+    r = base.withColumn("need", scale - F.sum("c").over(every())).withColumn("k", F.count("*").over(every())).withColumn("up", up).withColumn("drained", drained)
     more = F.expr("c + need div k + CASE WHEN up < need % k THEN 1 ELSE 0 END")
     less = F.col("c") - F.greatest(F.lit(0), F.least(F.col("c") - 1, -F.col("need") - F.col("drained")))
     return r.select("sym", "cnt", F.when(F.col("need") >= 0, more).otherwise(less).cast("bigint").alias("freq"))
 
 
 def shares(counts: DataFrame) -> DataFrame:
-    return counts.withColumn("p", F.col("cnt") / F.sum("cnt").over(ALL))
+    return counts.withColumn("p", F.col("cnt") / F.sum("cnt").over(every()))
 
 
 def entropy(counts: DataFrame) -> DataFrame:

@@ -42,51 +42,51 @@ def column_values(sections: DataFrame, decode, group_rows: int) -> DataFrame:
     return sections.mapInArrow(back, "rn long, value long")
 
 
-#: name: (order keys, value, its SQL, layout)
+#: name: (order keys, value in SQL, layout)
 _S = ("id", "event_type")
 _P = ("pos",)
 COLUMN_CODECS = {
-    "b01_varint": (_S, F.col("pos"), "pos", C.DELTA_VARINT),
-    "b02_prefix_varint": (_S, F.col("pos"), "pos", C.DELTA_PREFIX),
-    "b03_reverse_varint": (_S, F.col("repo_id"), "repo_id", (I.reverse_varints_encode, I.reverse_varints_decode)),
-    "b04_bitpack": (_S, F.col("repo_id"), "repo_id", C.PACKED),
-    "b04b_bitpack_blocks": (_S, F.col("epoch_s"), "epoch_s", C.DELTA_BLOCKS),
-    "b05_u32_list": (_S, F.col("repo_id"), "repo_id", C.U32),
-    "b06_u24": (_S, F.col("repo_id"), "repo_id", C.U24),
-    "b06b_byte_planes": (_S, F.col("epoch_s"), "epoch_s", (lambda v: I.planes_encode(v, 5), lambda b, n: I.planes_decode(b, n, 5))),
-    "b06c_nibbles": (_S, F.col("repo_id") % 16, "repo_id % 16", C.NIBBLES),
-    "b07_categories": (_P, F.col("epoch_s"), "epoch_s", C.DELTA_CATEGORIES),
-    "b08_bitmap": (_S, F.col("repo_id") % 2, "repo_id % 2", (lambda v: I.bitmap_encode(v), I.bitmap_decode)),
-    "b09_interpolative": (_P, F.col("pos") * 3, "pos * 3", (I.interpolative_encode, I.interpolative_decode)),
-    "b10_arithmetic": (_S, F.col("repo_id"), "repo_id", C.ARITHMETIC),
-    "b11_adaptive": (_S, F.col("repo_id") % 256, "repo_id % 256", (E.adaptive_encode, E.adaptive_decode)),
-    "b12_ans_bytes": (_S, F.col("repo_id") % 256, "repo_id % 256", (lambda v: E.ans_encode(v, 12, 16, 256), E.ans_decode)),
-    "b13_ans_ranked": (_S, F.col("epoch_s") % 5000, "epoch_s % 5000", (E.ranked_ans_encode, E.ranked_ans_decode)),
-    "b14_ans_wide": (_S, F.col("repo_id"), "repo_id", (lambda v: E.ans_encode(v, 14, 20, 1024), lambda b, n: E.ans_decode(b, n, 14, 20))),
-    "b15_ans_escape": (_S, F.col("repo_id") * 7, "repo_id * 7", (E.escape_ans_encode, E.escape_ans_decode)),
-    "b16_ans_u16": (_S, F.col("repo_id") * 31, "repo_id * 31", (lambda v: E.ans_encode(v, 16, 24), lambda b, n: E.ans_decode(b, n, 16, 24))),
-    "b17_small_delta": (_S, F.col("repo_id") * 2 - 151, "repo_id * 2 - 151", (E.small_delta_encode, E.small_delta_decode)),
-    "b18_top_k_ans": (_S, F.col("repo_id") * 1000, "repo_id * 1000", (E.top_k_ans_encode, E.top_k_ans_decode)),
-    "b19_context_ans": (_S, F.col("repo_id") % 5, "repo_id % 5", (E.context_ans_encode, E.context_ans_decode)),
-    "b20_timestamps": (_S, F.col("epoch_s"), "epoch_s", C.TIMES),
-    "b21_event_ids": (_P, F.col("pos"), "pos", C.IDS),
-    "b24_delta_pack_zstd": (_S, F.col("epoch_s"), "epoch_s", (lambda v: C.compress(C.DELTA_PACKED[0](v), 12), lambda b, n: C.DELTA_PACKED[1](C.expand(b, 12), n))),
-    "b25_frequency_table": (_P, F.col("repo_id"), "repo_id", (lambda v: E.table_encode(v), lambda b, n: E.table_decode(b)[0])),
-    "b26_hybrid": (_S, F.col("repo_id") * 1000, "repo_id * 1000", C.HYBRID),
-    "b27_permuted_times": (_S, F.col("epoch_s") - F.col("epoch_s") % 60, "epoch_s - epoch_s % 60", C.PERMUTED),
-    "b16c_limited_recency": (_S, F.col("repo_id"), "repo_id", C.LIMITED_MTF),
-    "b07b_change_markers": (_S, F.col("repo_id") % 3, "repo_id % 3", C.MARKERS),
-    "b10b_late_split": (_S, F.col("epoch_s") - F.col("epoch_s") % 60, "epoch_s - epoch_s % 60", C.LATE_SPLIT),
-    "b12b_back_references": (_S, F.col("repo_id"), "repo_id", C.BACK_REFS),
-    "b10c_two_lag": (_S, F.col("epoch_s"), "epoch_s", C.TWO_LAG),
+    "b01_varint": (_S, "pos", C.DELTA_VARINT),
+    "b02_prefix_varint": (_S, "pos", C.DELTA_PREFIX),
+    "b03_reverse_varint": (_S, "repo_id", (I.reverse_varints_encode, I.reverse_varints_decode)),
+    "b04_bitpack": (_S, "repo_id", C.PACKED),
+    "b04b_bitpack_blocks": (_S, "epoch_s", C.DELTA_BLOCKS),
+    "b05_u32_list": (_S, "repo_id", C.U32),
+    "b06_u24": (_S, "repo_id", C.U24),
+    "b06b_byte_planes": (_S, "epoch_s", (lambda v: I.planes_encode(v, 5), lambda b, n: I.planes_decode(b, n, 5))),
+    "b06c_nibbles": (_S, "repo_id % 16", C.NIBBLES),
+    "b07_categories": (_P, "epoch_s", C.DELTA_CATEGORIES),
+    "b08_bitmap": (_S, "repo_id % 2", (lambda v: I.bitmap_encode(v), I.bitmap_decode)),
+    "b09_interpolative": (_P, "pos * 3", (I.interpolative_encode, I.interpolative_decode)),
+    "b10_arithmetic": (_S, "repo_id", C.ARITHMETIC),
+    "b11_adaptive": (_S, "repo_id % 256", (E.adaptive_encode, E.adaptive_decode)),
+    "b12_ans_bytes": (_S, "repo_id % 256", (lambda v: E.ans_encode(v, 12, 16, 256), E.ans_decode)),
+    "b13_ans_ranked": (_S, "epoch_s % 5000", (E.ranked_ans_encode, E.ranked_ans_decode)),
+    "b14_ans_wide": (_S, "repo_id", (lambda v: E.ans_encode(v, 14, 20, 1024), lambda b, n: E.ans_decode(b, n, 14, 20))),
+    "b15_ans_escape": (_S, "repo_id * 7", (E.escape_ans_encode, E.escape_ans_decode)),
+    "b16_ans_u16": (_S, "repo_id * 31", (lambda v: E.ans_encode(v, 16, 24), lambda b, n: E.ans_decode(b, n, 16, 24))),
+    "b17_small_delta": (_S, "repo_id * 2 - 151", (E.small_delta_encode, E.small_delta_decode)),
+    "b18_top_k_ans": (_S, "repo_id * 1000", (E.top_k_ans_encode, E.top_k_ans_decode)),
+    "b19_context_ans": (_S, "repo_id % 5", (E.context_ans_encode, E.context_ans_decode)),
+    "b20_timestamps": (_S, "epoch_s", C.TIMES),
+    "b21_event_ids": (_P, "pos", C.IDS),
+    "b24_delta_pack_zstd": (_S, "epoch_s", (lambda v: C.compress(C.DELTA_PACKED[0](v), 12), lambda b, n: C.DELTA_PACKED[1](C.expand(b, 12), n))),
+    "b25_frequency_table": (_P, "repo_id", (lambda v: E.table_encode(v), lambda b, n: E.table_decode(b)[0])),
+    "b26_hybrid": (_S, "repo_id * 1000", C.HYBRID),
+    "b27_permuted_times": (_S, "epoch_s - epoch_s % 60", C.PERMUTED),
+    "b16c_limited_recency": (_S, "repo_id", C.LIMITED_MTF),
+    "b07b_change_markers": (_S, "repo_id % 3", C.MARKERS),
+    "b10b_late_split": (_S, "epoch_s - epoch_s % 60", C.LATE_SPLIT),
+    "b12b_back_references": (_S, "repo_id", C.BACK_REFS),
+    "b10c_two_lag": (_S, "epoch_s", C.TWO_LAG),
 }
 
 
-def _column_query(name, keys, value, sql, layout):
-    @query(f"{name}_round_trip", "WITH {EV} SELECT row_number() OVER (ORDER BY " + ", ".join(keys) + ") - 1 AS rn, (" + sql + ")::BIGINT AS value FROM ev")
+def _column_query(name, keys, value, layout):
+    @query(f"{name}_round_trip", "WITH {EV} SELECT row_number() OVER (ORDER BY " + ", ".join(keys) + ") - 1 AS rn, (" + value + ")::BIGINT AS value FROM ev")
     def run(spark, d):
         o = Ordered.by(events_view(spark, d), *keys, group_rows=GROUP)
-        return column_values(column_sections(o, value, layout[0]), layout[1], GROUP)
+        return column_values(column_sections(o, F.expr(value), layout[0]), layout[1], GROUP)
 
     return run
 
