@@ -160,7 +160,7 @@ def t02(spark, d):
     path = scratch(spark)
     events_view(spark, d).select("epoch_s").write.parquet(path)
     counts = L.tumbling_counts(L.parquet_stream(spark, path, "epoch_s long"), "1 hour")
-    return L.run_available(counts, scratch(spark)).groupBy("hour").agg(F.sum("n").alias("n"))
+    return L.run_available(counts, scratch(spark), complete=True).groupBy("hour").agg(F.sum("n").alias("n"))
 
 
 @query("t03_stateful_recency", "WITH {EV}, o AS (SELECT *, row_number() OVER (ORDER BY id, event_type) - 1 AS rn FROM ev) SELECT pos, (epoch_s - coalesce(greatest(lag(epoch_s, 1) OVER w, lag(epoch_s, 2) OVER w), 0))::BIGINT AS d FROM o WINDOW w AS (PARTITION BY repo_id ORDER BY rn)")

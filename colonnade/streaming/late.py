@@ -55,14 +55,15 @@ def tumbling_counts(stream: DataFrame, width: str) -> DataFrame:
     return timed.groupBy(F.window("ts", width)).agg(F.count("*").alias("n")).select(F.unix_seconds("window.start").alias("hour"), "n")
 
 
-def run_available(stream: DataFrame, path: str) -> DataFrame:
+def run_available(stream: DataFrame, path: str, complete: bool = False) -> DataFrame:
     """Runs the stream over what is there, to Parquet, and reads the result.
 
-    Aggregations come out in complete mode at the end; stateful maps append.
+    Aggregations need complete=True and come out whole after the last batch; stateful maps append.
     """
     spark = stream.sparkSession
     writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
-    if "Aggregate" in stream._jdf.queryExecution().logical().toString():
+    if complete:
+
         def keep(batch: DataFrame, number: int) -> None:
             batch.write.mode("overwrite").parquet(f"{path}/out")
 
@@ -81,8 +82,8 @@ def encoded_batches(stream: DataFrame, codec, path: str) -> DataFrame:
         numbers.append(number)
 
     stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(encode).start().awaitTermination()
-    out = None
+    out = spark.createDataFrame([], "id string, event_type string, repo_id long, repo_name string, epoch_s long, n int")
     for k in sorted(set(numbers)):
         part = codec.decode(spark.read.parquet(f"{path}/sections/batch={k}")).withColumn("n", F.lit(1))
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
     return out
