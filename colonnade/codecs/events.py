@@ -7,6 +7,7 @@ positions, look-ups) is DataFrame work; payload bytes are made group by group wi
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 
 from colonnade.codecs import entropy as E
 from colonnade.codecs import integers as I
+from colonnade.functions.times import strict_epoch
 from colonnade.operators import dictionaries as D
 from colonnade.operators.order import numbered
+from colonnade.sources.events import key_value
 
 SECTIONS = "part string, grp long, section string, n long, payload binary"
 Layout = tuple[Callable[[np.ndarray], bytes], Callable[[bytes, int], np.ndarray]]
@@ -334,19 +337,19 @@ def _unpack_dictionary(sections: DataFrame, part: str, level: int, index: str, s
 
 
 class JsonCodec:
-    """Whole rows as JSON, one document for each row group, compressed at a level."""
+    """Whole rows as JSON pairs of key and value, url and time in full, one array for each row group, compressed at a level."""
 
     def __init__(self, name: str, level: int, group_rows: int = 16_384):
         self.name, self.level, self.group_rows = name, level, group_rows
 
     def encode(self, events: DataFrame) -> DataFrame:
         level = self.level
-        row = F.to_json(F.struct("id", "event_type", "repo_id", "repo_name", "epoch_s"))
-        rows = numbered(events, "pos").select(F.floor(F.col("rn") / self.group_rows).cast("long").alias("grp"), "rn", row.alias("j"))
+        rows = numbered(key_value(events), "pos").select(F.floor(F.col("rn") / self.group_rows).cast("long").alias("grp"), "rn", F.to_json("key").alias("k"), F.to_json("value").alias("v"))
 
         def group(table):
             table = table.sort_by("rn")
-            body = ("[" + ",".join(table["j"].to_pylist()) + "]").encode()
+            pairs = (f"[{k},{v}]" for k, v in zip(table["k"].to_pylist(), table["v"].to_pylist(), strict=True))
+            body = ("[" + ",".join(pairs) + "]").encode()
             return pa.table([["facts"], [table["grp"][0].as_py()], ["json"], [table.num_rows], [compress(body, level)]], schema=_SECTION_SCHEMA)
 
         return rows.groupBy("grp").applyInArrow(group, SECTIONS)
@@ -356,11 +359,13 @@ class JsonCodec:
 
         def lines(batches):
             for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([expand(p, level).decode() for p in b.column(0).to_pylist()])], ["j"])
+                for p in b.column(0).to_pylist():
+                    pairs = json.loads(expand(p, level))
+                    yield pa.RecordBatch.from_arrays([pa.array([json.dumps(k | v) for k, v in pairs], pa.string())], ["j"])
 
-        kind = "array<struct<id: string, event_type: string, repo_id: bigint, repo_name: string, epoch_s: bigint>>"
-        parsed = sections.select("payload").mapInArrow(lines, "j string").select(F.explode(F.from_json("j", kind)).alias("e"))
-        return parsed.select("e.*")
+        kind = "id string, event_type string, repo struct<id: bigint, name: string, url: string>, created_at string"
+        e = sections.select("payload").mapInArrow(lines, "j string").select(F.from_json("j", kind).alias("e"))
+        return e.select("e.id", "e.event_type", F.col("e.repo.id").alias("repo_id"), F.col("e.repo.name").alias("repo_name"), strict_epoch(F.col("e.created_at")).alias("epoch_s"))
 
 
 #: Fifteen codecs, named by what they do.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colonnade.functions.times import iso
 from colonnade.session import table
 
 URL_PREFIX = "https://api.github.com/repos/"
@@ -55,7 +56,7 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def key_value(events: DataFrame) -> DataFrame:
     """The flat event view as (key, value) structs, as events travel between a source and an encoder."""
-    created = F.date_format(F.timestamp_seconds("epoch_s"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    created = iso(F.col("epoch_s"))
     return events.select(
         F.struct("id", "event_type").alias("key"),
         F.struct(F.struct(F.col("repo_id").alias("id"), F.col("repo_name").alias("name"), derived_url("repo_name").alias("url")).alias("repo"), created.alias("created_at")).alias("value"),
