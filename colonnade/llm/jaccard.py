@@ -301,8 +301,12 @@ def nearest(pairs: DataFrame) -> DataFrame:
     return best.select(F.least("doc_id", "m.other").alias("a"), F.greatest("doc_id", "m.other").alias("b")).distinct()
 
 
-def passing(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows of docs (doc_id, text) whose id may be among ids (doc_id): a Bloom filter of 2^bits bits, in blocks ORed by the executors."""
+def sets_of(docs: DataFrame, ids: DataFrame, size: int = SIZE, bits: int = FILTER_BITS) -> DataFrame:
+    """(doc_id, s): the shingle sets of the rows of docs (doc_id, text) whose id is among ids (doc_id), one row an id.
+
+    A Bloom filter of 2^bits bits, made in blocks that executors OR, lets few other texts through; they go in an exact join. All
+    Python work of a stage is one function, so a task never feeds two workers.
+    """
     blocks, per = SKETCH_BLOCKS, (1 << bits) // 8 // SKETCH_BLOCKS
 
     def places(a: pa.Array) -> np.ndarray:
@@ -333,9 +337,12 @@ def passing(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFra
         for b in batches:
             b = b.filter(b.column(0).is_valid())
             at = places(b.column(0))
-            yield b.filter(pa.array((flat[at >> 3] >> (7 - (at & 7)).astype("u1") & 1).astype(bool)))
+            b = b.filter(pa.array((flat[at >> 3] >> (7 - (at & 7)).astype("u1") & 1).astype(bool)))
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), size).tobytes() for t in b.column(1)], pa.binary())], ["doc_id", "s"])
 
-    return docs.select("doc_id", "text").mapInArrow(keep, "doc_id long, text string")
+    made = docs.select("doc_id", "text").mapInArrow(keep, "doc_id long, s binary")
+    return made.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold=THRESHOLD, size: int = SIZE) -> DataFrame:
@@ -355,15 +362,8 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold=THRESHOLD, size: int =
                 ok.append(den * both >= num * (len(mine) + len(other) - both))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), size).tobytes() for t in part.column(1)], pa.binary())], ["doc_id", "s"])
-
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().checkpoint()
-    needed = passing(docs, ids).join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, s binary")
-    needed = shared_table(needed.dropDuplicates(["doc_id"]))
+    needed = shared_table(sets_of(docs, ids, size))
     rows = pairs.join(needed.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b").join(needed.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
     return rows.select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
 
@@ -410,7 +410,7 @@ def link(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, size: int =
         found = found.checkpoint()
         if not found.limit(1).count():
             continue
-        edges = verified(found, rows, threshold, size)
+        edges = verified(found, rows, threshold, size).checkpoint()
         if merged is not None:
             edges = edges.union(merged.select("u", F.col("component").alias("v")))
         merged = components(edges)
