@@ -25,6 +25,7 @@ def numbered(df: DataFrame, *keys, name: str = "rn") -> DataFrame:
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row for each sorted part
     starts = counts.select(part, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
     inner = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    starts = F.broadcast(starts)  # as many rows as there were tasks; the rows themselves stay where they are
     return placed.withColumn(part, F.shiftright(at, 33)).join(starts, part).withColumn(name, F.col("__start") + inner).drop(part, at, "__start")
 
 
@@ -48,12 +49,16 @@ class Ordered:
         return Window.partitionBy("grp").orderBy("rn")
 
     def lag(self, value: str, name: str, k: int = 1) -> Ordered:
-        """The value k positions before, null for the first k rows; k is small against a group."""
-        last = self.df.where(F.col("rn") % self.rows >= self.rows - k).select((F.col("rn") + k).alias("__to"), F.col(value).alias("__edge"))
+        """The value k positions before, null for the first k rows; k is small against a group.
+
+        The join with the k last values of the group before is on the group alone, so it needs no shuffle beyond the window's.
+        """
+        last = self.df.where(F.col("rn") % self.rows >= self.rows - k).select((F.col("rn") + k).alias("__to"), F.col(value).alias("__v"))
+        entries = F.map_from_entries(F.collect_list(F.struct("__to", "__v")))
+        edges = last.groupBy(F.floor(F.col("__to") / self.rows).cast("long").alias("grp")).agg(entries.alias("__edges"))
         own = F.lag(value, k).over(self.within())
-        edge = F.col("rn") % self.rows < k
-        df = self.df.withColumn("__own", own).join(last, (F.col("rn") == F.col("__to")) & edge, "left")
-        return self._new(df.withColumn(name, F.when(edge, F.col("__edge")).otherwise(F.col("__own"))).drop("__own", "__edge", "__to"))
+        df = self.df.withColumn("__own", own).join(edges, "grp", "left")
+        return self._new(df.withColumn(name, F.when(F.col("rn") % self.rows < k, F.try_element_at("__edges", F.col("rn"))).otherwise(F.col("__own"))).drop("__own", "__edges"))
 
     def running(self, value: Column, name: str, how: str = "sum", inclusive: bool = True) -> Ordered:
         """Running sum, max or last non-null of value, this row included or not; sums start at 0."""
