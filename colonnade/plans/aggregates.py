@@ -134,7 +134,7 @@ _T = "y AS (SELECT rn, event_type AS cur, lag(event_type, 1) OVER (ORDER BY rn)
 
 
 def _contexts(spark, d):
-    o = Ordered.by(events_view(spark, d), "id", "event_type").lag("event_type", "p1", 1).lag("event_type", "p2", 2)
+    o = Ordered.by(events_view(spark, d).select("id", "event_type"), "id", "event_type").lag("event_type", "p1", 1).lag("event_type", "p2", 2)
     return o.df.select("rn", F.col("event_type").alias("cur"), "p1", "p2")
 
 
@@ -174,13 +174,13 @@ _FITS = [("zero", 0, 0), ("i8", -128, 127), ("i16", -32768, 32767), ("u8", 0, 25
 
 @query("a22_fitting_shares", "WITH {EV}, " + _RN + ", " + _D + " SELECT " + ", ".join(f"round(avg(CASE WHEN d BETWEEN {a} AND {b} THEN 100.0::DOUBLE ELSE 0 END), 6) AS pct_{n}" for n, a, b in _FITS) + " FROM g")
 def a22(spark, d):
-    o = Ordered.by(events_view(spark, d), "id", "event_type").delta("epoch_s", "d").df
+    o = Ordered.by(events_view(spark, d).select("id", "event_type", "epoch_s"), "id", "event_type").delta("epoch_s", "d").df
     return o.agg(*[F.round(F.avg(F.when(F.col("d").between(a, b), 100.0).otherwise(0.0)), 6).alias(f"pct_{n}") for n, a, b in _FITS])
 
 
 @query("a23_size_estimate", "WITH {EV}, " + _RN + ", " + _D + ", z AS (SELECT CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS z FROM g) SELECT sum(greatest(1, (length(bin(z)) + 6) // 7))::BIGINT AS varint_bytes, (SELECT sum(greatest(1, (length(bin(epoch_s::BIGINT)) + 6) // 7)) FROM ev)::BIGINT AS plain_bytes, count(*)::BIGINT * 8 AS raw_bytes FROM z")
 def a23(spark, d):
-    o = Ordered.by(events_view(spark, d), "id", "event_type").delta("epoch_s", "d").df
+    o = Ordered.by(events_view(spark, d).select("id", "event_type", "epoch_s"), "id", "event_type").delta("epoch_s", "d").df
     return o.agg(F.sum(bits.varint_length(bits.zigzag(F.col("d")))).alias("varint_bytes"), F.sum(bits.varint_length(F.col("epoch_s"))).alias("plain_bytes"), (F.count("*") * 8).alias("raw_bytes"))
 
 
@@ -230,7 +230,7 @@ def a28(spark, d):
 def flagship(spark, d):
     """Dictionary and delta summary: encoded sizes of time deltas in string-id order by event type."""
     e = events_view(spark, d)
-    o = Ordered.by(e, "id", "event_type").delta("epoch_s", "d").df.select("event_type", bits.zigzag(F.col("d")).alias("z"))
+    o = Ordered.by(e.select("id", "event_type", "epoch_s"), "id", "event_type").delta("epoch_s", "d").df.select("event_type", bits.zigzag(F.col("d")).alias("z"))
     per = o.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(bits.varint_length(F.col("z"))).alias("bytes"), F.max(bits.bit_width(F.col("z"))).alias("max_bits"))
     codes = D.frequency_dictionary(e, "event_type").select("event_type", F.col("idx").alias("code"))
     return per.join(codes, "event_type").select("event_type", "code", "n", "bytes", "max_bits")

@@ -85,8 +85,9 @@ COLUMN_CODECS = {
 def _column_query(name, keys, value, layout):
     @query(f"{name}_round_trip", "WITH {EV} SELECT row_number() OVER (ORDER BY " + ", ".join(keys) + ") - 1 AS rn, (" + value + ")::BIGINT AS value FROM ev")
     def run(spark, d):
-        o = Ordered.by(events_view(spark, d), *keys, group_rows=GROUP)
-        return column_values(column_sections(o, F.expr(value), layout[0]), layout[1], GROUP)
+        e = events_view(spark, d).select("id", "event_type", "pos", F.expr(value).alias("value"))  # the value alone is carried beside the order
+        o = Ordered.by(e, *keys, group_rows=GROUP)
+        return column_values(column_sections(o, F.col("value"), layout[0]), layout[1], GROUP)
 
     return run
 

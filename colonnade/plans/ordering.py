@@ -20,14 +20,14 @@ _LATE = _RN + ", l AS (SELECT *, coalesce(epoch_s < max(epoch_s) OVER (ORDER BY
 GROUP = 2048
 
 
-def stream(spark, d) -> Ordered:
-    """Events in the canonical (string) order."""
-    return Ordered.by(events_view(spark, d), "id", "event_type", group_rows=GROUP)
+def stream(spark, d, *cols: str) -> Ordered:
+    """Events in the canonical (string) order; only the order's and the named columns are carried."""
+    return Ordered.by(events_view(spark, d).select("id", "event_type", *cols), "id", "event_type", group_rows=GROUP)
 
 
 @query("w01_id_delta", "WITH {EV}, " + _RN + ", " + _D + " SELECT pos, rn::BIGINT AS rn, (pos - coalesce(lag(pos) OVER (ORDER BY rn), 0))::BIGINT AS id_delta, d AS ts_delta FROM g")
 def w01(spark, d):
-    o = stream(spark, d).delta("pos", "id_delta").delta("epoch_s", "ts_delta")
+    o = stream(spark, d, "pos", "epoch_s").delta("pos", "id_delta").delta("epoch_s", "ts_delta")
     return o.df.select("pos", "rn", "id_delta", "ts_delta")
 
 
@@ -83,32 +83,32 @@ def w09(spark, d):
 
 @query("w10_two_lag_max", "WITH {EV}, " + _RN + " SELECT rn::BIGINT AS rn, (epoch_s - coalesce(greatest(lag(epoch_s, 1) OVER (ORDER BY rn), lag(epoch_s, 2) OVER (ORDER BY rn)), 0))::BIGINT AS d FROM o")
 def w10(spark, d):
-    return R.lag_max_delta(stream(spark, d), "epoch_s").df.select("rn", "d")
+    return R.lag_max_delta(stream(spark, d, "epoch_s"), "epoch_s").df.select("rn", "d")
 
 
 @query("w10b_two_lag_max_inverse", "WITH {EV}, " + _RN + " SELECT rn::BIGINT AS rn, epoch_s::BIGINT AS value FROM o")
 def w10b(spark, d):
     """Each row group restores from the two values before it, which are stored with the group."""
-    o = R.lag_max_delta(stream(spark, d), "epoch_s").lag("epoch_s", "p1", 1).lag("epoch_s", "p2", 2)
+    o = R.lag_max_delta(stream(spark, d, "epoch_s"), "epoch_s").lag("epoch_s", "p1", 1).lag("epoch_s", "p2", 2)
     first = o.df.where(F.col("rn") % GROUP == 0).select("grp", "p1", "p2")
     return R.lag_max_restore(o.df.select("grp", "rn", "d").join(first, "grp"))
 
 
 @query("w11_late_split", "WITH {EV}, " + _LATE + " SELECT pos, late, insert_position FROM p")
 def w11(spark, d):
-    return split_late(stream(spark, d)).df.select("pos", "late", "insert_position")
+    return split_late(stream(spark, d, "pos", "epoch_s")).df.select("pos", "late", "insert_position")
 
 
 @query("w12_late_offset", "WITH {EV}, " + _LATE + ", c AS (SELECT row_number() OVER (ORDER BY rn) AS n, epoch_s FROM p WHERE NOT late) SELECT p.pos, greatest(c.epoch_s - p.epoch_s, 0)::BIGINT AS behind FROM p LEFT JOIN c ON c.n = p.insert_position WHERE late")
 def w12(spark, d):
-    o = split_late(stream(spark, d)).running(F.when(~F.col("late"), F.col("epoch_s")), "clean_s", "last", inclusive=False)
+    o = split_late(stream(spark, d, "pos", "epoch_s")).running(F.when(~F.col("late"), F.col("epoch_s")), "clean_s", "last", inclusive=False)
     return o.where("late").select("pos", F.greatest(F.col("clean_s") - F.col("epoch_s"), F.lit(0)).alias("behind"))
 
 
 @query("w13_insertion_log", "WITH {EV}, o AS (SELECT *, row_number() OVER (ORDER BY id, event_type) - 1 AS rn FROM ev), b AS (SELECT a.rn, count(*) AS bubbles FROM o a JOIN o b ON b.rn < a.rn AND b.epoch_s > a.epoch_s GROUP BY a.rn) SELECT rn::BIGINT AS rn, bubbles::BIGINT AS bubbles, (rn - coalesce(lag(rn) OVER (ORDER BY rn), -1) - 1)::BIGINT AS advance FROM b")
 def w13(spark, d):
     """Bubbling rows with the gap since the one before."""
-    o = stream(spark, d)
+    o = stream(spark, d, "epoch_s")
     moved = R.bubble_counts(o)
     log = Ordered(numbered(moved, F.col("rn"), name="k").withColumnRenamed("rn", "at").withColumnRenamed("k", "rn"), GROUP).lag("at", "before")
     return log.df.select(F.col("at").alias("rn"), "bubbles", (F.col("at") - F.coalesce("before", F.lit(-1)) - 1).alias("advance"))
@@ -125,12 +125,12 @@ _MTF = "s AS (SELECT rn, rn // 2048 AS grp, repo_id % 16 AS s FROM o), x AS (SEL
 
 @query("w16_move_to_front", "WITH {EV}, " + _RN + ", " + _MTF + ", f AS (SELECT grp, s, min(rn) AS first FROM s GROUP BY 1, 2) SELECT x.rn::BIGINT AS rn, (CASE WHEN last IS NOT NULL THEN (SELECT count(DISTINCT y.s) FROM s y WHERE y.grp = x.grp AND y.rn > x.last AND y.rn < x.rn) ELSE x.s + (SELECT count(*) FROM f WHERE f.grp = x.grp AND f.first < x.rn AND f.s > x.s) END)::BIGINT AS code FROM x")
 def w16(spark, d):
-    return R.move_to_front(stream(spark, d).with_column("s", F.col("repo_id") % 16), "s", 16).select("rn", "code")
+    return R.move_to_front(stream(spark, d, "repo_id").with_column("s", F.col("repo_id") % 16), "s", 16).select("rn", "code")
 
 
 @query("w16b_move_to_front_inverse", "WITH {EV}, " + _RN + " SELECT rn::BIGINT AS rn, (repo_id % 16)::BIGINT AS symbol FROM o")
 def w16b(spark, d):
-    return R.move_from_front(R.move_to_front(stream(spark, d).with_column("s", F.col("repo_id") % 16), "s", 16), 16)
+    return R.move_from_front(R.move_to_front(stream(spark, d, "repo_id").with_column("s", F.col("repo_id") % 16), "s", 16), 16)
 
 
 @query("w17_limited_move_to_front", "WITH {EV}, " + _RN + ", t AS (SELECT repo_name, row_number() OVER (ORDER BY count(*) DESC, repo_name) - 1 AS sym FROM ev GROUP BY repo_name QUALIFY sym < 64) SELECT rn::BIGINT AS rn, sym IS NOT NULL AS in_head, repo_name FROM o LEFT JOIN t USING (repo_name)")
@@ -174,7 +174,7 @@ def w20(spark, d):
 
 @query("w21_difference_statistics", "WITH {EV}, " + _RN + ", " + _D + " SELECT min(d)::BIGINT AS lo, max(d)::BIGINT AS hi, round(avg(CASE WHEN d = 0 THEN 100.0::DOUBLE ELSE 0 END), 6) AS pct_zero, round(avg(CASE WHEN d BETWEEN -128 AND 127 THEN 100.0::DOUBLE ELSE 0 END), 6) AS pct_i8 FROM g WHERE rn > 0")
 def w21(spark, d):
-    o = stream(spark, d).delta("epoch_s", "d").where("rn > 0")
+    o = stream(spark, d, "epoch_s").delta("epoch_s", "d").where("rn > 0")
     share = lambda c: F.round(F.avg(F.when(c, 100.0).otherwise(0.0)), 6)
     return o.agg(F.min("d").alias("lo"), F.max("d").alias("hi"), share(F.col("d") == 0).alias("pct_zero"), share(F.col("d").between(-128, 127)).alias("pct_i8"))
 
@@ -204,13 +204,13 @@ def o03(spark, d):
 @query("o04_sort_in_row_group", "WITH {EV}, " + _RN + ", r AS (SELECT *, rn // 2048 AS g FROM o) SELECT pos, g::BIGINT AS row_group, (row_number() OVER (PARTITION BY g ORDER BY epoch_s, rn) - 1)::BIGINT AS place FROM r")
 def o04(spark, d):
     w = Window.partitionBy("grp").orderBy("epoch_s", "rn")
-    return stream(spark, d).df.select("pos", F.col("grp").alias("row_group"), (F.row_number().over(w) - 1).cast("bigint").alias("place"))
+    return stream(spark, d, "pos", "epoch_s").df.select("pos", F.col("grp").alias("row_group"), (F.row_number().over(w) - 1).cast("bigint").alias("place"))
 
 
 @query("o05_gather", "WITH {EV}, " + _RN + ", r AS (SELECT *, rn // 2048 AS g FROM o) SELECT g::BIGINT AS row_group, (row_number() OVER (PARTITION BY g ORDER BY epoch_s, rn) - 1)::BIGINT AS place, id, repo_name FROM r")
 def o05(spark, d):
     """One permutation applied to columns stored apart."""
-    o = stream(spark, d).df
+    o = stream(spark, d, "epoch_s", "repo_name").df
     order = o.select("rn", "grp", (F.row_number().over(Window.partitionBy("grp").orderBy("epoch_s", "rn")) - 1).cast("bigint").alias("place"))
     return order.join(o.select("rn", "id"), "rn").join(o.select("rn", "repo_name"), "rn").select(F.col("grp").alias("row_group"), "place", "id", "repo_name")
 

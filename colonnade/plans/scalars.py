@@ -112,7 +112,7 @@ _DELTA = "g AS (SELECT pos, epoch_s - coalesce(lag(epoch_s) OVER (ORDER BY id, e
 
 
 def _string_order(spark, d):
-    return Ordered.by(events_view(spark, d), "id", "event_type")
+    return Ordered.by(events_view(spark, d).select("id", "event_type", "pos", "epoch_s"), "id", "event_type")
 
 
 @query("p12_exception_split", "WITH {EV}, " + _DELTA + " SELECT pos, (CASE WHEN d IN (0, 1, 2) THEN d ELSE 3 END)::BIGINT AS category, CASE WHEN d NOT IN (0, 1, 2) THEN d END::BIGINT AS exception FROM g")
