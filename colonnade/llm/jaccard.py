@@ -302,10 +302,10 @@ def nearest(pairs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, size: int = SIZE, bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, s): the shingle sets of the rows of docs (doc_id, text) whose id is among ids (doc_id), one row an id.
+    """(doc_id, s): the shingle sets of the rows of docs (doc_id, text) whose id is among ids (doc_id), and of a few more.
 
-    A Bloom filter of 2^bits bits, made in blocks that executors OR, lets few other texts through; they go in an exact join. All
-    Python work of a stage is one function, so a task never feeds two workers.
+    A Bloom filter of 2^bits bits, made in blocks that executors OR, picks the texts, so none is shuffled; what it lets through beside
+    them meets no pair. All Python work of a stage is one function, so a task never feeds two workers.
     """
     blocks, per = SKETCH_BLOCKS, (1 << bits) // 8 // SKETCH_BLOCKS
 
@@ -341,8 +341,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int = SIZE, bits: int = FILTE
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), size).tobytes() for t in b.column(1)], pa.binary())], ["doc_id", "s"])
 
-    made = docs.select("doc_id", "text").mapInArrow(keep, "doc_id long, s binary")
-    return made.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", "text").mapInArrow(keep, "doc_id long, s binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold=THRESHOLD, size: int = SIZE) -> DataFrame:
@@ -363,7 +362,7 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold=THRESHOLD, size: int =
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().checkpoint()
-    needed = shared_table(sets_of(docs, ids, size))
+    needed = shared_table(sets_of(docs, ids, size)).dropDuplicates(["doc_id"])  # by the shuffle that the joins need anyway
     rows = pairs.join(needed.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b").join(needed.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
     return rows.select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
 
