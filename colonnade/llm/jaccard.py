@@ -344,8 +344,11 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int = SIZE, bits: int = FILTE
     return docs.select("doc_id", "text").mapInArrow(keep, "doc_id long, s binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold=THRESHOLD, size: int = SIZE) -> DataFrame:
-    """Those of the pairs (a, b) whose sets, made from the whole texts of docs (doc_id, text), are linked."""
+def verified(pairs: DataFrame, docs: DataFrame, threshold=THRESHOLD, size: int = SIZE, repeated_ids: bool = True) -> DataFrame:
+    """Those of the pairs (a, b) whose sets, made from the whole texts of docs (doc_id, text), are linked.
+
+    Where ids repeat, one row of each is taken; where they don't, the sets need no shuffle for it.
+    """
     num, den = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +365,9 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold=THRESHOLD, size: int =
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().checkpoint()
-    needed = shared_table(sets_of(docs, ids, size)).dropDuplicates(["doc_id"])  # by the shuffle that the joins need anyway
+    needed = shared_table(sets_of(docs, ids, size))
+    if repeated_ids:
+        needed = needed.dropDuplicates(["doc_id"])
     rows = pairs.join(needed.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b").join(needed.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
     return rows.select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
 
@@ -373,6 +378,7 @@ def link(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, size: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = shared_table(describe(rows, sketch(rows, size=size), threshold, size))
     full = described.where("n > 0 AND doc_id IS NOT NULL")
+    repeated = bool(full.groupBy("doc_id").count().where("count > 1").limit(1).count())
     classes = full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"), F.first("p").alias("p"))
     classes = shared_table(classes)
     groups = classes.groupBy("n", "p").agg(F.min("class_id").alias("lead"), F.count("*").alias("members"))
@@ -409,7 +415,7 @@ def link(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, size: int =
         found = found.checkpoint()
         if not found.limit(1).count():
             continue
-        edges = verified(found, rows, threshold, size).checkpoint()
+        edges = verified(found, rows, threshold, size, repeated).checkpoint()
         if merged is not None:
             edges = edges.union(merged.select("u", F.col("component").alias("v")))
         merged = components(edges)
