@@ -6,13 +6,19 @@ languages whose codeword has the bit against those that have not. A document's m
 decoding weighs each bit's logistic loss by how well the bit did on training windows, and takes the nearest codeword. The score
 is the posterior of that codeword under the weighted losses; ``ambiguous`` marks documents whose runner-up comes close.
 
+Whether a text's language can be told (``keep_identified``) is settled between the best language and the runner-up alone, so the rule means
+the same at any number of languages. The lead is the mean margin an n-gram has for the best over the bits in which the two codewords differ;
+it is near 0 for unknown languages and for even mixtures, and at a level that the labelled training windows show for clean texts. A text goes
+if the two languages' own posteriors are within TIE of even, or if its lead is below ``LEAST_LEAD`` of the clean level. Short texts have
+noisy leads: where clean windows scatter below that share, the bound sinks by their scatter, which falls with the root of the length.
+
 The fit uses a bounded sample: at most ``SAMPLE_CELLS`` documents a language (one for each cell of a hash of doc_id) and at most
 ``MAX_LANGUAGES`` languages. Only thin columns are shuffled to choose them; their texts are counted by the executors, and the
 driver gets one row of ``BUCKETS`` counts for each language and 64 training windows at most. Prediction is one pass without a
 shuffle over whole texts, in blocks of ``BLOCK`` documents, with a model of BUCKETS x BITS floats.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without any labelled row everything is ``und``;
-with a single language every text with a letter has it with score 1. Repeated rows give repeated rows, an empty table an empty
+with a single language every text with a letter has it with score 1 and stays. Repeated rows give repeated rows, an empty table an empty
 result; ties go to the language that is first in order; other columns do not matter.
 """
 
@@ -38,7 +44,9 @@ BLOCK = 48
 UNKNOWN = "und"
 SMOOTHING = 0.2
 AMBIGUOUS = 0.75
-REJECT_BELOW = 0.2
+TIE = 0.05
+LEAST_LEAD = 0.25
+SCATTER = 2.0
 WINDOW = 60
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, runner_up string, ambiguous boolean"
@@ -94,9 +102,11 @@ class Model:
     weights: np.ndarray  # bucket, bit: log odds
     trust: np.ndarray  # bit
     scale: np.ndarray  # bit
+    clean: float = 0.0  # lead of labelled windows
+    slack: float = 0.0  # how far all but 1 % of them lie below it, times the root of their n-grams
 
-    def decode(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Best and second language and the posterior of the best for each row of counts."""
+    def decode(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Best and second language, the posterior of the best, its share of the two's posterior and its lead for each row of counts."""
         total = np.maximum(counts.sum(1, keepdims=True), 1)
         margins = (counts @ self.weights) / total
         # longer texts have surer margins, so the loss is taken at a steepness that grows with the root of the length
@@ -107,7 +117,17 @@ class Model:
         p = np.exp(loss.min(1, keepdims=True) - loss)
         p /= p.sum(1, keepdims=True)
         rows = np.arange(len(loss))
-        return order[:, 0], order[:, min(1, loss.shape[1] - 1)], p[rows, order[:, 0]]
+        best, second = order[:, 0], order[:, min(1, loss.shape[1] - 1)]
+        apart = (signs[best] - signs[second]) / 2 * self.trust
+        lead = (margins / self.scale * apart).sum(1) / np.maximum(np.abs(apart).sum(1), 1e-9)
+        return best, second, p[rows, best], p[rows, best] / (p[rows, best] + p[rows, second]), lead
+
+    def told(self, share: np.ndarray, lead: np.ndarray, n: np.ndarray, least: float = LEAST_LEAD) -> np.ndarray:
+        """Whether the best language stands clear of the runner-up in texts of n n-grams."""
+        if len(self.languages) < 2:
+            return np.ones(len(lead), bool)
+        bound = np.minimum(least * self.clean, self.clean - SCATTER * self.slack / np.sqrt(np.maximum(n, 1)))
+        return (share >= 0.5 + TIE) & (lead >= bound)
 
 
 def held_out(doc_id=None):
@@ -178,18 +198,25 @@ def fit_counts(languages: list[str], table: np.ndarray, windows: list[tuple[int,
         right = ((margins > 0) == truth).mean(0)
         model.trust = np.maximum(0.05, 2 * right - 1)
         model.scale = np.maximum(1e-3, np.abs(margins).mean(0) * 4)
+        best, _, _, _, lead = model.decode(counts)
+        good = best == [i for i, _ in windows]
+        if good.any():
+            model.clean = float(np.median(lead[good]))
+            model.slack = max(0.0, float(np.quantile((model.clean - lead[good]) * np.sqrt(counts[good].sum(1)), 0.99)))
     return model
 
 
-def judge(model: Model, texts: pa.Array, runner_up: bool = False) -> tuple:
-    """Languages and scores of a column of texts, and the runners-up if asked for; counted in blocks of BLOCK."""
-    lang, second, score = [UNKNOWN] * len(texts), [None] * len(texts), np.zeros(len(texts))
+def judge(model: Model, texts: pa.Array, least: float = LEAST_LEAD) -> tuple[list, np.ndarray, list, np.ndarray]:
+    """Languages, scores and runners-up of a column of texts, and whether the language can be told; counted in blocks of BLOCK."""
+    lang, second, score, told = [UNKNOWN] * len(texts), [None] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
     block: list[tuple[int, str]] = []
 
     def settle() -> None:
-        best, other, p = model.decode(counts_of([t for _, t in block]))
-        for (i, _), k, m, s in zip(block, best.tolist(), other.tolist(), p.tolist(), strict=True):
-            lang[i], score[i] = model.languages[k], s
+        counts = counts_of([t for _, t in block])
+        best, other, p, share, lead = model.decode(counts)
+        sure = model.told(share, lead, counts.sum(1), least)
+        for (i, _), k, m, s, ok in zip(block, best.tolist(), other.tolist(), p.tolist(), sure.tolist(), strict=True):
+            lang[i], score[i], told[i] = model.languages[k], s, ok
             second[i] = model.languages[m] if m != k else None
         block.clear()
 
@@ -201,7 +228,7 @@ def judge(model: Model, texts: pa.Array, runner_up: bool = False) -> tuple:
                 settle()
     if block:
         settle()
-    return (lang, score, second) if runner_up else (lang, score)
+    return lang, score, second, told
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -211,7 +238,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, score, second = judge(model, b.column(2), runner_up=True)
+            lang, score, second, _ = judge(model, b.column(2))
             unsure = pa.array([k == UNKNOWN or bool(s < AMBIGUOUS) for k, s in zip(lang, score, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score), pa.array(second, pa.string()), unsure], schema=out)
 
@@ -223,15 +250,14 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs))
 
 
-def keep_identified(docs: DataFrame, floor: float = REJECT_BELOW) -> DataFrame:
-    """The rows of docs whose language is known: not ``und``, and with a score of at least floor. A null lang is filled in; nothing else changes."""
+def keep_identified(docs: DataFrame, least: float = LEAST_LEAD) -> DataFrame:
+    """The rows of docs whose language can be told: not ``und``, and clear of the runner-up (``Model.told``). A null lang is filled in; nothing else changes."""
     model, names = fit(docs), docs.columns
     at, lang_at = names.index("text"), names.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            best, score = judge(model, b.column(at))
-            keep = [k != UNKNOWN and s >= floor for k, s in zip(best, score, strict=True)]
+            best, _, _, keep = judge(model, b.column(at), least)
             cols = list(b.columns)
             cols[lang_at] = pa.array([k if v is None else v for k, v in zip(best, cols[lang_at].to_pylist(), strict=True)], b.schema.field(lang_at).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array(keep, pa.bool_()))

@@ -58,6 +58,19 @@ def test_filter_keeps_rows_and_columns(docs):
     assert all(r.lang is not None for r in rows)
 
 
+@pytest.mark.parametrize("langs", [("aa", "bb"), ("aa", "bb", "cc"), ("aa", "bb", "cc", "dd", "ee", "ff")])
+def test_filter_rejects_what_cannot_be_told_at_any_number_of_languages(spark, monkeypatch, langs):
+    for k, lang in enumerate(("dd", "ee", "ff")):
+        monkeypatch.setitem(SYLLABLES, lang, [f"{a}{b}" for a in ("xk", "wp", "vb")[k] for b in ("ya", "uu", "om"[k % 2] + "y")])
+    rng = random.Random(6)
+    rows = [(i, text(rng, lang := langs[i % len(langs)], rng.choice((1, 5, 60, 400))), lang) for i in range(600)]
+    odd = [(1000 + k, text(rng, "aa", n) + " " + text(rng, "bb", n), None) for k, n in enumerate((60, 200, 1000))]  # half and half
+    odd += [(1010, "日本語のテキスト。" * 80, None), (1011, "Это предложение написано по-русски. " * 30, None), (1012, "jzgm qfjz mgqj zqfm " * 40, None)]
+    kept = {r.doc_id for r in L.keep_identified(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")).collect()}
+    assert not kept & {r[0] for r in odd}
+    assert len(kept) >= 0.99 * len(rows) and kept >= {r[0] for r in rows if len(r[1]) > 100}
+
+
 def test_small_cases(spark):
     schema = "doc_id long, text string, lang string"
     assert L.identify(spark.createDataFrame([], schema)).count() == 0
