@@ -5,14 +5,15 @@ hold, and wider ones: assigned secrets, telephone numbers without a country code
 com), account numbers (IBAN), social security numbers and hardware addresses. Every proposal is described by format and
 context features (lengths, character classes, entropy, check digits, neighbours, cue words before it). Gradient-boosted trees
 score it, and each kind has a threshold chosen on held-out labelled spans for a precision of ``PRECISION``. Of overlapping
-proposals that pass, the base span wins, then the higher score, then the earlier and longer.
+proposals that pass, the base span wins, then the higher score, then the earlier and longer; only a secret stays beside base spans
+that are smaller parts of it, for by chance a long one holds a card number. Neither a secret nor the name before it has a longest length.
 
 The trees are trained in the driver on labelled spans that ``labelled`` writes from a seed (``EXAMPLES`` of each kind, half of them
 look-alikes: dates, versions, prices, order numbers, hashes of files); nothing is learned from the corpus, so results do not
 depend on its size. The model (a few thousand numbers) travels with the tasks.
 
 Scale: one pass over whole texts without a shuffle; a task holds one Arrow batch. Every pattern is anchored so that its work is
-linear in the text, runs of 100,000 digits or pluses included.
+linear in the text, runs of 100,000 digits or pluses included; secrets are found from the = or : sign, the name backwards from it.
 
 Defined results: null and empty texts have no spans; repeated rows give repeated rows; an empty table an empty result; other
 columns do not matter. Positions are code points, ends exclusive.
@@ -49,8 +50,10 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+ASSIGNED = re.compile(r"[=:][\x20]{0,2}[\"']?([A-Za-z0-9+/_-]{16,}+={0,2}+)(?![A-Za-z0-9+/_=-])")
+NAME = LOCAL - frozenset("%+")
+NAME_START = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z]")
 MORE = {
-    "secret": re.compile(r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_.-]{1,40}[\x20]{0,2}[=:][\x20]{0,2}[\"']?([A-Za-z0-9+/_-]{16,512}={0,2})(?![A-Za-z0-9+/_=-])"),
     "national_phone": re.compile(r"(?<![0-9A-Za-z+.(-])\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{2,4}(?:[\x20./-][0-9]{2,5}){1,3}(?![0-9A-Za-z-])"),
     "spelled_email": re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}[\x20]?[\[({]?[\x20]?(?:at|AT)[\x20]?[\])}]?[\x20]?[A-Za-z0-9-]{1,63}[\x20]?[\[({]?[\x20]?(?:dot|DOT)[\x20]?[\])}]?[\x20]?[A-Za-z]{2,12}(?![A-Za-z])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
@@ -112,12 +115,30 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], BASE_KINDS.index(s[2])))
 
 
+def secrets(text: str) -> list[tuple[int, int, str]]:
+    """Values of 16 characters or more that are assigned to a name of two or more."""
+    found, last = [], 0
+    m = ASSIGNED.search(text)
+    while m:
+        end = m.start()
+        while end > max(last, m.start() - 2) and text[end - 1] == " ":
+            end -= 1
+        start = end
+        while start > last and text[start - 1] in NAME:
+            start -= 1
+        if NAME_START.search(text, start, end - 1):
+            found.append((*m.span(1), "secret"))
+            last = m.end()
+        m = ASSIGNED.search(text, max(last, m.start() + 1))
+    return found
+
+
 def proposals(text: str) -> list[tuple[int, int, str]]:
     """Overlapping spans of the wider formats."""
     found = []
     for kind in MORE_KINDS:
         if HINTS[kind].search(text):
-            found += [(m.start(m.lastindex or 0), m.end(m.lastindex or 0), kind) for m in MORE[kind].finditer(text)]
+            found += secrets(text) if kind == "secret" else [(*m.span(), kind) for m in MORE[kind].finditer(text)]
     return found
 
 
@@ -233,7 +254,7 @@ class Judge:
         scores = self.trees.scores(np.array([features(text, *s) for s in wide]))
         taken = list(base)
         for score, s in sorted(zip(scores.tolist(), wide, strict=True), key=lambda p: (-p[0], p[1][0], -p[1][1])):
-            if score >= self.thresholds[s[2]] and all(s[1] <= a or b <= s[0] for a, b, _ in taken):
+            if score >= self.thresholds[s[2]] and all(s[1] <= a or b <= s[0] or (s[2] == "secret" and k in BASE_KINDS and s[0] <= a and b <= s[1] and b - a < s[1] - s[0]) for a, b, k in taken):
                 taken.append(s)
         return base, sorted(taken, key=lambda s: (s[0], KINDS.index(s[2])))
 

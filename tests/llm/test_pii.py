@@ -70,6 +70,29 @@ def test_added_spans_are_precise_on_fresh_examples():
     assert j.choose("On 2024-01-31, version 10.2.33 of order 100-200-300 was shipped at dot of noon.")[1] == []
 
 
+def test_secrets_and_their_names_have_no_longest_length():
+    rng, j = random.Random(3), P.judge()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for n, name in ((64, "token"), (600, "token"), (2_000, "auth_token"), (20_000, "api_key"), (64, "my_" + "very_long_" * 8 + "auth_token")):
+        value = "".join(rng.choice(letters) for _ in range(n)) + "=="
+        text = f'log in with {name} = "{value}" and go on'
+        assert j.choose(text)[1] == [(text.index(value), text.index(value) + n + 2, "secret")]
+    value = "".join(rng.choice("abcdef") for _ in range(900)) + "4111111111111111" + "".join(rng.choice("abcdef0123456789") for _ in range(900))
+    text = f"token={value}"
+    assert P.redacted(text, j.choose(text)[1]) == "token=[SECRET]"
+
+
+def test_secrets_against_a_plain_pattern():
+    plain = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_.-]+[\x20]{0,2}[=:][\x20]{0,2}[\"']?([A-Za-z0-9+/_-]{16,}={0,2})(?![A-Za-z0-9+/_=-])")
+    rng = random.Random(5)
+    parts = ["=", ":", " ", "  ", "'", '"', "a", "key", "9", "_", ".", "-", "/", "x" * 16, "ab1+" * 5, "==", "é"]
+    for _ in range(20_000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(0, 14)))
+        assert P.secrets(t) == [(*m.span(1), "secret") for m in plain.finditer(t)], t
+    for t in ("a-" * 100_000, "aa.b-" * 40_000 + "=", "k=" * 100_000, "ab=" + "x" * 300_000 + "!", "ab = " * 60_000, "a.=" * 70_000 + "x" * 16):
+        P.secrets(t)
+
+
 def test_table(spark):
     rows = [(1, "a@b.c and 1.2.3.4", 0), (2, None, 0), (3, "", 0), (4, "é a@b.c", 0), (4, "é a@b.c", 0), (None, "+1 (555) 123-4567", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
