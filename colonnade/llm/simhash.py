@@ -8,6 +8,8 @@ bits to a long integer, in chunks of 32,767 terms, so a text of any length is co
 blocks - radius of them there is a table sorted by these bits moved to the front (here: an equi-join on the masked bits).
 Two fingerprints within the radius agree on some such choice. Distinct fingerprints are searched, with their numbers of documents, so
 groups of copies stay one row. With six blocks and radius 3 a table's key has 31 to 33 bits, enough for billions of rows.
+The search is exact for its radius, but three bits stand for a cosine of about 0.99: of simulated pairs with a Jaccard likeness of 0.8 it holds
+1.0 %, at 0.9 9.8 %, at 0.95 31 %, at 0.97 50 % (300 random terms each, of equal weight). ``n_near`` counts near-equal texts only.
 
 The edited text of a document ends in the beginning of the next document in descending order of ids. Ids alone are sorted, by ranges
 and without a single-task window; of the next text only the part needed is shuffled.
