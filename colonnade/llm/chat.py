@@ -2,8 +2,8 @@
 
 For every participant of a conversation the whole dialogue is rendered once, with that speaker as the assistant and everybody else as a
 named user; system turns stay system turns and are nobody's perspective. Each turn is a header, the text and an end mark. The mask lists
-the code point ranges to train on: the text and end mark of the assistant's turns, nothing else. The mark's opening characters in a
-text are escaped, so a text can't forge a turn.
+the code point ranges to train on: the text and end mark of the assistant's turns, nothing else. The mark's opening characters are escaped
+in texts and roles, and so are line breaks in roles, so neither can forge a turn or leave its header.
 
 Scale: DataFrame operations alone. Turns are numbered and offset within (conversation, perspective, cell of 256 turn numbers), and
 a table of cell sums gives each cell its start; a rendering of more than ``part_chars`` code points comes in several rows (part 0, 1, ...),
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 # Fixed values of the rendered form.
 OPEN, CLOSE, TURN_END = "<|im_start|>", "<|im_end|>", "\n"
 MARK, ESCAPED = "<|", "<\\|"
+LINE_BREAKS = (("\n", "\\n"), ("\r", "\\r"))
 SYSTEM, UNKNOWN = "system", "unknown"
 CELL_TURNS = 256
 PART_CHARS = 1 << 20
@@ -35,7 +36,10 @@ def rotate(turns: DataFrame, *, part_chars: int = PART_CHARS) -> DataFrame:
     parties = rows.where(F.col("role").isNotNull() & (F.col("role") != SYSTEM)).select(F.col("conv_id").alias("p_conv"), F.col("role").alias("perspective")).distinct()
     seen = rows.join(parties, F.col("conv_id").eqNullSafe(F.col("p_conv"))).drop("p_conv")
     own = F.coalesce(F.col("role") == F.col("perspective"), F.lit(False))
-    head = F.when(own, F.lit("assistant")).when(F.col("role") == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit("user name="), F.coalesce("role", F.lit(UNKNOWN))))
+    named = F.replace(F.coalesce("role", F.lit(UNKNOWN)), F.lit(MARK), F.lit(ESCAPED))
+    for break_, shown in LINE_BREAKS:
+        named = F.replace(named, F.lit(break_), F.lit(shown))
+    head = F.when(own, F.lit("assistant")).when(F.col("role") == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit("user name="), named))
     seen = seen.withColumn("head", F.concat(F.lit(OPEN), head, F.lit("\n"))).withColumn("own", own)
     seen = seen.withColumn("segment", F.concat("head", "said", F.lit(CLOSE + TURN_END))).withColumn("size", F.char_length("segment").cast("long"))
     seen = seen.withColumn("cell", F.floor(F.col("turn") / CELL_TURNS))
@@ -59,7 +63,7 @@ def rotate(turns: DataFrame, *, part_chars: int = PART_CHARS) -> DataFrame:
 ORACLE_SQL = f"""
 WITH r AS (SELECT conv_id, turn, role, replace(coalesce(text, ''), '{MARK}', '{ESCAPED}') AS said FROM conversations),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM r WHERE role IS NOT NULL AND role <> '{SYSTEM}'),
-h AS (SELECT r.*, perspective, coalesce(role = perspective, FALSE) AS own, '{OPEN}' || CASE WHEN coalesce(role = perspective, FALSE) THEN 'assistant' WHEN role = '{SYSTEM}' THEN '{SYSTEM}' ELSE 'user name=' || coalesce(role, '{UNKNOWN}') END || chr(10) AS head
+h AS (SELECT r.*, perspective, coalesce(role = perspective, FALSE) AS own, '{OPEN}' || CASE WHEN coalesce(role = perspective, FALSE) THEN 'assistant' WHEN role = '{SYSTEM}' THEN '{SYSTEM}' ELSE 'user name=' || replace(replace(replace(coalesce(role, '{UNKNOWN}'), '{MARK}', '{ESCAPED}'), chr(10), '\\n'), chr(13), '\\r') END || chr(10) AS head
       FROM r JOIN p ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
 g AS (SELECT *, head || said || '{CLOSE}' || chr(10) AS segment FROM h),
 o AS (SELECT *, length(segment) AS size, sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, role NULLS LAST, said ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(segment) AS start FROM g),

@@ -9,11 +9,15 @@ main text. Evidence and potentials are learned from labelled pages: ``labelled_p
 seed, with the label of every element known. ``fit`` takes any labelled trees.
 
 Scale: one row-wise pass without a shuffle over whole pages; a task holds one Arrow batch and one page's tree. The model (a few
-hundred numbers) travels with the tasks. Parsing, messages and output are linear in the page and use no recursion.
+hundred numbers) travels with the tasks. Parsing, messages and output are linear in the page and use no recursion: the page is cut
+into tags and text by one forward scan, and the open elements are indexed by name, so neither unclosed tags nor deep nesting are
+walked again and again.
 
 Defined results: null or empty html, and pages without content, give an empty text and 0; repeated rows give repeated rows; an empty
-table an empty result; other columns do not matter. Character references are decoded, white space inside a block becomes one
-space, blocks are joined in page order by two line feeds; nothing else is dropped or cut.
+table an empty result; other columns do not matter. Omitted head and body tags are implied; a comment or tag that never ends takes the
+rest of the page. Never text are HIDDEN elements (scripts, styles, the head, vector graphics, lists to choose from, frames) and the
+annotations of formulas; what noscript, object, canvas, audio, video and math hold is judged as any other text. Character references are
+decoded, white space inside a block becomes one space, blocks are joined in page order by two line feeds; nothing else is dropped or cut.
 """
 
 from __future__ import annotations
@@ -21,10 +25,11 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from html.parser import HTMLParser
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +39,12 @@ from pyspark.sql import functions as F
 from colonnade.llm.batches import bounded_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select datalist".split())
+HIDDEN = frozenset("script style template head title svg iframe noframes noembed select datalist annotation annotation-xml".split())
+#: Elements that may stand in the head; any other ends it.
+IN_HEAD = frozenset("head title base basefont bgsound link meta script style noscript noframes template".split())
+#: Elements whose content holds no tags; in the last two character references are decoded.
+RAW = frozenset("script style iframe noframes noembed xmp title textarea".split())
+DECODED = frozenset("title textarea".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr li main menu nav ol p pre search section summary table caption tbody thead tfoot tr td th ul option legend".split()
@@ -54,9 +64,10 @@ _KIND_OF = {
     **{t: "table" for t in ("table", "tbody", "thead", "tfoot", "tr")}, "td": "cell", "th": "cell", "blockquote": "quote", "pre": "quote", "figure": "figure", "figcaption": "figure",
     **{t: "form" for t in ("fieldset", "button", "label", "input", "textarea", "legend", "search", "dialog")},
     **{t: "inline" for t in ("a", "b", "i", "em", "strong", "span", "u", "small", "code", "sub", "sup", "mark", "time", "font", "abbr", "cite", "q")},
+    **{t: "other" for t in HIDDEN},
 }
 KIND = {t: KINDS.index(k) for t, k in _KIND_OF.items()}
-OTHER = KINDS.index("other")
+OTHER = KINDS.index("inline")  # of elements without a kind: they pass their parent's label on
 #: Words of class, id and role attributes, by what they tell of a node.
 HINTS = {
     "content": "content article post entry story main body text prose maincontent articlebody bodytext page copy",
@@ -94,18 +105,86 @@ class Tree:
         return len(self.tag) - 1
 
 
-class _Builder(HTMLParser):
+_TAG_NAME = re.compile(r"[A-Za-z][^ \t\n\f\r/>]*+")
+#: The end of a tag, or one more attribute: its name, then its value in double, single or no quotes.
+_ATTRIBUTE = re.compile(r"""[ \t\n\f\r/]*+(?:(/?>)|([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"([^"]*+)"|'([^']*+)'|((?!["'])[^ \t\n\f\r>]*+)))?+)""")
+_RAW_END = {t: re.compile(rf"</{t}(?=[ \t\n\f\r/>])", re.I) for t in RAW}
+_COMMENT_END = re.compile(r"--!?>")
+
+
+class _Builder:
+    """Cuts a page into tags and text in one scan and builds its tree."""
+
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.tree = Tree()
         self.open = [self.tree.add("html", -1)]
         self.names = ["html"]
+        self.where: dict[str, list[int]] = defaultdict(list)  # depths at which elements of a name are open
+        self.blocks = [0]  # depths of the open block elements
         self.hidden = 0
         self.links = 0
         self.piece: list[str] = []
         self.linked = 0
         self.home = 0
 
+    def feed(self, html: str) -> None:
+        at, n = 0, len(html)
+        while at < n:
+            lt = html.find("<", at)
+            if lt < 0:
+                lt = n
+            if lt > at:
+                self.text(html[at:lt])
+            if lt == n:
+                return
+            following = html[lt + 1 : lt + 2]
+            if html.startswith("<!--", lt):
+                if html.startswith((">", "->"), lt + 4):
+                    at = html.index(">", lt) + 1
+                else:
+                    end = _COMMENT_END.search(html, lt + 4)
+                    at = end.end() if end else n
+            elif following in ("!", "?") or (following == "/" and not _TAG_NAME.match(html, lt + 2)):
+                if following == "/" and lt + 2 >= n:
+                    self.text("</")
+                end = html.find(">", lt)
+                at = end + 1 if end >= 0 else n
+            elif m := _TAG_NAME.match(html, lt + (2 if following == "/" else 1)):
+                name = m.group().lower()
+                at, attributes = self.attributes(html, m.end())
+                if attributes is None:
+                    return  # the tag never ends
+                if following == "/":
+                    self.end_tag(name)
+                    continue
+                self.start_tag(name, attributes, html.startswith("/>", at - 2))
+                if name in RAW and self.names[-1] == name:
+                    end = _RAW_END[name].search(html, at)
+                    stop = end.start() if end else n
+                    self.text(html[at:stop], name in DECODED)
+                    at = stop
+                elif name == "plaintext":
+                    self.text(html[at:], False)
+                    return
+            else:
+                self.text("<")
+                at = lt + 1
+
+    @staticmethod
+    def attributes(html: str, at: int) -> tuple[int, list[tuple[str, str]] | None]:
+        """Where the tag ends and its attributes; None if it never ends. A quote that is never closed ends with the tag."""
+        out = []
+        while m := _ATTRIBUTE.match(html, at):
+            at = m.end()
+            if m.group(1):
+                return at, out
+            if html.startswith("=", at):  # an opening quote without its end
+                at = html.find(">", at)
+                return (at + 1, out) if at >= 0 else (len(html), None)
+            value = m.group(3) or m.group(4) or m.group(5) or ""
+            out.append((m.group(2).lower(), unescape(value) if "&" in value else value))
+        return len(html), None
+
     def flush(self) -> None:
         """Closes the block that is being read."""
         if self.piece:
@@ -116,68 +195,92 @@ class _Builder(HTMLParser):
 
     def shut(self, depth: int) -> None:
         """Closes all elements from depth on."""
-        for name in self.names[depth:]:
+        while len(self.names) > depth:
+            name = self.names.pop()
+            self.open.pop()
+            self.where[name].pop()
             if name in BLOCK:
                 self.flush()
+                self.blocks.pop()
             self.hidden -= name in HIDDEN
             self.links -= name == "a"
-        del self.open[depth:], self.names[depth:]
+
+    def nearest(self, names) -> int:
+        """Depth of the innermost open element of these names, 0 if there is none."""
+        return max((self.where[x][-1] for x in names if self.where[x]), default=0)
 
     def end_open(self, ends, borders) -> None:
-        for d in range(len(self.names) - 1, 0, -1):
-            if self.names[d] in ends:
-                self.shut(d)
-            elif self.names[d] in borders:
-                return
+        while (d := self.nearest(ends)) and d > self.nearest(borders):
+            self.shut(d)
 
-    def handle_starttag(self, tag, attrs):
+    def leave_head(self) -> None:
+        if (d := self.nearest(("head",))) and d > self.nearest(("template",)):
+            self.shut(d)
+
+    def start_tag(self, tag: str, attributes: list[tuple[str, str]], closed: bool) -> None:
         if tag == "html":
             return
+        if tag not in IN_HEAD:
+            if self.where["head"]:
+                self.leave_head()
+            if len(self.names) == 1 and tag != "body":
+                self.enter("body", 0, None)
+            elif tag == "body" and self.where["body"]:
+                return
         if tag in ENDS:
             self.end_open(*ENDS[tag])
-        if tag in CLOSES_P and "p" in self.names[-12:]:
-            self.end_open({"p"}, {"table", "td", "th", "button", "object", "caption"} | (BLOCK - {"p"}))
-        if tag == "br":
+        if tag in CLOSES_P and self.names[self.blocks[-1]] == "p" and self.blocks[-1] > self.nearest(("button", "object")):
+            self.shut(self.blocks[-1])
+        if tag == "br" and not self.hidden:
+            self.begin()
             self.piece.append(" ")
-        if tag in VOID:
+        if tag in VOID or (closed and (self.where["math"] or self.where["svg"])):
             if tag == "hr":
                 self.flush()
             return
-        if tag == "a" and self.links:
-            self.end_open({"a"}, BLOCK)
+        if tag == "a" and self.links and self.where["a"][-1] > self.blocks[-1]:
+            self.shut(self.where["a"][-1])
         if tag in BLOCK:
             self.flush()
         hints, mark = 0, None
-        for k, v in attrs:
+        for k, v in attributes:
             if k in ("class", "id", "role", "itemprop") and v:
                 for w in _TOKEN.findall(v):
                     if (h := HINT_OF.get(w.lower())) is not None:
                         hints |= 1 << h
             elif k == "data-label":
                 mark = v
-        node = self.tree.add(tag, self.open[-1], hints, mark=mark)
-        self.open.append(node)
+        self.enter(tag, hints, mark)
+
+    def enter(self, tag: str, hints: int, mark: str | None) -> None:
+        depth = len(self.names)
+        self.open.append(self.tree.add(tag, self.open[-1], hints, mark=mark))
         self.names.append(tag)
+        self.where[tag].append(depth)
+        if tag in BLOCK:
+            self.blocks.append(depth)
         self.hidden += tag in HIDDEN
         self.links += tag == "a"
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
+    def end_tag(self, tag: str) -> None:
+        if tag not in ("html", "body") and tag not in VOID and self.where[tag]:
+            self.shut(self.where[tag][-1])
 
-    def handle_endtag(self, tag):
-        if tag in ("html", "body") or tag in VOID:
-            return
-        if tag in self.names[1:]:
-            self.shut(len(self.names) - 1 - self.names[::-1].index(tag))
+    def begin(self) -> None:
+        """Hangs what follows under the innermost block element, if a block begins here."""
+        if not self.piece:
+            self.home = self.open[self.blocks[-1]]
 
-    def handle_data(self, data):
+    def text(self, data: str, decoded: bool = True) -> None:
+        if self.names[-1] in ("head", "html") and not data.isspace():
+            self.leave_head()
+            if len(self.names) == 1:
+                self.enter("body", 0, None)
         if self.hidden:
             return
-        if not self.piece:
-            d = len(self.names) - 1
-            while d and self.names[d] not in BLOCK:
-                d -= 1
-            self.home = self.open[d]
+        if decoded and "&" in data:
+            data = unescape(data)
+        self.begin()
         self.piece.append(data)
         if self.links:
             self.linked += len(data.strip())
@@ -186,7 +289,6 @@ class _Builder(HTMLParser):
 def parse(html: str) -> Tree:
     b = _Builder()
     b.feed(html)
-    b.close()
     b.shut(1)
     b.flush()
     return b.tree
@@ -371,16 +473,19 @@ def labelled_page(rng: random.Random) -> str:
             body.append(rng.choice((advert, extra, notice, form))())
     if rng.random() < 0.15:
         body.append(comments())
-    inner = "".join(body)
-    main = _mark(rng, rng.choice(("article", "article", "article", "main", "div", "section", "td")), ["content", "post", "article-body", "entry-content", "story", "main-content"], 1, inner, 0.5)
-    if "<td" in main[:4]:
+    bare = rng.random() < 0.1  # the article's parts stand in the body itself
+    inner = " ".join(s() for _ in range(rng.randrange(1, 8))) if bare and rng.random() < 0.4 else "".join(body)
+    main = inner if bare else _mark(rng, rng.choice(("article", "article", "article", "main", "div", "section", "td")), ["content", "post", "article-body", "entry-content", "story", "main-content"], 1, inner, 0.5)
+    if bare:
+        pass
+    elif "<td" in main[:4]:
         main = f"<table><tr>{main}</tr></table>"
     elif rng.random() < 0.3:
         main = f'<div class="{rng.choice(("wrap", "container", "page", "row"))}">{main}</div>'
     before = [f() for f in (header, menu, advert, notice, form, sidebar) if rng.random() < 0.45]
     after = [f() for f in (comments, sidebar, extra, advert, notice, form, footer, footer) if rng.random() < 0.4]
     rng.shuffle(before)
-    return f"<!DOCTYPE html><html><head><title>{s(4)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>{''.join(before)}{main}{''.join(after)}</body></html>"
+    return f"<!DOCTYPE html><html><head><title>{s(4)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body{' data-label="1"' if bare else ""}>{''.join(before)}{main}{''.join(after)}</body></html>"
 
 
 @lru_cache(maxsize=1)

@@ -2,12 +2,18 @@
 
 Every document is tokenised and closed with an end id. Its full windows of the longest context are sequences of their
 own; what is left over (shorter than one window) is routed to the smallest context tier that holds it. A pool of such
-pieces is packed tier by tier, longest first: each long piece opens a window, the gap behind it takes the largest piece of
-the shorter tiers that fits, again and again, and a last gap of at least ``min_fill`` tokens is filled by cutting one
-piece. Sequences of a pool are dealt into step groups of ``group_size`` so that the groups' attention costs (sums of squared
+pieces is packed tier by tier, longest first, each tier into sequences of its own length: a piece of the tier opens a window, and the
+gap behind it takes the largest piece that fits from the tier and the shorter ones, again and again. What no piece fits any more is
+filled by cutting one; only in the longest tier a gap of less than ``min_fill`` tokens is left (and padded), the shorter tiers' windows
+are full. So a short document stands in a short window unless it fills a gap of a longer one. Step groups hold sequences of one tier,
+``group_size`` windows of the longest tier or as many tokens in shorter ones, dealt so that the groups' attention costs (sums of squared
 piece lengths) stay level. The pool left at the end of a partition is closed with sequences whose lengths are powers of two,
 so that it needs no padding.
 
+The ids are those that the ``tokenizers`` library makes with ``vocabulary``. Most texts are encoded with ``ranks``, the same vocabulary
+for the faster ``tiktoken``; that one overflows its stack on very long runs of white space, so texts with a run of ``LONG_RUN`` or more
+characters are encoded by ``tokenizers`` itself.
+
 Scale: one pass without a shuffle. A task holds one pool (``pool_tokens`` tokens of ids) and one Arrow batch; a lost
 task is recomputed from its input split alone. Ids of sequences and step groups carry the partition's number in their upper bits.
 
@@ -19,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator
@@ -39,22 +46,43 @@ SCHEMA = (
 )
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    """The byte-level BPE whose ranks lie at path; texts that spell special tokens are ordinary text."""
-    import public_tokenizers
-    import tiktoken
+#: A text with so much white space in one place is not given to tiktoken, which overflows its stack at some ten times as much.
+LONG_RUN = 30_000
+_LONG_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
+
+
+class Encoder:
+    """Token ids of texts; texts that spell special tokens are ordinary text."""
+
+    def __init__(self, vocabulary: str, ranks: str | None):
+        import public_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.exact = Tokenizer.from_file(vocabulary)
+        self.exact.encode_special_tokens = True
+        self.fast = None
+        if ranks:
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    def ids(self, text: str) -> list[int]:
+        if self.fast is None or (len(text) >= LONG_RUN and _LONG_RUN.search(text)):
+            return self.exact.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
 
-def default_vocabulary() -> str:
-    """Ranks of byte_bpe_50k.json: the same ids, read by a faster library."""
+
+@lru_cache(maxsize=2)
+def encoder(vocabulary: str, ranks: str | None = None) -> Encoder:
+    return Encoder(vocabulary, ranks)
+
+
+def default_vocabulary() -> tuple[str, str]:
+    """byte_bpe_50k.json, and the same vocabulary as ranks."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 @dataclass(order=True)
@@ -80,20 +108,20 @@ def split_document(doc_id, ids: np.ndarray, window: int) -> tuple[list[Piece], P
     return pieces, rest
 
 
-def pack_pool(pool: Iterable[Piece], tiers=TIERS, min_fill: int = 8) -> tuple[list[list[Piece]], list[Piece]]:
-    """Windows of the longest tier that are full but for less than min_fill tokens, and the pieces of the last, unfilled one."""
-    window = tiers[-1]
+def pack_pool(pool: Iterable[Piece], tiers=TIERS, min_fill: int = 8) -> tuple[list[tuple[int, list[Piece]]], list[Piece]]:
+    """(tier, window) for windows that are full, but for less than min_fill tokens in the longest tier, and the pieces of the last, unfilled one."""
     shelves: list[list[Piece]] = [[] for _ in tiers]
     for p in pool:
-        shelves[next(i for i, t in enumerate(tiers) if p.length <= t)].append(p)
+        shelves[_tier(p.length, tiers)].append(p)
     for s in shelves:
         s.sort()
-    done: list[list[Piece]] = []
+    done: list[tuple[int, list[Piece]]] = []
     for k in range(len(tiers) - 1, -1, -1):
+        least = min_fill if k == len(tiers) - 1 else 1
         while shelves[k]:
             opened = [shelves[k].pop()]
-            gap = window - opened[0].length
-            while gap >= min_fill:
+            gap = tiers[k] - opened[0].length
+            while gap >= least:
                 if p := _largest(shelves, k, gap):
                     opened.append(p)
                     gap -= p.length
@@ -102,13 +130,17 @@ def pack_pool(pool: Iterable[Piece], tiers=TIERS, min_fill: int = 8) -> tuple[li
                 if donor is None:
                     return done, opened
                 head, tail = donor.pop(0).cut(gap)
-                insort(shelves[next(i for i, t in enumerate(tiers) if tail.length <= t)], tail)
+                insort(shelves[_tier(tail.length, tiers)], tail)
                 opened.append(head)
                 gap = 0
-            done.append(opened)
+            done.append((tiers[k], opened))
     return done, []
 
 
+def _tier(length: int, tiers) -> int:
+    return next(i for i, t in enumerate(tiers) if length <= t)
+
+
 def _largest(shelves: list[list[Piece]], top: int, gap: int) -> Piece | None:
     """Takes the longest piece that fits from this tier or a shorter one."""
     for s in reversed(shelves[: top + 1]):
@@ -153,14 +185,14 @@ class _Packer:
     def __init__(self, partition: int, tiers, pool_tokens: int, min_fill: int, group_size: int):
         self.tiers, self.pool_tokens, self.min_fill, self.group_size = tiers, pool_tokens, min_fill, group_size
         self.pool: list[Piece] = []
-        self.full: list[list[Piece]] = []
+        self.full: list[tuple[int, list[Piece]]] = []
         self.held = 0
         self.next_sequence = self.next_group = partition << 40
         self.cols: list[list] = [[] for _ in SCHEMA.split(",")]
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         full, rest = split_document(doc_id, ids, self.tiers[-1])
-        self.full += [[p] for p in full]
+        self.full += [(self.tiers[-1], [p]) for p in full]
         if rest:
             self.pool.append(rest)
         self.held += len(ids)
@@ -171,24 +203,24 @@ class _Packer:
         done, open_ = pack_pool(self.pool, self.tiers, self.min_fill)
         self.pool = open_
         if last:
-            done += close_remainder(open_)
+            done += [(self.tiers[_tier(sum(p.length for p in s), self.tiers)], s) for s in close_remainder(open_)]
             self.pool = []
-        seqs = self.full + done
-        groups = step_groups([sum(p.length**2 for p in s) for s in seqs], self.group_size)
         window = self.tiers[-1]
-        for seq, g in zip(seqs, groups, strict=True):
-            length = sum(p.length for p in seq)
-            padded = length if length & (length - 1) == 0 else window
-            tier = next(t for t in self.tiers if seq[0].length <= t)
-            at = 0
-            for p in seq:
-                crc = zlib.crc32(p.ids.tobytes())
-                row = (p.doc_id, p.start, p.length, crc, p.doc_tokens, self.next_sequence, at, length, padded, tier, self.next_group + g)
-                for c, v in zip(self.cols, row, strict=True):
-                    c.append(v)
-                at += p.length
-            self.next_sequence += 1
-        self.next_group += max(groups, default=-1) + 1
+        for tier in self.tiers:
+            seqs = [s for t, s in self.full + done if t == tier]
+            groups = step_groups([sum(p.length**2 for p in s) for s in seqs], self.group_size * window // tier)
+            for seq, g in zip(seqs, groups, strict=True):
+                length = sum(p.length for p in seq)
+                padded = length if length & (length - 1) == 0 else window
+                at = 0
+                for p in seq:
+                    crc = zlib.crc32(p.ids.tobytes())
+                    row = (p.doc_id, p.start, p.length, crc, p.doc_tokens, self.next_sequence, at, length, padded, tier, self.next_group + g)
+                    for c, v in zip(self.cols, row, strict=True):
+                        c.append(v)
+                    at += p.length
+                self.next_sequence += 1
+            self.next_group += max(groups, default=-1) + 1
         self.full, self.held = [], sum(p.length for p in self.pool)
 
     def take(self) -> pa.RecordBatch:
@@ -203,6 +235,7 @@ def pack(
     docs: DataFrame,
     *,
     vocabulary: str | None = None,
+    ranks: str | None = None,
     tiers: tuple[int, ...] = TIERS,
     end_id: int = 0,
     pool_tokens: int = 1 << 20,
@@ -212,19 +245,20 @@ def pack(
     """One row per piece: where it lies in its document and in its sequence (SCHEMA).
 
     ``length`` ids from ``start`` of the document lie at ``offset`` of sequence ``sequence_id``, which holds
-    ``sequence_length`` ids and is padded to ``padded_length``; ``tier`` is the context tier of the piece that opened it.
+    ``sequence_length`` ids and is padded to ``padded_length``; ``tier`` is the context length of its tier. ``vocabulary`` is a file of
+    the tokenizers library and ``ranks`` the same vocabulary for tiktoken (optional).
     """
-    path = vocabulary or default_vocabulary()
+    files = (vocabulary, ranks) if vocabulary else default_vocabulary()
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end = encoder(path), np.array([end_id], "<u4")
+        enc, end = encoder(*files), np.array([end_id], "<u4")
         packer = _Packer(TaskContext.get().partitionId(), tiers, pool_tokens, min_fill, group_size)
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.asarray(enc.encode_ordinary(text.as_py() or ""), "<u4")
+                ids = np.asarray(enc.ids(text.as_py() or ""), "<u4")
                 packer.add(doc_id, np.concatenate([ids, end]))
                 if len(packer.cols[0]) >= 20_000:
                     yield packer.take()

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 
 import pytest
 
@@ -41,6 +42,18 @@ PAGES = {
 }
 
 
+PAGES |= {
+    "no head and body tags": ("<title>t</title><nav><a href=/a>Home</a></nav><article><p>First paragraph with many words, and more.</p></article>", "First paragraph with many words, and more."),
+    "an open head": ("<html><head><title>t</title><meta name=x><script>var a='<p>';</script><nav><a href=/a>Home</a></nav><article><p>First paragraph with many words, and more.</p></article>", "First paragraph with many words, and more."),
+    "text ends the head": ("<head><title>t</title>Hello<article><p>First paragraph with many words, and more of them here.</p></article>", "First paragraph with many words, and more of them here."),
+    "a line break first": ("<nav><a href=/a>Home</a></nav><article><br>Story of the day, with many words in it.</article>", "Story of the day, with many words in it."),
+    "formula and fall-backs": ("<body><article><p>The sum <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>TeX</annotation></math> of a long sentence, as said.</p><object>Words of an object, many of them, in a row.</object><noscript><p>Words for readers without scripts, many of them.</p></noscript><svg><text>no</text></svg></article>", "The sum x=2 of a long sentence, as said.\n\nWords of an object, many of them, in a row.\n\nWords for readers without scripts, many of them."),
+    "raw text": ("<body><article><p>A long sentence, with a &lt;tag&gt; in it, stands here.</p><style>p > a {}</style><script>if (a</b) '</article>'</script><p>Another long sentence, with 1 < 2 in it.</p></article>", "A long sentence, with a <tag> in it, stands here.\n\nAnother long sentence, with 1 < 2 in it."),
+    "comments": ("<body><article><!-- <p>no</p> --><p>A long sentence, with some words in it.</p><!--><p>Another sentence, of as many words.</p><!--></article>", "A long sentence, with some words in it.\n\nAnother sentence, of as many words."),
+    "attributes": ("""<body><div class='ad' title="a > b">Buy this thing now.</div><article data-x=a/b lang='en'><p id="p>1">A long sentence, with some words in it.</p></article></body>""", "A long sentence, with some words in it."),
+}
+
+
 @pytest.mark.parametrize("name", PAGES)
 def test_pages(name):
     html, want = PAGES[name]
@@ -51,6 +64,10 @@ def test_odd_markup_does_not_break_or_take_long():
     m = H.model()
     for html in ("", "plain words", "<", "<p", "</p></div>", "<div>" * 30_000 + "x", "<p>" * 30_000 + "x", "<b>" * 20_000 + "x", "<table><tr><td>a<td>b<tr><td>c</table>", "<!-- x", "<article><p>&bogus; &#0; &#x110000; &#55296;</p></article>", "a\x00b"):
         H.main_text(html, m)
+    for unit in ("<", "<!--", "<a ", "</", "&", "<!", '<a b="', "<script>", "<textarea>", "<div>", "<li>", "<b>", "<div></p>", "<b></i>", "<ul><li><div>", "<table><tr><td>", "<button><p>", "<a href=x><p>"):
+        began = time.process_time()
+        H.main_text(unit * 50_000 + "x", m)
+        assert time.process_time() - began < 10, unit  # quadratic work takes minutes
     long = "<article>" + "<p>Some words of a paragraph, and more of them, to the end.</p>" * 3000 + "</article>"
     assert H.main_text(long, m).count("\n\n") == 2999
 

@@ -59,15 +59,115 @@ def test_big_endian_planar_16_bit():
     assert page.samples == want
 
 
+def one_page(order, entries, body):
+    """A page made by hand: body right behind the header, entries (tag, type, count, value)."""
+    rows = sorted(entries)
+    mark = b"MM" if order == ">" else b"II"
+    head = struct.pack(order + "2sHI", mark, 42, 8 + len(body))
+    pack = lambda k, n, v: struct.pack(order + "HH", v, 0) if k == 3 and n == 1 else struct.pack(order + "I", v)
+    return head + body + struct.pack(order + "H", len(rows)) + b"".join(struct.pack(order + "HHI", t, k, n) + pack(k, n, v) for t, k, n, v in rows) + struct.pack(order + "I", 0)
+
+
+@pytest.mark.parametrize("bits, row, want", [(1, b"\xb0", [1, 0, 1]), (2, b"\x1b", [0, 1, 2]), (4, b"\xab\xc0", [10, 11, 12])])
+def test_samples_of_less_than_a_byte(bits, row, want):
+    data = one_page("<", [(256, 3, 1, 3), (257, 3, 1, 2), (258, 3, 1, bits), (259, 3, 1, 1), (273, 4, 1, 8), (279, 4, 1, 2 * len(row))], row * 2)
+    (page,) = M.decode(data)
+    assert list(page.samples) == want * 2 and page.bits == bits
+
+
+@pytest.mark.parametrize("order", "<>")
+@pytest.mark.parametrize("bits, kind", [(16, "f2"), (32, "f4"), (64, "f8")])
+def test_floating_point_predictor(order, bits, kind):
+    a = np.random.default_rng(bits).normal(size=(3, 5, 2)).astype(kind)
+    body = b""
+    for row in a:
+        planes = row.astype(">" + kind).reshape(-1).view("u1").reshape(10, -1).T.reshape(-1, 2)
+        body += np.concatenate((planes[:1], planes[1:] - planes[:-1])).tobytes()
+    data = one_page(order, [(256, 3, 1, 5), (257, 3, 1, 3), (258, 3, 1, bits), (259, 3, 1, 1), (277, 3, 1, 2), (317, 3, 1, 3), (273, 4, 1, 8), (279, 4, 1, len(body))], body)
+    (page,) = M.decode(data)
+    assert page.samples == a.astype("<" + kind).tobytes()
+
+
+def test_every_form_comes_back_and_is_used():
+    payloads = [M.payload_of(f"text {i} " * (i % 90))[0] for i in range(200)]
+    assert {M.form_of(p) for p in payloads} == set(M.FORMS)
+    for p in payloads:
+        assert b"".join(x.samples for x in M.decode(M.store(p, *M.form_of(p)))) == p
+
+
+def rows(data):
+    return list(M.page_rows(1, data))
+
+
 def test_loop_and_damage_are_errors():
     good = M.store(M.payload_of("x" * 700)[0])
     loop = bytearray(good)
     first = struct.unpack_from("<I", loop, 4)[0]
     n = struct.unpack_from("<H", loop, first)[0]
     struct.pack_into("<I", loop, first + 2 + 12 * n, first)
-    for bad in (bytes(loop), good[:40], b"", b"II*\0", good[:-20]):
-        ((_, page, *_, error),) = M.page_rows(1, bad)
-        assert page is None and error
+    assert [(r[1], r[9] is None, r[-1]) for r in rows(bytes(loop))] == [(0, False, None), (1, True, "the directory chain has a loop")]
+    for bad in (good[:40], b"", b"II*\0", good[:-20]):
+        ((_, page, *_, samples, error),) = rows(bad)
+        assert page == 0 and samples is None and error
+
+
+def damaged(tag, value, data=None):
+    """A stored value with one tag of its first directory overwritten."""
+    data = bytearray(data or M.store(M.payload_of("some text " * 90)[0]))
+    first = struct.unpack_from("<I", data, 4)[0]
+    for k in range(struct.unpack_from("<H", data, first)[0]):
+        at = first + 2 + 12 * k
+        if struct.unpack_from("<H", data, at)[0] == tag:
+            struct.pack_into("<HII", data, at + 2, *value)
+    return bytes(data)
+
+
+@pytest.mark.parametrize("tag, value", [(M.ROWS_PER_STRIP, (4, 1, 0)), (M.WIDTH, (4, 0, 5)), (M.HEIGHT, (4, 1, 4_000_000_000)), (M.WIDTH, (4, 1, 4_000_000_000)), (M.STRIP_OFFSETS, (4, 1, 0xFFFFFFF0)), (M.STRIP_COUNTS, (4, 1, 3)), (M.COMPRESSION, (3, 1, 7)), (M.BITS, (3, 1, 9)), (M.CHANNELS, (3, 1, 0)), (M.WIDTH, (9, 1, 0xFFFFFFFF))])
+def test_damaged_directories_give_a_row(tag, value):
+    ((_, page, _, *_, samples, error),) = rows(damaged(tag, value))
+    assert page == 0 and samples is None and error
+
+
+def test_a_bad_page_does_not_cost_the_good_ones():
+    pages = [M.Page(16, 16, 8, 1, M.DEFLATE, 1, noise(256, k)) for k in range(3)]
+    whole = bytearray(M.encode(pages))
+    second = M.encode(pages[:1])
+    whole[len(second) + 4] ^= 0xFF  # within the second page's strip
+    got = rows(bytes(whole))
+    assert [(r[1], r[2], r[-1] is None) for r in got] == [(0, 3, True), (1, 3, False), (2, 3, True)]
+    assert got[0][9] == pages[0].samples and got[2][9] == pages[2].samples
+
+
+def test_a_thousand_damaged_values():
+    rng = np.random.default_rng(5)
+    for k in range(1000):
+        data = bytearray(M.store(noise(576 * (1 + k % 3), k, 5), *M.FORMS[k % len(M.FORMS)]))
+        for _ in range(rng.integers(1, 8)):
+            at = rng.integers(0, len(data)) if rng.random() < 0.4 else rng.integers(max(0, len(data) - 160), len(data))
+            data[at] = rng.integers(0, 256)
+        if rng.random() < 0.3:
+            data = data[: rng.integers(0, len(data))]
+        for r in rows(bytes(data)):
+            assert (r[9] is None) == (r[-1] is not None)
+
+
+def test_digests_against_plain_python(spark):
+    import hashlib
+    import zlib
+
+    texts = {1: "hi", 2: None, 3: "é" * 3000, 4: "", 5: "some words " * 200}
+    got = {r.doc_id: r for r in M.digests(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i, t in texts.items():
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * ((-len(raw)) % 576 if raw else 576)
+        a = np.frombuffer(payload, "u1").astype("i8")
+        steps = np.abs(np.diff(a.reshape(-1, 576), axis=1))
+        bands = ",".join(str(int((a // 16 == k).sum()) * 1000 // len(a)) for k in range(16))
+        media = M.store(payload, *M.FORMS[zlib.crc32(payload) % len(M.FORMS)])
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(payload[-32:]) and (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert r.feature == f"{r.pages}:{int(a.sum()) * 1000 // len(a)}:{int(steps.sum()) * 1000 // steps.size}:{bands}"
 
 
 def test_rows_per_page_and_nulls(spark):
@@ -76,9 +176,9 @@ def test_rows_per_page_and_nulls(spark):
     out = {(r.doc_id, r.pages): r for r in M.digests(docs).collect()}
     assert set(out) == {(1, 1), (2, 1), (3, 2), (4, 1)}
     assert out[2, 1].n_bytes == 0 and out[2, 1].payload_bytes == M.ROW and out[2, 1].payload_sha256 == out[4, 1].payload_sha256
-    pages = M.read_pages(M.store_texts(docs, compression=M.PACKBITS)).collect()
+    pages = M.read_pages(M.store_texts(docs, forms=((M.PACKBITS, 1, None),))).collect()
     assert sorted((r.id, r.page) for r in pages) == [(1, 0), (2, 0), (3, 0), (3, 0), (3, 1), (3, 1), (4, 0)]
     assert b"".join(r.samples for r in sorted(pages, key=lambda r: (r.id, r.page)) if r.id == 1) == M.payload_of("hi")[0]
     media = spark.createDataFrame([(9, None), (8, bytearray(b"junk"))], "id long, media binary")
-    assert sorted((r.id, r.page, r.error is None) for r in M.read_pages(media).collect()) == [(8, None, False), (9, None, False)]
+    assert sorted((r.id, r.page, r.error is None) for r in M.read_pages(media).collect()) == [(8, 0, False), (9, None, False)]
     assert M.digests(docs.limit(0)).count() == 0
