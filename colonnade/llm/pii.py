@@ -6,14 +6,16 @@ com), account numbers (IBAN), social security numbers and hardware addresses. Ev
 context features (lengths, character classes, entropy, check digits, neighbours, cue words before it). Gradient-boosted trees
 score it, and each kind has a threshold chosen on held-out labelled spans for a precision of ``PRECISION``. Of overlapping
 proposals that pass, the base span wins, then the higher score, then the earlier and longer; only a secret stays beside base spans
-that are smaller parts of it, for by chance a long one holds a card number. Neither a secret nor the name before it has a longest length.
+that are smaller parts of it, for by chance a long one holds a card number. Neither a secret nor the name before it nor the parts of a
+spelled-out address have a longest length; the other formats have the lengths that their standards give.
 
 The trees are trained in the driver on labelled spans that ``labelled`` writes from a seed (``EXAMPLES`` of each kind, half of them
 look-alikes: dates, versions, prices, order numbers, hashes of files); nothing is learned from the corpus, so results do not
 depend on its size. The model (a few thousand numbers) travels with the tasks.
 
 Scale: one pass over whole texts without a shuffle; a task holds one Arrow batch. Every pattern is anchored so that its work is
-linear in the text, runs of 100,000 digits or pluses included; secrets are found from the = or : sign, the name backwards from it.
+linear in the text, runs of 100,000 digits or pluses included; secrets are found from the = or : sign and spelled-out addresses from
+their "at", the name backwards from it. Overlaps are found in marks over the text and by bisection, so many spans cost no more each.
 
 Defined results: null and empty texts have no spans; repeated rows give repeated rows; an empty table an empty result; other
 columns do not matter. Positions are code points, ends exclusive.
@@ -25,6 +27,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -53,9 +56,12 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ASSIGNED = re.compile(r"[=:][\x20]{0,2}[\"']?([A-Za-z0-9+/_-]{16,}+={0,2}+)(?![A-Za-z0-9+/_=-])")
 NAME = LOCAL - frozenset("%+")
 NAME_START = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z]")
+#: " at host dot com" in words or brackets, as it follows a name.
+SPELLED = re.compile(
+    r"(?<=[A-Za-z0-9._-])(?:\x20?[\[({]\x20?|\x20)(?:at|AT)(?:\x20?[\])}]\x20?|\x20)[A-Za-z0-9-]++(?:\x20?[\[({]\x20?|\x20)(?:dot|DOT)(?:\x20?[\])}]\x20?|\x20)[A-Za-z]{2,12}(?![A-Za-z])"
+)
 MORE = {
     "national_phone": re.compile(r"(?<![0-9A-Za-z+.(-])\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{2,4}(?:[\x20./-][0-9]{2,5}){1,3}(?![0-9A-Za-z-])"),
-    "spelled_email": re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}[\x20]?[\[({]?[\x20]?(?:at|AT)[\x20]?[\])}]?[\x20]?[A-Za-z0-9-]{1,63}[\x20]?[\[({]?[\x20]?(?:dot|DOT)[\x20]?[\])}]?[\x20]?[A-Za-z]{2,12}(?![A-Za-z])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "mac": re.compile(r"(?<![0-9A-Fa-f:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:-])"),
@@ -76,6 +82,9 @@ CUES = {
 }
 
 
+QUOTES, SIGNS = frozenset("\"'"), frozenset("#$€v")  # one character each: the text's borders are none of them
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -133,12 +142,28 @@ def secrets(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def spelled_emails(text: str) -> list[tuple[int, int, str]]:
+    """Addresses whose signs are spelled out; a name starts where its run of letters, digits and ._- does."""
+    found, last = [], 0
+    for m in SPELLED.finditer(text):
+        start = m.start()
+        while start > last and text[start - 1] in NAME:
+            start -= 1
+        if start < m.start():
+            found.append((start, m.end(), "spelled_email"))
+        last = m.end()
+    return found
+
+
+GENERATORS = {"secret": secrets, "spelled_email": spelled_emails}
+
+
 def proposals(text: str) -> list[tuple[int, int, str]]:
     """Overlapping spans of the wider formats."""
     found = []
     for kind in MORE_KINDS:
         if HINTS[kind].search(text):
-            found += secrets(text) if kind == "secret" else [(*m.span(), kind) for m in MORE[kind].finditer(text)]
+            found += GENERATORS[kind](text) if kind in GENERATORS else [(*m.span(), kind) for m in MORE[kind].finditer(text)]
     return found
 
 
@@ -162,7 +187,7 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
         len(groups), groups[0], groups[-1], max(groups), float(bool(digits) and luhn("".join(digits))), float(kind == "iban" and iban_remainder(span) == 1),
         float(kind == "ssn" and (span[:3] in ("000", "666") or span[0] == "9" or span[4:6] == "00" or span[7:] == "0000")),
         float(groups[0] in (19, 20) or (len(groups) > 1 and span[:2] in ("19", "20") and groups[0] == 4)), float(len(groups) > 2 and all(int("".join(g)) <= 31 for g in re.findall(r"[0-9]{1,2}", span)[:2])),
-        float(before[-1:].isalnum()), float(before[-1:] in "\"'"), float(before[-1:] in "#$€v"), float(after[:1] in "\"'"), float(after[:1].isalnum()),
+        float(before[-1:].isalnum()), float(before[-1:] in QUOTES), float(before[-1:] in SIGNS), float(after[:1] in QUOTES), float(after[:1].isalnum()),
         *[float(bool(c.search(before))) for c in CUES.values()],
     ]
 
@@ -252,11 +277,39 @@ class Judge:
         if not wide:
             return base, base
         scores = self.trees.scores(np.array([features(text, *s) for s in wide]))
-        taken = list(base)
+        free = _Free(base, len(text))
+        added = []
         for score, s in sorted(zip(scores.tolist(), wide, strict=True), key=lambda p: (-p[0], p[1][0], -p[1][1])):
-            if score >= self.thresholds[s[2]] and all(s[1] <= a or b <= s[0] or (s[2] == "secret" and k in BASE_KINDS and s[0] <= a and b <= s[1] and b - a < s[1] - s[0]) for a, b, k in taken):
-                taken.append(s)
-        return base, sorted(taken, key=lambda s: (s[0], KINDS.index(s[2])))
+            if score >= self.thresholds[s[2]] and free.takes(*s):
+                added.append(s)
+        return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
+
+
+class _Free:
+    """What of a text no chosen span covers. Base spans are known at first; added ones never overlap each other."""
+
+    def __init__(self, base: list[tuple[int, int, str]], length: int):
+        self.whole = {(a, b) for a, b, _ in base}
+        self.starts = [a for a, _, _ in base]
+        self.ends = np.maximum.accumulate([b for _, b, _ in base]).tolist() if base else []  # largest end up to each base span
+        self.added = bytearray(length)
+
+    def _end_before(self, at: int) -> int:
+        """The largest end of the base spans that start before a position."""
+        k = bisect_left(self.starts, at)
+        return self.ends[k - 1] if k else 0
+
+    def takes(self, start: int, end: int, kind: str) -> bool:
+        """Whether the span may stay, which then is marked. Secrets may hold smaller base spans, others may touch none."""
+        if self.added.find(1, start, end) >= 0:
+            return False
+        if kind == "secret":
+            if self._end_before(start) > start or self._end_before(end) > end or (start, end) in self.whole:
+                return False
+        elif self._end_before(end) > start:
+            return False
+        self.added[start:end] = b"\1" * (end - start)
+        return True
 
 
 @lru_cache(maxsize=1)
