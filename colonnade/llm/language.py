@@ -12,10 +12,13 @@ it is near 0 for unknown languages and for even mixtures, and at a level that th
 if the two languages' own posteriors are within TIE of even, or if its lead is below ``LEAST_LEAD`` of the clean level. Short texts have
 noisy leads: where clean windows scatter below that share, the bound sinks by their scatter, which falls with the root of the length.
 
-The fit uses a bounded sample: at most ``SAMPLE_CELLS`` documents a language (one for each cell of a hash of doc_id) and at most
-``MAX_LANGUAGES`` languages. Only thin columns are shuffled to choose them; their texts are counted by the executors, and the
-driver gets one row of ``BUCKETS`` counts for each language and 64 training windows at most. Prediction is one pass without a
-shuffle over whole texts, in blocks of ``BLOCK`` documents, with a model of BUCKETS x BITS floats.
+The fit uses a bounded sample: at most ``SAMPLE_CELLS`` texts a language, one for each cell of a hash of doc_id, and the ``MAX_LANGUAGES``
+languages with most rows. One in ``CALIBRATE_EVERY`` of a language's texts (by the hash) isn't counted: windows of these held-back texts
+settle the bits' weights and scales and what a clean lead is; a language with fewer texts lends them for both. Everything is picked by hashes and
+summed in whole numbers, and a text's margins come from its own n-grams alone, so results don't depend on the order or the partitions of
+the rows. Only thin columns are shuffled to choose the sample; its texts are counted by the executors, and the driver gets one row of
+``BUCKETS`` counts and at most SAMPLE_CELLS / CALIBRATE_EVERY x WINDOWS windows for each language. Prediction is one pass without a
+shuffle over whole texts, with a model of BUCKETS x BITS floats.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without any labelled row everything is ``und``;
 with a single language every text with a letter has it with score 1 and stays. Repeated rows give repeated rows, an empty table an empty
@@ -34,13 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colonnade.llm.batches import bounded_batches
+from colonnade.session import shared_checkpoints
 
 BUCKETS = 1 << 14
 BITS = 31
 SAMPLE_CELLS = 512
 FIT_TASKS = 32
 MAX_LANGUAGES = 512
-BLOCK = 48
+CALIBRATE_EVERY = 6
+WINDOWS = 8
+MAX_CALIBRATION = 4096
 UNKNOWN = "und"
 SMOOTHING = 0.2
 AMBIGUOUS = 0.75
@@ -72,12 +78,15 @@ def buckets_of(text: str) -> np.ndarray:
     return (h >> np.uint32(18)).astype("i8")
 
 
-def counts_of(texts: list[str]) -> np.ndarray:
-    """A row of BUCKETS n-gram counts for each text."""
-    out = np.empty((len(texts), BUCKETS), "f4")
+def margins_of(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mean log odds of each text's n-grams for each bit, and how many n-grams it has; text by text, so neighbours make no difference."""
+    margins, total = np.zeros((len(texts), weights.shape[1])), np.zeros(len(texts))
     for i, t in enumerate(texts):
-        out[i] = np.bincount(buckets_of(t), minlength=BUCKETS)
-    return out
+        counts = np.bincount(buckets_of(t), minlength=len(weights))
+        found = np.flatnonzero(counts)
+        total[i] = max(1, counts.sum())
+        margins[i] = counts[found].astype("f8") @ weights[found] / total[i]
+    return margins, total
 
 
 def codewords(n: int, bits: int = BITS, seed: int = 7) -> np.ndarray:
@@ -105,12 +114,10 @@ class Model:
     clean: float = 0.0  # lead of labelled windows
     slack: float = 0.0  # how far all but 1 % of them lie below it, times the root of their n-grams
 
-    def decode(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Best and second language, the posterior of the best, its share of the two's posterior and its lead for each row of counts."""
-        total = np.maximum(counts.sum(1, keepdims=True), 1)
-        margins = (counts @ self.weights) / total
+    def decode(self, margins: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Best and second language, the posterior of the best, its share of the two's posterior and its lead for each row of margins."""
         # longer texts have surer margins, so the loss is taken at a steepness that grows with the root of the length
-        steep = np.sqrt(np.minimum(total, 4096.0)) * margins / self.scale
+        steep = np.sqrt(np.minimum(total, 4096.0))[:, None] * margins / self.scale
         signs = np.where(self.words, 1.0, -1.0)
         loss = (np.logaddexp(0, -steep[:, None, :] * signs[None]) * self.trust).sum(2) / self.trust.sum() * 4
         order = np.argsort(loss, axis=1, kind="stable")
@@ -138,30 +145,37 @@ def fit(docs: DataFrame) -> Model:
     """Learns from rows (doc_id, text, lang) that are not held out."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    shared_checkpoints(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    able = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    able = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).withColumn("h", F.xxhash64("text"))
     draw = F.xxhash64("doc_id")
-    chosen = able.groupBy("lang", F.pmod(draw, F.lit(SAMPLE_CELLS)).alias("cell")).agg(F.min_by("doc_id", F.struct(draw, "doc_id")).alias("doc_id"))
-    ids = [tuple(r) for r in chosen.select("doc_id", "lang").limit(SAMPLE_CELLS * MAX_LANGUAGES + 1).collect()]
-    languages = sorted({lang for _, lang in ids})
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    cells = able.groupBy("lang", F.pmod(draw, F.lit(SAMPLE_CELLS)).alias("cell")).agg(F.min(F.struct(draw.alias("draw"), "doc_id", "h")).alias("pick"), F.count("*").alias("n")).checkpoint()
+    languages = sorted(r["lang"] for r in cells.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect())
     if not languages:
-        return Model([], np.zeros((0, BITS), bool), np.zeros((BUCKETS, BITS), "f4"), np.ones(BITS), np.ones(BITS))
-    picked = F.broadcast(spark.createDataFrame(ids, "pick_id long, pick_lang string"))
-    sample = able.join(picked, (F.col("doc_id") == F.col("pick_id")) & (F.col("lang") == F.col("pick_lang"))).select("lang", "text")
+        return Model([], np.zeros((0, BITS), bool), np.zeros((BUCKETS, BITS)), np.ones(BITS), np.ones(BITS))
+    kept = spark.createDataFrame([(x,) for x in languages], "lang string")
+    by_language: dict[str, list[tuple]] = {}
+    for r in sorted(cells.join(F.broadcast(kept), "lang").select("lang", "pick.draw", "pick.doc_id", "pick.h").collect()):  # at most SAMPLE_CELLS x MAX_LANGUAGES
+        by_language.setdefault(r["lang"], []).append((r["doc_id"], r["lang"], r["h"]))
+    picks = []
+    for found in by_language.values():
+        for k, pick in enumerate(found):
+            calibrates = len(found) < CALIBRATE_EVERY or k % CALIBRATE_EVERY == 0
+            picks.append((*pick, len(found) < CALIBRATE_EVERY or not calibrates, calibrates))
+    picked = F.broadcast(spark.createDataFrame(picks, "doc_id long, lang string, h long, counted boolean, calibrates boolean"))
+    sample = able.join(picked, ["doc_id", "lang", "h"]).dropDuplicates(["doc_id", "lang", "h"]).select("lang", "text", "counted", "calibrates")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         windows: dict[str, list[str]] = {}
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = text.as_py()
+            for lang, text, counted, calibrates in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 sums.setdefault(lang, np.zeros(BUCKETS, "i8"))
-                sums[lang] += np.bincount(buckets_of(text), minlength=BUCKETS)
                 held = windows.setdefault(lang, [])
-                if len(held) < 8 and len(text) > 8:
-                    held += [text[i : i + WINDOW] for i in range(0, len(text), max(WINDOW, len(text) // 8))][:8]
+                if counted:
+                    sums[lang] += np.bincount(buckets_of(text), minlength=BUCKETS)
+                if calibrates and len(text) > 8:
+                    held += [text[i : i + WINDOW] for i in range(0, len(text), max(WINDOW, -(-len(text) // WINDOWS)))]
         names = list(sums)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[k].tobytes() for k in names], pa.binary()), pa.array([windows[k] for k in names], pa.list_(pa.string()))], ["lang", "counts", "windows"])
 
@@ -178,7 +192,7 @@ def fit(docs: DataFrame) -> Model:
     for r in got:
         table[index[r["lang"]]] += np.frombuffer(r["counts"], "i8")
         windows += [(index[r["lang"]], w) for w in r["windows"]]
-    return fit_counts(languages, table, sorted(windows)[:: max(1, len(windows) // 4096)])
+    return fit_counts(languages, table, sorted(windows)[:: max(1, len(windows) // MAX_CALIBRATION)])
 
 
 def fit_counts(languages: list[str], table: np.ndarray, windows: list[tuple[int, str]]) -> Model:
@@ -190,44 +204,32 @@ def fit_counts(languages: list[str], table: np.ndarray, windows: list[tuple[int,
         if one.any() and not one.all():
             weights[:, b] = np.log(share[one].mean(0)) - np.log(share[~one].mean(0))
     weights -= (share.mean(0) @ weights)[None]  # the mean text is undecided
-    model = Model(languages, words, weights.astype("f4"), np.ones(BITS), np.ones(BITS))
+    model = Model(languages, words, weights, np.ones(BITS), np.ones(BITS))
     if len(languages) > 1 and windows:
-        counts = counts_of([w for _, w in windows])
+        margins, n = margins_of([w for _, w in windows], weights)
         truth = words[[i for i, _ in windows]]
-        margins = (counts @ model.weights) / np.maximum(counts.sum(1, keepdims=True), 1)
         right = ((margins > 0) == truth).mean(0)
         model.trust = np.maximum(0.05, 2 * right - 1)
         model.scale = np.maximum(1e-3, np.abs(margins).mean(0) * 4)
-        best, _, _, _, lead = model.decode(counts)
+        best, _, _, _, lead = model.decode(margins, n)
         good = best == [i for i, _ in windows]
         if good.any():
             model.clean = float(np.median(lead[good]))
-            model.slack = max(0.0, float(np.quantile((model.clean - lead[good]) * np.sqrt(counts[good].sum(1)), 0.99)))
+            model.slack = max(0.0, float(np.quantile((model.clean - lead[good]) * np.sqrt(n[good]), 0.99)))
     return model
 
 
 def judge(model: Model, texts: pa.Array, least: float = LEAST_LEAD) -> tuple[list, np.ndarray, list, np.ndarray]:
-    """Languages, scores and runners-up of a column of texts, and whether the language can be told; counted in blocks of BLOCK."""
+    """Languages, scores and runners-up of a column of texts, and whether the language can be told."""
     lang, second, score, told = [UNKNOWN] * len(texts), [None] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-    block: list[tuple[int, str]] = []
-
-    def settle() -> None:
-        counts = counts_of([t for _, t in block])
-        best, other, p, share, lead = model.decode(counts)
-        sure = model.told(share, lead, counts.sum(1), least)
-        for (i, _), k, m, s, ok in zip(block, best.tolist(), other.tolist(), p.tolist(), sure.tolist(), strict=True):
+    found = [(i, t) for i, x in enumerate(texts) if model.languages and (t := x.as_py()) and has_letter(t)]
+    if found:
+        margins, n = margins_of([t for _, t in found], model.weights)
+        best, other, p, share, lead = model.decode(margins, n)
+        sure = model.told(share, lead, n, least)
+        for (i, _), k, m, s, ok in zip(found, best.tolist(), other.tolist(), p.tolist(), sure.tolist(), strict=True):
             lang[i], score[i], told[i] = model.languages[k], s, ok
             second[i] = model.languages[m] if m != k else None
-        block.clear()
-
-    for i, text in enumerate(texts):
-        text = text.as_py()
-        if model.languages and text and has_letter(text):
-            block.append((i, text))
-            if len(block) == BLOCK:
-                settle()
-    if block:
-        settle()
     return lang, score, second, told
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from colonnade.llm import language as L
@@ -40,6 +41,41 @@ def test_held_out_rows_are_told_right(docs):
     assert [r.lang_pred for r in out if r.doc_id is None] == ["cc"]
 
 
+def test_results_do_not_depend_on_order_or_partitions(spark, docs):
+    from pyspark.sql import functions as F
+
+    runs = []
+    for d in (docs.coalesce(1), docs.orderBy(F.desc("text")).repartition(7), docs.repartition(23, "text")):
+        runs.append(sorted(((r.doc_id is None, r.doc_id or 0, r.lang_pred, r.score, r.runner_up or "", r.ambiguous) for r in L.identify(d).collect())))
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_decoding_against_a_plain_version(docs):
+    """Margins gram by gram, losses bit by bit, the nearest codeword of all."""
+    import math
+
+    model = L.fit(docs)
+    for r in docs.where("doc_id < 60").collect():
+        grams = L.buckets_of(r.text).tolist()
+        margins = [sum(model.weights[g, b] for g in grams) / len(grams) for b in range(L.BITS)]
+        loss = []
+        for word in model.words:
+            x = [math.sqrt(min(len(grams), 4096)) * m / s * (1 if one else -1) for m, s, one in zip(margins, model.scale, word)]
+            loss.append(sum(t * math.log1p(math.exp(-v)) if v > -700 else -t * v for t, v in zip(model.trust, x)) / sum(model.trust) * 4)
+        best = min(range(len(loss)), key=loss.__getitem__)
+        lang, score, _, _ = L.judge(model, pa.array([r.text]))
+        assert lang == [model.languages[best]]
+        assert score[0] == pytest.approx(1 / sum(math.exp(loss[best] - v) for v in loss), rel=1e-9)
+
+
+def test_repeated_rows_and_many_languages_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_LANGUAGES", 2)
+    rng = random.Random(4)
+    rows = [(i, text(rng, lang := "abc"[i % 3] * 2, 30), lang) for i in range(90)] + [(0, text(rng, "aa", 40), "aa")] * 50 + [(3, text(rng, "bb", 40), "bb")] * 9
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["aa", "bb"]
+
+
 def test_only_text_decides(docs):
     from pyspark.sql import functions as F
 
