@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,8 @@ from colonnade.codecs import events as C
 from colonnade.functions import bits, times
 from colonnade.operators.order import Ordered
 from colonnade.plans.registry import query
-from colonnade.session import shared_checkpoints, table
+from colonnade.session import scratch_folder as scratch
+from colonnade.session import table
 from colonnade.sources.events import events_view, read_json_lines
 from colonnade.streaming import late as L
 
@@ -30,12 +29,6 @@ def _tenths(s: Column) -> Column:
     return F.when(gap == 0, "baseline").otherwise(shown)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder in the shared place, for sinks that are read again."""
-    shared_checkpoints(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-
-
 def _as_json(events: DataFrame) -> DataFrame:
     """The source format: one JSON object a line."""
     repo = F.struct(F.col("repo_id").alias("id"), F.col("repo_name").alias("name"), F.concat(F.lit("https://api.github.com/repos/"), "repo_name").alias("url"))

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import shutil
+import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,16 +34,59 @@ def local_session(cpus: int | None = None, app: str = "colonnade") -> SparkSessi
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: the cluster's spark.checkpoint.dir if it names one, else a local folder of our own.
+    """Makes checkpoint() usable: the cluster's spark.checkpoint.dir if it names one; else, on a local master alone, a fresh folder that goes when Python ends.
 
-    The folder must be shared by driver and executors; only a local master (tests) gets the fallback.
+    The folder must be shared by driver and executors, so a cluster without the setting is an error.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "/tmp/checkpoints"
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)
+
+
+#: Folders made by scratch_folder and not yet dropped, with what deletes them.
+_folders: dict[str, Callable[[], object]] = {}
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The name of a fresh folder in the shared place, for tables that are read again. It is dropped when Python ends, or by drop_folders."""
+    shared_checkpoints(spark)
+    sc = spark.sparkContext
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not _folders:
+        atexit.register(_drop_all)
+    _folders[path] = lambda: files.delete(place, True)
+    return path
+
+
+def scratch_folders() -> set[str]:
+    """The scratch folders there are now."""
+    return set(_folders)
+
+
+def drop_folders(paths) -> None:
+    """Deletes scratch folders; DataFrames that read them must be done with."""
+    for p in paths:
+        _folders.pop(p)()
+
+
+def _drop_all() -> None:
+    for drop in _folders.values():
+        with contextlib.suppress(Exception):  # the JVM may be gone, and a file system with it
+            drop()
+    _folders.clear()
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """Written to a scratch folder and read again, so that later work starts from files that outlive executors."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,7 +1,11 @@
 """The corpus pipeline: language ID, near-duplicate removal, redaction, mixing of sources, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; run() writes every stage's result as Parquet to the
-shared folder and reads it again, so a lost executor costs a stage's tasks at most.
+shared folder and reads it again, so a lost executor costs a stage's tasks at most. What a stage wrote on its way, and its input, are deleted
+once its result is written.
+
+Nulls, empty texts, ties and repeated rows are as each stage's function in colonnade.llm.stages defines them; an empty table passes through
+as an empty table, and other columns of documents are carried along to the last stage.
 """
 
 from __future__ import annotations
@@ -9,8 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from colonnade.llm import stages
-from colonnade.llm.jaccard import shared_table
-from colonnade.session import table
+from colonnade.session import drop_folders, scratch_folders, shared_table, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +48,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = shared_table(docs)
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), scratch_folders()
+    for _, stage in STAGES[:-1]:
+        docs = shared_table(stage(spark, docs, sf_dir))
+        kept = set(docs.inputFiles())
+        drop_folders(p for p in scratch_folders() - before if not any(p in f for f in kept))
+    return STAGES[-1][1](spark, docs, sf_dir)
