@@ -27,7 +27,6 @@ do not matter.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 from colonnade.llm.batches import bounded_batches
 from colonnade.llm.components import components
 from colonnade.llm.shingles import mix, shingle_set
-from colonnade.session import shared_checkpoints
+from colonnade.session import shared_table
 
 SKETCH_BITS = 20
 SKETCH_BLOCKS = 64
@@ -65,15 +64,6 @@ def prefix_length(n: int, threshold=THRESHOLD) -> int:
     return n - -(-(num * n) // den) + 1
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again, so that later work starts from files that outlive executors."""
-    spark = df.sparkSession
-    shared_checkpoints(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sketch(docs: DataFrame, bits: int = SKETCH_BITS, size: int = SIZE) -> np.ndarray:
     """Counters of documents per shingle, by the upper bits of its hash; every document counts."""
     per = (1 << bits) // SKETCH_BLOCKS

@@ -3,14 +3,18 @@
 Groups sorted by size enter the bin with the tightest remaining capacity that still holds them, found in a balanced
 (AVL) tree over (remaining capacity, bin). With a fixed number of bins the capacity is the even share; what fits nowhere any more
 enters the bin with the most room. A group above the even share takes a bin of its own, and the share of the rest is
-reckoned anew: groups are never split, so equal texts share a shard. ``fewest_bins`` packs with a fixed capacity and opens a bin
-only when none fits.
+reckoned anew: groups are never split, so equal texts share a shard. With a ``capacity`` the shards are as few as the method
+finds: one is opened when no other holds a group, and a larger group has a shard of its own.
 
-Scale: the packing itself sees a bounded number of items. Groups of at least 1/256 of a shard are items by themselves (at most
-256 x shards of them, since their sizes sum to the total); all smaller ones are bundled by hash into 16,384 bundles, each an item.
-Only these items, at most 256 x shards + 16,384 rows, are collected and broadcast, whatever the data's size. Rows travel as
-ids, sizes and digests, never as text. Slots are numbered within (shard, cell), a cell being one of 1024 by hash of the row, and
-a table of cell counts gives each cell its start, so neither a shard nor a group of copies lands in one task.
+Groups of equal size are alike to the method, so it runs over (size, number of groups) and places whole runs: the tightest bin that holds
+one takes as many as it can, just as it would one by one. The result is that of the method over single groups, at any scale.
+
+Scale: only the table of distinct group sizes is collected. As its sizes sum to no more than the total, it has at most sqrt(2 x total) rows
+(14 million at 100 TB, if every size occurred). Rows travel as ids, sizes and digests, written once, never as text. A size whose groups all go
+to one shard needs no more than a look-up; where a run is split over shards, its groups are ranked by digest within cells of at most CELL_ROWS
+groups, a table of cell counts giving each cell its start. Groups of at least 1/256 of a shard (at most 256 x shards, since their sizes sum
+to the total; hence broadcast) are looked up before the join on the digest, so no key of that join is hot. Slots are numbered
+within (shard, cell), a cell being one of 1024 by hash of the row, so neither a shard nor a group of copies lands in one task.
 
 Defined results: a null text counts as empty (size 16, in the group of empty texts); repeated rows are numbered one by one;
 an empty table gives an empty result; other columns of the input do not matter, whatever their names.
@@ -23,9 +27,11 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colonnade.session import shared_table
+
 SHARDS = 40
 LARGE_PARTS = 256
-BUNDLES = 1 << 14
+CELL_ROWS = 1 << 16
 CELLS = 1024
 OVERHEAD = 16
 
@@ -120,76 +126,113 @@ class BinTree:
         return self._balanced(n)
 
 
-def even_bins(sizes: list[int], bins: int) -> list[int]:
-    """Bin of each item: best fit decreasing into a fixed number of bins of even capacity."""
-    out = [0] * len(sizes)
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    left, free, at = sum(sizes), bins, 0
-    while free > 1 and at < len(order) and sizes[order[at]] * free > left:  # above the even share: a bin of its own
-        out[order[at]] = free = free - 1
-        left -= sizes[order[at]]
-        at += 1
-    capacity = -(-left // free)
-    tree = BinTree((capacity, b) for b in range(free))
-    for i in order[at:]:
-        key = tree.tightest(sizes[i]) or tree.roomiest()
-        tree.remove(key)
-        tree.add((key[0] - sizes[i], key[1]))
-        out[i] = key[1]
-    return out
+Run = tuple[int, int]
+"""Size of a group, and number of groups of that size."""
 
 
-def fewest_bins(sizes: list[int], capacity: int) -> list[int]:
-    """Bin of each item: best fit decreasing with a fixed capacity; a larger item has a bin of its own."""
-    tree, out, bins = BinTree(), [0] * len(sizes), 0
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        key = tree.tightest(sizes[i])
+def _place(size: int, count: int, tree: BinTree, otherwise) -> list[tuple[int, int]]:
+    """(bin, number) for a run of equal groups: best fit as long as a bin holds one, then otherwise(), which names a key and how many it takes."""
+    out: list[tuple[int, int]] = []
+    while count:
+        key = tree.tightest(size)
         if key:
             tree.remove(key)
+            n = min(count, key[0] // size) if size else count
+        else:
+            key, n = otherwise(size)
+            n = min(count, n)
+        tree.add((key[0] - n * size, key[1]))
+        count -= n
+        if out and out[-1][0] == key[1]:
+            out[-1] = (key[1], out[-1][1] + n)
         else:
-            key, bins = (max(capacity, sizes[i]), bins), bins + 1
-        tree.add((key[0] - sizes[i], key[1]))
-        out[i] = key[1]
+            out.append((key[1], n))
     return out
 
 
-def shard(docs: DataFrame, *, shards: int = SHARDS) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard): near-equal bytes, equal texts together, slots gapless in each shard."""
+def even_bins(runs: list[Run], bins: int) -> list[list[tuple[int, int]]]:
+    """For each run of distinct sizes in descending order, how many of its groups go to which bins: best fit decreasing into a fixed number of bins."""
+    out: list[list[tuple[int, int]]] = [[] for _ in runs]
+    left, free, rest = sum(s * n for s, n in runs), bins, [n for _, n in runs]
+    for i, (size, _) in enumerate(runs):
+        while rest[i] and free > 1 and size * free > left:  # above the even share: a bin of its own
+            free -= 1
+            left -= size
+            rest[i] -= 1
+            out[i].append((free, 1))
+        if rest[i]:
+            break
+    tree = BinTree((-(-left // free), b) for b in range(free))
+
+    def roomiest(size: int):
+        key = tree.roomiest()
+        tree.remove(key)
+        return key, 1
+
+    for i, (size, _) in enumerate(runs):
+        out[i] += _place(size, rest[i], tree, roomiest)
+    return out
+
+
+def fewest_bins(runs: list[Run], capacity: int) -> list[list[tuple[int, int]]]:
+    """The same with a fixed capacity and as many bins as it takes; a larger group has a bin of its own."""
+    tree, bins = BinTree(), 0
+
+    def new(size: int):
+        nonlocal bins
+        bins += 1
+        return (max(capacity, size), bins - 1), max(1, capacity // size) if size else 1
+
+    return [_place(size, count, tree, new) for size, count in runs]
+
+
+def shard(docs: DataFrame, *, shards: int = SHARDS, capacity: int | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard): near-equal bytes, equal texts together, slots gapless in each shard.
+
+    With a capacity (in bytes) as many shards as it takes, else ``shards`` of them.
+    """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.md5(text).alias("g"),
+    rows = shared_table(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
+            F.crc32(text.cast("binary")).alias("text_crc32"),
+            F.md5(text).alias("g"),
+        )
     )
-    bundle = F.pmod(F.xxhash64("g"), F.lit(BUNDLES)).cast("int")
     groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    least = max(1, -(-total // (LARGE_PARTS * shards)))
-    items = groups.groupBy(
-        F.when(F.col("bytes") >= least, F.col("g")).alias("g"),
-        F.when(F.col("bytes") < least, bundle).alias("bundle"),
-    ).agg(F.sum("bytes").alias("bytes"))
-    found = sorted(items.collect(), key=lambda r: (r["g"] or "", r["bundle"] or 0))  # bounded, see above
-    bins = even_bins([r["bytes"] for r in found], shards)
-    large = [(r["g"], b) for r, b in zip(found, bins, strict=True) if r["g"] is not None]
-    small = [(r["bundle"], b) for r, b in zip(found, bins, strict=True) if r["g"] is None]
-    large_df = spark.createDataFrame(large, "g string, large_shard int")
-    small_df = spark.createDataFrame(small, "bundle int, small_shard int")
-    placed = (
-        rows.withColumn("bundle", bundle)
-        .join(F.broadcast(large_df), "g", "left")
-        .join(F.broadcast(small_df), "bundle", "left")
-        .select("doc_id", "size", "text_crc32", "g", F.coalesce("large_shard", "small_shard").alias("shard"))
-        .withColumn("cell", F.pmod(F.xxhash64("doc_id", "g"), F.lit(CELLS)).cast("int"))
-    )
-    counts = placed.groupBy("shard", "cell").count()
+    found = groups.groupBy("bytes").agg(F.count("*").alias("n")).orderBy(F.col("bytes").desc()).collect()  # bounded, see above
+    runs = [(r["bytes"], r["n"]) for r in found]
+    placed = even_bins(runs, shards) if capacity is None else fewest_bins(runs, capacity)
+    whole = [(size, p[0][0], n) for (size, n), p in zip(runs, placed, strict=True) if len(p) == 1]
+    split = []
+    for (size, n), parts in zip(runs, placed, strict=True):
+        if len(parts) > 1:
+            ends = [sum(k for _, k in parts[: i + 1]) for i in range(len(parts))]
+            split.append((size, -(-n // CELL_ROWS), ends, [b for b, _ in parts]))
+    of_whole = groups.join(spark.createDataFrame(whole, "bytes long, shard int, n long").drop("n"), "bytes").select("g", "bytes", "shard")
+    cut = groups.join(spark.createDataFrame(split, "bytes long, cells long, ends array<long>, bins array<int>"), "bytes").withColumn("cell", F.pmod(F.xxhash64("g"), F.col("cells")))
+    counts = cut.groupBy("bytes", "cell").count()
+    earlier = Window.partitionBy("bytes").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("bytes", "cell", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("base"))
+    ranked = cut.withColumn("k", F.row_number().over(Window.partitionBy("bytes", "cell").orderBy("g"))).join(bases, ["bytes", "cell"])
+    part = F.size(F.filter("ends", lambda e: e < F.col("base") + F.col("k")))
+    of_split = ranked.select("g", "bytes", F.get("bins", part).alias("shard"))
+    of_group = shared_table(of_whole.unionByName(of_split))
+    # at most LARGE_PARTS x shards rows, as their sizes sum to the total
+    least = max(1, -(-sum(s * n for s, n in runs) // (LARGE_PARTS * shards)))
+    large = F.broadcast(of_group.where(F.col("bytes") >= least).select("g", F.col("shard").alias("large_shard")))
+    looked = rows.join(large, "g", "left")
+    small = looked.where("large_shard IS NULL").drop("large_shard").join(of_group.where(F.col("bytes") < least).select("g", "shard"), "g")
+    known = looked.where("large_shard IS NOT NULL").withColumnRenamed("large_shard", "shard").unionByName(small)
+    dealt = known.withColumn("cell", F.pmod(F.xxhash64("doc_id", "g"), F.lit(CELLS)).cast("int"))
+    counts = dealt.groupBy("shard", "cell").count()
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("shard", "cell").orderBy("doc_id", "g")
     return (
-        placed.withColumn("n", F.row_number().over(within) - 1)
+        dealt.withColumn("n", F.row_number().over(within) - 1)
         .join(starts, ["shard", "cell"])
         .select(
             "doc_id",

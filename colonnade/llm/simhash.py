@@ -26,9 +26,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colonnade.llm.jaccard import shared_table
 from colonnade.llm.words import word_array
-from colonnade.session import shared_checkpoints
+from colonnade.session import shared_checkpoints, shared_table
 
 BITS = 64
 SIZE = 5

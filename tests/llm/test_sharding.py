@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from colonnade.llm import sharding as S
 
@@ -21,41 +21,97 @@ def test_tree_against_a_sorted_list():
             assert tree.root.height <= 1.45 * (len(keys) + 2).bit_length()
 
 
-def plain_best_fit(sizes, capacity):
-    bins = []
-    for s in sorted(sizes, reverse=True):
-        fit = [b for b in bins if b >= s]
+def plain_fewest(sizes, capacity):
+    """Bin of each of the sizes (descending), one by one: the tightest bin that fits, by (room, bin)."""
+    room, out = [], []
+    for s in sizes:
+        fit = [(r, b) for b, r in enumerate(room) if r >= s]
         if fit:
-            b = min(fit)
-            bins.remove(b)
+            b = min(fit)[1]
         else:
-            b = max(capacity, s)
-        bins.append(b - s)
-    return len(bins)
+            b = len(room)
+            room.append(max(capacity, s))
+        room[b] -= s
+        out.append(b)
+    return out
 
 
-def test_fewest_bins_is_best_fit_decreasing():
+def plain_even(sizes, bins):
+    """The same with a fixed number of bins of even capacity; what fits nowhere enters the roomiest."""
+    out, left, free, at = [], sum(sizes), bins, 0
+    while at < len(sizes) and free > 1 and sizes[at] * free > left:
+        free -= 1
+        left -= sizes[at]
+        out.append(free)
+        at += 1
+    room = [-(-left // free)] * free
+    for s in sizes[at:]:
+        fit = [(r, b) for b, r in enumerate(room) if r >= s]
+        b = min(fit)[1] if fit else max((r, b) for b, r in enumerate(room))[1]
+        room[b] -= s
+        out.append(b)
+    return out
+
+
+def one_by_one(runs, placed):
+    assert [n for _, n in runs] == [sum(k for _, k in p) for p in placed]
+    return [b for p in placed for b, k in p for _ in range(k)]
+
+
+def runs_of(sizes):
+    return sorted(Counter(sizes).items(), reverse=True)
+
+
+def test_runs_are_placed_as_single_groups_would_be():
     rng = random.Random(2)
-    for _ in range(30):
-        sizes = [rng.randrange(1, 120) for _ in range(rng.randrange(0, 200))]
-        got = S.fewest_bins(sizes, 100)
-        load = defaultdict(int)
-        for s, b in zip(sizes, got):
-            load[b] += s
-        assert len(load) == plain_best_fit(sizes, 100)
-        assert all(v <= 100 or list(got).count(b) == 1 for b, v in load.items())
+    for k in range(300):
+        sizes = sorted((rng.choice((rng.randrange(1, 120), 7, 16, 100, rng.randrange(1, 9), 10 ** rng.randrange(1, 4))) for _ in range(rng.randrange(0, 250))), reverse=True)
+        runs = runs_of(sizes)
+        assert one_by_one(runs, S.fewest_bins(runs, 100)) == plain_fewest(sizes, 100)
+        bins = rng.choice((1, 2, 7, 40))
+        assert one_by_one(runs, S.even_bins(runs, bins)) == plain_even(sizes, bins)
 
 
-def test_even_bins_are_even_and_a_large_group_stays_alone():
+def test_even_bins_are_even_and_large_runs_are_quick():
     rng = random.Random(3)
     sizes = [rng.randrange(1, 1000) for _ in range(5000)]
     load = defaultdict(int)
-    for s, b in zip(sizes, S.even_bins(sizes, 40)):
-        load[b] += s
+    for (s, _), p in zip(runs_of(sizes), S.even_bins(runs_of(sizes), 40)):
+        for b, k in p:
+            load[b] += s * k
     assert len(load) == 40 and max(load.values()) - min(load.values()) <= 1000
-    got = S.even_bins([10**6, *sizes], 40)
-    assert got.count(got[0]) == 1 and set(got) == set(range(40))
-    assert S.even_bins([], 40) == [] and S.even_bins([5], 40) == [39] and S.even_bins([0, 0], 2)
+    runs = [(s, 10**9 + s) for s in range(20_000, 0, -1)]
+    load = defaultdict(int)
+    for (s, _), p in zip(runs, S.even_bins(runs, 40)):
+        for b, k in p:
+            load[b] += s * k
+    assert max(load.values()) - min(load.values()) <= 20_000
+
+
+def test_shard_against_the_plain_version(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abé ") for _ in range(rng.choice((3, 5, 5, 5, 40, rng.randrange(200))))) for _ in range(400)]
+    rows = [(i, texts[rng.randrange(len(texts))]) for i in range(1200)] + [(5000 + i, "hot") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = defaultdict(int)
+    for _, t in rows:
+        groups[t] += len(t.encode()) + 16
+    order = sorted(groups, key=lambda t: -groups[t])
+    sizes = [groups[t] for t in order]
+    for options, plain in (({"shards": 8}, plain_even(sizes, 8)), ({"capacity": 3000}, plain_fewest(sizes, 3000))):
+        out = S.shard(docs, **options).collect()
+        of = {}
+        for r in out:
+            of.setdefault(dict(rows)[r.doc_id], r.shard)
+            assert of[dict(rows)[r.doc_id]] == r.shard
+        # groups of equal size may swap, their numbers in each shard not
+        assert Counter((groups[t], b) for t, b in of.items()) == Counter(zip(sizes, plain))
+
+
+def test_runs_split_over_shards_are_ranked_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(S, "CELL_ROWS", 10)
+    docs = spark.range(1000).selectExpr("id AS doc_id", "lpad(cast(id AS string), 8, '0') AS text")
+    assert Counter(r.shard for r in S.shard(docs, shards=8).collect()) == Counter({b: 125 for b in range(8)})
 
 
 def test_shards_of_a_table(spark):
