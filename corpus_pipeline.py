@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from colonnade.llm import stages
-from colonnade.session import drop_folders, scratch_folders, shared_table, table
+from colonnade.session import drop_folders, scratch_folder, scratch_folders, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), scratch_folders()
     for _, stage in STAGES[:-1]:
-        docs = shared_table(stage(spark, docs, sf_dir))
-        kept = set(docs.inputFiles())
-        drop_folders(p for p in scratch_folders() - before if not any(p in f for f in kept))
+        made, path = stage(spark, docs, sf_dir), scratch_folder(spark)
+        made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        drop_folders(scratch_folders() - before - {path})
     return STAGES[-1][1](spark, docs, sf_dir)
