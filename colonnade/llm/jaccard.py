@@ -1,7 +1,7 @@
 """Exact Jaccard self-join on word shingles by a grouped prefix join, and its connected components.
 
 Two sets x, y are linked when |x & y| >= t * |x | y|. Under any total order of the shingles, linked sets share one of their first
-|x| - ceil(t |x|) + 1 shingles. The order puts rare shingles first (a sketch of 2^20 counters over all documents, an upper bound of
+|x| - ceil(t |x|) + 1 shingles. The order puts rare shingles first (a sketch of counters over all documents, an upper bound of
 each count, then the hash), so that passages many documents share seldom reach a prefix. Stages:
 
 1. describe: one row per document with its set size, set digest, prefix and a parity bitmap. Documents with equal sets are
@@ -10,17 +10,22 @@ each count, then the hash), so that passages many documents share seldom reach a
 3. Star rounds: within each run, sorted by size, every group is paired with one of the 64 before it, which one depending on the
    run and the round. Pairs that sizes, positions or bitmaps rule out go; each document keeps the partner whose bitmap is nearest. These are
    verified on whole sets, and linked documents merge. A round is linear in the postings however large a run is.
-4. A complete round: all pairs within a run that lie in different components still, groups expanded to their members, filtered and
-   verified in the same way. So no link between different components is lost, while a large group of near copies, merged by then,
-   is never expanded into its pairs.
+4. A complete round over groups: the pairs of groups within a run are filtered by size and position, by the components that their members
+   are in by now, and by the bitmaps where both groups are single classes. The pairs that remain are expanded to their members, which bitmaps
+   and components filter once more, and verified on whole sets; so are the members of a group among themselves. So no link between
+   different components is lost, while large groups of near copies, merged by then, are never expanded into their pairs.
 
 Scale: texts are read once for the sketch, once for the descriptions and once a round; before they are shuffled to be verified, a Bloom filter
-of fixed size lets only those through that take part in a pair. Postings are the largest shuffle, a fifth of the shingles in
-size. Only the blocks of the sketch and of the filters (8 MB and 4 MB, whatever the input) reach the driver. Lineage is cut with tables and
+of FILTER_PER_ID bits for each id that takes part (2^27 bits at most) lets only those through. Postings are the largest shuffle, a fifth of the
+shingles in size. A shingle with more than ``chunk`` postings is dealt over as many chunks as it needs, in the postings, the star rounds and the
+complete round alike; chunk is CHUNK_ROWS, or more where there would be over MAX_HOT such shingles, so their table may be broadcast. In
+the complete round a run of several components meets in cells of at most two buckets of CELL_ROWS rows; runs within one component take no part.
+Only the blocks of the sketch and of the filters (8 to 32 MB and 16 MB at most) reach the driver. Lineage is cut with tables and
 checkpoints in the shared folder of spark.checkpoint.dir.
 
 Defined results: null texts and texts without words have n_shingles 0 and are linked with nothing; repeated rows of one doc_id give
-repeated rows of one component; rows with a null doc_id get size and a null component; an empty table gives an empty result; other columns
+repeated rows of one component; rows of one doc_id with different texts are linked each by its own text, and a component is named by
+the least doc_id among its rows; rows with a null doc_id get size and a null component; an empty table gives an empty result; other columns
 do not matter.
 """
 
@@ -39,13 +44,16 @@ from colonnade.llm.components import components
 from colonnade.llm.shingles import mix, shingle_set
 from colonnade.session import shared_table
 
-SKETCH_BITS = 20
+SKETCH_BITS = (20, 22)
 SKETCH_BLOCKS = 64
 BITMAP_BITS = (512, 2048, 8192)
-FILTER_BITS = 25
+FILTER_BITS = (20, 27)
+FILTER_PER_ID = 16
 RING = 64
 CELL_ROWS = 4096
 CHUNK_ROWS = 65_536
+MAX_HOT = 100_000
+RANK_SHIFT, RANK_STEPS = 47, 1024
 SIZE = 5
 THRESHOLD = (80, 100)
 STAR_ROUNDS = 2
@@ -64,8 +72,14 @@ def prefix_length(n: int, threshold=THRESHOLD) -> int:
     return n - -(-(num * n) // den) + 1
 
 
-def sketch(docs: DataFrame, bits: int = SKETCH_BITS, size: int = SIZE) -> np.ndarray:
-    """Counters of documents per shingle, by the upper bits of its hash; every document counts."""
+def bits_for(n: int, bounds: tuple[int, int]) -> int:
+    """The bits that number n things, within bounds."""
+    return min(max(n.bit_length(), bounds[0]), bounds[1])
+
+
+def sketch(docs: DataFrame, bits: int | None = None, size: int = SIZE) -> np.ndarray:
+    """Counters of documents per shingle, by the upper bits of its hash; every document counts. By default one counter or more a document, within SKETCH_BITS."""
+    bits = bits or bits_for(docs.count(), SKETCH_BITS)
     per = (1 << bits) // SKETCH_BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,13 +111,13 @@ def sketch(docs: DataFrame, bits: int = SKETCH_BITS, size: int = SIZE) -> np.nda
     out = np.zeros(1 << bits, "i8")
     for r in parts.collect():
         out[r["block"] * per : (r["block"] + 1) * per] = np.frombuffer(r["counts"], "i8")
-    return np.minimum(np.log2(out + 1) * 1024, 65535).astype("u2")  # monotone, in 16 bits
+    return np.minimum(np.ceil(np.log2(out + 1) * RANK_STEPS), 65535).astype("u2")  # monotone, in 16 bits
 
 
 def in_order(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The set's shingles as numbers that sort rare first; equal shingles have equal numbers."""
     bits = len(rank).bit_length() - 1
-    return (rank[(s >> np.uint64(64 - bits)).astype("i8")].astype("u8") << np.uint64(47)) | (s & np.uint64((1 << 47) - 1))
+    return (rank[(s >> np.uint64(64 - bits)).astype("i8")].astype("u8") << np.uint64(RANK_SHIFT)) | (s & np.uint64((1 << RANK_SHIFT) - 1))
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -168,8 +182,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-def postings(groups: DataFrame) -> DataFrame:
-    """(token, n, pos, lead) of groups (lead, n, prefix), where at least two groups share the token."""
+def postings(groups: DataFrame, chunk: int) -> DataFrame:
+    """(token, salt, n, pos, lead) of groups (lead, n, prefix), where at least two groups share the token.
+
+    The rows of a token with more than ``chunk`` of them are dealt over salts from 0 on; all others have the salt -1. There are at most
+    (all rows / chunk) such tokens. A token's upper bits bound its count, so few tokens are counted to find them.
+    """
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, first = None, None  # last token, and its first row if that is not yet out
@@ -180,6 +198,7 @@ def postings(groups: DataFrame) -> DataFrame:
             same = np.concatenate(([t[0] == last], t[1:] == t[:-1]))  # equal to the row before
             keep = same.copy()
             keep[:-1] |= same[1:]
+            keep |= b.column(1).to_numpy() >= 0
             if same[0] and first is not None:
                 yield first
             first = None if keep[-1] else b.slice(len(t) - 1, 1)
@@ -188,7 +207,17 @@ def postings(groups: DataFrame) -> DataFrame:
                 yield b.filter(pa.array(keep))
 
     rows = groups.select("lead", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "n", F.col("pos").cast("long").alias("pos"), "lead")
-    return rows.repartition("token").sortWithinPartitions("token", "n", "lead").mapInArrow(shared, "token long, n long, pos long, lead long")
+    bound = F.pow(F.lit(2.0), F.shiftrightunsigned("token", RANK_SHIFT) / RANK_STEPS)
+    hot = rows.where(bound > chunk).groupBy("token").count().where(F.col("count") > chunk).select("token", F.ceil(F.col("count") / chunk).alias("chunks"))
+    salt = F.coalesce(F.pmod(F.xxhash64("lead"), F.col("chunks")), F.lit(-1).cast("long"))
+    rows = rows.join(F.broadcast(hot), "token", "left").select("token", salt.alias("salt"), "n", "pos", "lead")
+    return rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "lead").mapInArrow(shared, "token long, salt long, n long, pos long, lead long")
+
+
+def chunk_rows(described: DataFrame) -> int:
+    """How many postings of a token one task takes: at most MAX_HOT tokens have more."""
+    total = described.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    return max(CHUNK_ROWS, -(-total // MAX_HOT))
 
 
 def star_pairs(posts: DataFrame, turn: int, threshold=THRESHOLD) -> DataFrame:
@@ -216,29 +245,31 @@ def star_pairs(posts: DataFrame, turn: int, threshold=THRESHOLD) -> DataFrame:
     return posts.mapInArrow(run, "a long, b long").distinct()
 
 
-def mixed_runs(rows: DataFrame, bitmaps: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Rows (token, n, pos, lead, comp) of the runs that hold several components, with bitmaps, dealt into cells of bounded size.
+def mixed_runs(rows: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The rows (token, salt, n, pos, lead, c1, c2, bitmap) of the runs that hold several components, dealt into cells of bounded size.
 
-    A run of more than cell_rows rows is dealt into buckets, and each pair of buckets is a cell (lo, hi), so every pair of rows meets in
-    one cell and no task needs a whole run.
+    c1 and c2 are the least and largest component of a row. A run of more than cell_rows rows is dealt into buckets, and each pair of
+    buckets is a cell (lo, hi), so every pair of rows meets in one cell and no task needs a whole run.
     """
-    runs = rows.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("k")).where("c1 <> c2").select("token", F.ceil(F.col("k") / cell_rows).alias("m"))
-    kept = rows.join(runs, "token").withColumn("bucket", F.pmod(F.xxhash64("lead"), F.col("m")))
+    parts = rows.groupBy("token", "salt").agg(F.min("c1").alias("p1"), F.max("c2").alias("p2"), F.count("*").alias("k"))
+    runs = parts.groupBy("token").agg(F.min("p1").alias("r1"), F.max("p2").alias("r2"), F.sum("k").alias("k")).where("r1 <> r2").select("token", F.ceil(F.col("k") / cell_rows).alias("m"))
+    mixed = parts.select("token", "salt").join(runs, "token")  # one row for each part of a run: the join below has no hot key
+    kept = rows.join(mixed, ["token", "salt"]).withColumn("bucket", F.pmod(F.xxhash64("lead"), F.col("m")))
     cells = kept.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-    cells = cells.select("token", F.least("bucket", "other").alias("lo"), F.greatest("bucket", "other").alias("hi"), "n", "pos", "lead", "comp", "bucket")
-    return cells.join(bitmaps.select(F.col("doc_id").alias("lead"), "bitmap"), "lead").select("token", "lo", "hi", "n", "pos", "lead", "comp", "bucket", "bitmap")
+    return cells.select("token", F.least("bucket", "other").alias("lo"), F.greatest("bucket", "other").alias("hi"), "n", "pos", "lead", "c1", "c2", "bucket", "bitmap")
 
 
 def all_pairs(cells: DataFrame, threshold=THRESHOLD, block: int = 256) -> DataFrame:
-    """(a, b) of each cell of mixed_runs whose components differ and that size, position and bitmaps allow; cells are walked in blocks."""
+    """(a, b) of each cell of mixed_runs that aren't wholly in one component and that size, position and bitmaps (where both have one) allow; cells are walked in blocks."""
     num, den = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, lo, hi, n, p, lead, comp, bucket, bitmap in _runs(batches):
+        for token, lo, hi, n, p, lead, c1, c2, bucket, bitmap in _runs(batches):
             cuts = np.concatenate(([0], np.flatnonzero((token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1, [len(token)]))
+            known = np.array([v is not None for v in bitmap], bool)
             x_out, y_out = [], []
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if (comp[s:e] == comp[s]).all():
+                if (c1[s:e] == c1[s]).all() and (c2[s:e] == c1[s]).all():
                     continue
                 across = lo[s] != hi[s]
                 for i in range(s, e, block):
@@ -247,7 +278,7 @@ def all_pairs(cells: DataFrame, threshold=THRESHOLD, block: int = 256) -> DataFr
                         if n[i2 - 1] * den < num * n[j]:
                             break  # sorted by size: all further ones are too large
                         j2 = min(e, j + block)
-                        ok = (comp[i:i2, None] != comp[None, j:j2]) & (n[i:i2, None] * den >= num * n[None, j:j2])
+                        ok = ((c1[i:i2, None] != c2[None, j:j2]) | (c2[i:i2, None] != c1[None, j:j2])) & (n[i:i2, None] * den >= num * n[None, j:j2])
                         if across:
                             ok &= bucket[i:i2, None] != bucket[None, j:j2]
                         ok &= np.minimum(n[i:i2, None] - p[i:i2, None], n[None, j:j2] - p[None, j:j2]) >= overlap_needed(n[i:i2, None], n[None, j:j2], threshold)
@@ -255,8 +286,11 @@ def all_pairs(cells: DataFrame, threshold=THRESHOLD, block: int = 256) -> DataFr
                             ok &= np.triu(np.ones(ok.shape, bool), 1)
                         x, y = np.nonzero(ok)
                         x, y = x + i, y + j
-                        if len(x):
-                            near = n[x] + n[y] - 2 * overlap_needed(n[x], n[y], threshold) >= bits_apart([bitmap[k] for k in x], [bitmap[k] for k in y])
+                        near, told = np.ones(len(x), bool), np.flatnonzero(known[x] & known[y])
+                        if len(told):
+                            u, v = x[told], y[told]
+                            near[told] = n[u] + n[v] - 2 * overlap_needed(n[u], n[v], threshold) >= bits_apart([bitmap[k] for k in u], [bitmap[k] for k in v])
+                        if near.any():
                             x_out.append(lead[x[near]])
                             y_out.append(lead[y[near]])
             if x_out:
@@ -267,6 +301,26 @@ def all_pairs(cells: DataFrame, threshold=THRESHOLD, block: int = 256) -> DataFr
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def complete_pairs(posts: DataFrame, of_class: DataFrame, bitmaps: DataFrame, threshold=THRESHOLD) -> DataFrame:
+    """(a, b): the pairs of classes in different components that the grouped prefix join does not rule out.
+
+    of_class: (class_id, lead, n, component) of every class. Pairs of groups are filtered first, then expanded to their members.
+    """
+    groups = of_class.groupBy("lead").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("members"))
+    single = bitmaps.select(F.col("doc_id").alias("lead"), "bitmap")
+    marked = groups.join(single, "lead").select("lead", "c1", "c2", F.when(F.col("members") == 1, F.col("bitmap")).alias("bitmap"), (F.col("members") == 1).alias("single"))
+    pairs = all_pairs(mixed_runs(posts.join(marked.drop("single"), "lead").select("token", "salt", "n", "pos", "lead", "c1", "c2", "bitmap")), threshold)
+    one = of_class.select(F.col("lead").alias("a"), F.col("class_id").alias("x"), F.col("component").alias("cx"))
+    two = of_class.select(F.col("lead").alias("b"), F.col("class_id").alias("y"), F.col("component").alias("cy"))
+    across = pairs.join(one, "a").join(two, "b").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    # the members of a group among themselves: each such group is a run of its own, its members have their bitmaps
+    several = groups.where("c1 <> c2").select("lead")
+    own = of_class.join(several, "lead").join(bitmaps.select(F.col("doc_id").alias("class_id"), "bitmap"), "class_id")
+    own = own.select(F.col("lead").alias("token"), F.lit(-1).cast("long").alias("salt"), "n", F.lit(0).cast("long").alias("pos"), F.col("class_id").alias("lead"), F.col("component").alias("c1"), F.col("component").alias("c2"), "bitmap")
+    inner = all_pairs(mixed_runs(own), threshold)
+    return plausible(across, bitmaps, threshold).select("a", "b").union(inner)
+
+
 def plausible(pairs: DataFrame, bitmaps: DataFrame, threshold=THRESHOLD) -> DataFrame:
     """(a, b, apart): pairs (a, b) that the sizes and parity bitmaps of (doc_id, n, bitmap) do not rule out."""
 
@@ -291,12 +345,13 @@ def nearest(pairs: DataFrame) -> DataFrame:
     return best.select(F.least("doc_id", "m.other").alias("a"), F.greatest("doc_id", "m.other").alias("b")).distinct()
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, size: int = SIZE, bits: int = FILTER_BITS) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, size: int = SIZE, bits: int | None = None) -> DataFrame:
     """(doc_id, s): the shingle sets of the rows of docs (doc_id, text) whose id is among ids (doc_id), and of a few more.
 
-    A Bloom filter of 2^bits bits, made in blocks that executors OR, picks the texts, so none is shuffled; what it lets through beside
-    them meets no pair. All Python work of a stage is one function, so a task never feeds two workers.
+    A Bloom filter of 2^bits bits (by default FILTER_PER_ID an id, within FILTER_BITS), made in blocks that executors OR, picks the texts, so
+    none is shuffled; what it lets through beside them meets no pair. All Python work of a stage is one function, so a task never feeds two workers.
     """
+    bits = bits or bits_for(FILTER_PER_ID * ids.count(), FILTER_BITS)
     blocks, per = SKETCH_BLOCKS, (1 << bits) // 8 // SKETCH_BLOCKS
 
     def places(a: pa.Array) -> np.ndarray:
@@ -334,11 +389,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int = SIZE, bits: int = FILTE
     return docs.select("doc_id", "text").mapInArrow(keep, "doc_id long, s binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold=THRESHOLD, size: int = SIZE, repeated_ids: bool = True) -> DataFrame:
-    """Those of the pairs (a, b) whose sets, made from the whole texts of docs (doc_id, text), are linked.
-
-    Where ids repeat, one row of each is taken; where they don't, the sets need no shuffle for it.
-    """
+def verified(pairs: DataFrame, docs: DataFrame, threshold=THRESHOLD, size: int = SIZE) -> DataFrame:
+    """Those of the pairs (a, b) whose sets, made from the whole texts of docs (doc_id, text; ids don't repeat), are linked."""
     num, den = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,56 +408,61 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold=THRESHOLD, size: int =
 
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().checkpoint()
     needed = shared_table(sets_of(docs, ids, size))
-    if repeated_ids:
-        needed = needed.dropDuplicates(["doc_id"])
     rows = pairs.join(needed.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b").join(needed.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
     return rows.select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
 
 
 def link(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, size: int = SIZE, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
-    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if ids_repeat(rows):
+        keyed = shared_table(rows.withColumn("key", F.monotonically_increasing_id()))
+        found = link_keys(keyed.select(F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("doc_id"), "text"), threshold, size, star_rounds)
+        known = shared_table(keyed.where("doc_id IS NOT NULL").select("doc_id", "key").join(found.withColumnRenamed("doc_id", "key"), "key"))
+        names = known.groupBy("component_id").agg(F.min("doc_id").alias("name"))
+        out = known.join(names, "component_id").select("doc_id", "n_shingles", F.col("name").alias("component_id"))
+        return out.unionByName(found.where("doc_id IS NULL"))
+    return link_keys(rows, threshold, size, star_rounds)
+
+
+def ids_repeat(rows: DataFrame) -> bool:
+    """Whether any doc_id but null stands in several rows."""
+    return bool(rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count())
+
+
+def link_keys(rows: DataFrame, threshold: tuple[int, int] = THRESHOLD, size: int = SIZE, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+    """link() for rows (doc_id long, text string) whose ids don't repeat."""
+    bounded_batches(rows.sparkSession)
     described = shared_table(describe(rows, sketch(rows, size=size), threshold, size))
     full = described.where("n > 0 AND doc_id IS NOT NULL")
-    repeated = bool(full.groupBy("doc_id").count().where("count > 1").limit(1).count())
     classes = full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"), F.first("p").alias("p"))
     classes = shared_table(classes)
     groups = classes.groupBy("n", "p").agg(F.min("class_id").alias("lead"), F.count("*").alias("members"))
-    prefixes = full.select(F.col("doc_id").alias("lead"), "prefix").dropDuplicates(["lead"])
-    posts = shared_table(postings(groups.join(prefixes, "lead").select("lead", "n", "prefix")))
-    members = classes.join(groups.select("n", "p", "lead"), ["n", "p"]).select("lead", "class_id").where("lead <> class_id")
-    bitmaps = full.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "bitmap").dropDuplicates(["doc_id"])
+    prefixes = full.select(F.col("doc_id").alias("lead"), "prefix")
+    posts = shared_table(postings(groups.join(prefixes, "lead").select("lead", "n", "prefix"), chunk_rows(full)))
+    led = shared_table(classes.join(groups.select("n", "p", "lead"), ["n", "p"]).select("class_id", "lead", "n"))
+    bitmaps = full.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "bitmap")
 
-    # runs beyond CHUNK_ROWS are walked in chunks by the star rounds; there are at most postings / CHUNK_ROWS of them
-    long_runs = posts.groupBy("token").count().where(F.col("count") > CHUNK_ROWS).select("token", F.ceil(F.col("count") / CHUNK_ROWS).alias("chunks"))
     merged = None  # (u, component) of classes that are linked to a lesser one
     for r in range(star_rounds + 1):
-        rows_of_runs = posts
-        if r == star_rounds:
-            # every member stands for itself now, and each group of several members is a run of its own
-            whole = members.unionByName(members.select("lead", F.col("lead").alias("class_id")).distinct())
-            own = whole.join(classes.select("class_id", "n"), "class_id").select(_own_token("lead").alias("token"), "n", F.lit(0).cast("long").alias("pos"), F.col("class_id").alias("lead"))
-            others = posts.join(members, "lead").select("token", "n", "pos", F.col("class_id").alias("lead"))
-            rows_of_runs = posts.unionByName(others).unionByName(own)
-        comp = F.col("lead")
-        if merged is not None:
-            rows_of_runs = rows_of_runs.join(merged.select(F.col("u").alias("lead"), "component"), "lead", "left")
-            comp = F.coalesce("component", "lead")
-        known = rows_of_runs.select("token", "n", "pos", "lead", comp.alias("comp"))
         if r == star_rounds:
-            found = all_pairs(mixed_runs(known, bitmaps), threshold)
+            now = led.withColumn("component", F.col("class_id"))
+            if merged is not None:
+                now = led.join(merged.withColumnRenamed("u", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+            found = complete_pairs(posts, now, bitmaps, threshold)
         else:
-            salt = F.coalesce(F.pmod(F.xxhash64("lead"), F.col("chunks")), F.lit(0).cast("long"))
-            chunks = known.join(long_runs, "token", "left").withColumn("salt", salt).select("token", "n", "pos", "lead", "comp", "salt")
-            found = star_pairs(chunks.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "lead"), r, threshold)
+            known = posts.withColumn("component", F.col("lead"))
+            if merged is not None:
+                known = posts.join(merged.withColumnRenamed("u", "lead"), "lead", "left").withColumn("component", F.coalesce("component", "lead"))
+            dealt = known.select("token", "n", "pos", "lead", "component", "salt").repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "lead")
+            found = star_pairs(dealt, r, threshold)
             if r == 0:
-                found = found.union(members.select("lead", "class_id"))
+                found = found.union(led.where("lead <> class_id").select("lead", "class_id"))
             found = nearest(plausible(found, bitmaps, threshold))
         found = found.checkpoint()
         if not found.limit(1).count():
             continue
-        edges = verified(found, rows, threshold, size, repeated).checkpoint()
+        edges = verified(found, rows, threshold, size).checkpoint()
         if merged is not None:
             edges = edges.union(merged.select("u", F.col("component").alias("v")))
         merged = components(edges)
@@ -416,8 +473,3 @@ def link(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, size: int =
     out = thin.join(of_class, ["n", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-
-
-def _own_token(lead: str):
-    """A negative token for the run of a group's own members; shingles have tokens from 0 on."""
-    return -F.pmod(F.xxhash64(lead), F.lit(1 << 62)) - 1

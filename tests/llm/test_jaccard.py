@@ -135,15 +135,68 @@ def test_components_by_either_way(spark, finish_at):
 
 
 def test_cells_meet_every_pair_once(spark):
-    rows = [(7, 10, 0, i, i) for i in range(50)] + [(8, 10, 0, i, 1) for i in range(9)] + [(9, 10, 0, 3, 3), (9, 10, 0, 60, 4)]
-    docs = spark.createDataFrame(rows, "token long, n long, pos long, lead long, comp long")
-    bitmaps = spark.createDataFrame([(i, 10, bytearray(64)) for i in range(61)], "doc_id long, n long, bitmap binary")
-    cells = J.mixed_runs(docs, bitmaps, cell_rows=8)
+    rows = [(7, i % 3, 10, 0, i, i, i) for i in range(50)] + [(8, -1, 10, 0, i, 1, 1) for i in range(9)] + [(9, -1, 10, 0, 3, 3, 3), (9, -1, 10, 0, 60, 4, 4)]
+    docs = spark.createDataFrame([(*r, bytearray(64)) for r in rows], "token long, salt long, n long, pos long, lead long, c1 long, c2 long, bitmap binary")
+    cells = J.mixed_runs(docs, cell_rows=8)
     assert max(r["count"] for r in cells.groupBy("token", "lo", "hi").count().collect()) < 40
     got = sorted((r.a, r.b) for r in J.all_pairs(cells).collect())
     assert got == sorted({(a, b) for a in range(50) for b in range(a + 1, 50)} | {(3, 60)})
 
 
+def test_hot_shingles_are_dealt_and_lose_nothing(spark, monkeypatch):
+    """A passage in every document, and prefixes that hold it; chunks and cells of a few rows."""
+    monkeypatch.setattr(J, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(J, "CELL_ROWS", 5)
+    rng = random.Random(7)
+    common = [f"c{k}" for k in range(12)]
+    rows = []
+    for i in range(70):
+        w = list(common)
+        w[rng.randrange(12)] = f"x{i % 9}"
+        rows.append((i, " ".join(w + [f"y{rng.randrange(4)}"] * rng.randrange(3))))
+    rows += [(100 + i, " ".join(common + [f"z{i % 5}"])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = spark.createDataFrame([(i, 10, [5, (1 << 62) + 7]) for i in range(30)], "lead long, n long, prefix array<long>")
+    posts = J.postings(groups, 7).collect()
+    assert len(posts) == 60 and {r.salt for r in posts if r.token == 5} == {-1} and len({r.salt for r in posts if r.token != 5}) > 2
+    for stars in (0, 2):
+        assert sorted(tuple(r) for r in J.link(docs, star_rounds=stars).collect()) == plain_components(rows)
+
+
+def test_groups_of_several_members(spark):
+    """Sets with equal prefixes and sizes, linked or not: what differs within a family is common elsewhere and so last in order."""
+    rows = []
+    for f in range(20):
+        for v in range(8):
+            long = v >= 4
+            tail = [f"t{v}_{k}" for k in range(14 if long else 5)]
+            rows.append((len(rows), " ".join([f"h{f}_{k}" for k in range(40)] + ["q1", "q2", "q3", "q4"] + tail)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = [r["count"] for r in J.describe(docs, J.sketch(docs)).groupBy("n", "p").count().collect()]
+    assert sorted(sizes) == [4] * 40
+    want = plain_components(rows)
+    assert len({c for _, _, c in want}) > 20
+    for stars in (0, 1):
+        assert sorted(tuple(r) for r in J.link(docs, star_rounds=stars).collect()) == want
+
+
+def test_one_id_with_several_texts(spark):
+    rows = [(5, "a b c d e f g h"), (5, "p q r s t u v w"), (3, "p q r s t u v w"), (9, "a b c d e f g h"), (9, "k l m n o"), (None, "k l m n o")]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in J.link(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(False, 5, 4, 5), (False, 5, 4, 3), (False, 3, 4, 3), (False, 9, 4, 5), (False, 9, 1, 9), (True, 0, 1, 0)])
+
+
+def test_blocks_of_long_texts_change_nothing(monkeypatch):
+    from colonnade.llm import shingles
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcAB é\n漢") for _ in range(n)) for n in (1, 7, 64, 500, 3000)] + ["x" * 500, " " * 300, "w " * 400, "ab " * 99 + "y" * 300]
+    want = [(shingles.word_hashes(t).tolist(), shingles.shingle_set(t).tolist()) for t in texts]
+    monkeypatch.setattr(shingles, "BLOCK", 64)
+    assert [(shingles.word_hashes(t).tolist(), shingles.shingle_set(t).tolist()) for t in texts] == want
+    assert [len(w) for w, _ in want] == [len(words(t)) for t in texts]
+
+
 def test_prefix_lengths():
     for n in range(1, 200):
         k = J.prefix_length(n)
