@@ -245,8 +245,8 @@ def star_pairs(posts: DataFrame, turn: int, threshold=THRESHOLD) -> DataFrame:
     return posts.mapInArrow(run, "a long, b long").distinct()
 
 
-def mixed_runs(rows: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """The rows (token, salt, n, pos, lead, c1, c2, bitmap) of the runs that hold several components, dealt into cells of bounded size.
+def mixed_runs(rows: DataFrame, bitmaps: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The rows (token, salt, n, pos, lead, c1, c2) of the runs that hold several components, with the bitmaps there are (lead, bitmap), dealt into cells of bounded size.
 
     c1 and c2 are the least and largest component of a row. A run of more than cell_rows rows is dealt into buckets, and each pair of
     buckets is a cell (lo, hi), so every pair of rows meets in one cell and no task needs a whole run.
@@ -256,7 +256,8 @@ def mixed_runs(rows: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     mixed = parts.select("token", "salt").join(runs, "token")  # one row for each part of a run: the join below has no hot key
     kept = rows.join(mixed, ["token", "salt"]).withColumn("bucket", F.pmod(F.xxhash64("lead"), F.col("m")))
     cells = kept.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-    return cells.select("token", F.least("bucket", "other").alias("lo"), F.greatest("bucket", "other").alias("hi"), "n", "pos", "lead", "c1", "c2", "bucket", "bitmap")
+    cells = cells.select("token", F.least("bucket", "other").alias("lo"), F.greatest("bucket", "other").alias("hi"), "n", "pos", "lead", "c1", "c2", "bucket")
+    return cells.join(bitmaps, "lead", "left").select("token", "lo", "hi", "n", "pos", "lead", "c1", "c2", "bucket", "bitmap")
 
 
 def all_pairs(cells: DataFrame, threshold=THRESHOLD, block: int = 256) -> DataFrame:
@@ -307,17 +308,15 @@ def complete_pairs(posts: DataFrame, of_class: DataFrame, bitmaps: DataFrame, th
     of_class: (class_id, lead, n, component) of every class. Pairs of groups are filtered first, then expanded to their members.
     """
     groups = of_class.groupBy("lead").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("members"))
-    single = bitmaps.select(F.col("doc_id").alias("lead"), "bitmap")
-    marked = groups.join(single, "lead").select("lead", "c1", "c2", F.when(F.col("members") == 1, F.col("bitmap")).alias("bitmap"), (F.col("members") == 1).alias("single"))
-    pairs = all_pairs(mixed_runs(posts.join(marked.drop("single"), "lead").select("token", "salt", "n", "pos", "lead", "c1", "c2", "bitmap")), threshold)
+    single = groups.where("members = 1").select("lead").join(bitmaps.select(F.col("doc_id").alias("lead"), "bitmap"), "lead")
+    pairs = all_pairs(mixed_runs(posts.join(groups.drop("members"), "lead").select("token", "salt", "n", "pos", "lead", "c1", "c2"), single), threshold)
     one = of_class.select(F.col("lead").alias("a"), F.col("class_id").alias("x"), F.col("component").alias("cx"))
     two = of_class.select(F.col("lead").alias("b"), F.col("class_id").alias("y"), F.col("component").alias("cy"))
     across = pairs.join(one, "a").join(two, "b").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    # the members of a group among themselves: each such group is a run of its own, its members have their bitmaps
+    # the members of a group among themselves: each such group is a run of its own
     several = groups.where("c1 <> c2").select("lead")
-    own = of_class.join(several, "lead").join(bitmaps.select(F.col("doc_id").alias("class_id"), "bitmap"), "class_id")
-    own = own.select(F.col("lead").alias("token"), F.lit(-1).cast("long").alias("salt"), "n", F.lit(0).cast("long").alias("pos"), F.col("class_id").alias("lead"), F.col("component").alias("c1"), F.col("component").alias("c2"), "bitmap")
-    inner = all_pairs(mixed_runs(own), threshold)
+    own = of_class.join(several, "lead").select(F.col("lead").alias("token"), F.lit(-1).cast("long").alias("salt"), "n", F.lit(0).cast("long").alias("pos"), F.col("class_id").alias("lead"), F.col("component").alias("c1"), F.col("component").alias("c2"))
+    inner = all_pairs(mixed_runs(own, bitmaps.select(F.col("doc_id").alias("lead"), "bitmap")), threshold)
     return plausible(across, bitmaps, threshold).select("a", "b").union(inner)
 
 

@@ -56,18 +56,15 @@ def word_blocks(text: str) -> Iterator[np.ndarray]:
             else:
                 yield mix(np.array([held], "u8") + np.uint64(length))
             length = 0
-        if len(ends) and ends[-1] == len(a):
+        if len(ends) and ends[-1] == len(a) and at + BLOCK // 4 < len(text):
             held, length = hashes[-1], int(sizes[-1])
             hashes, sizes = hashes[:-1], sizes[:-1]
         if len(hashes):
             yield mix(hashes + sizes)
-    if length:
-        yield mix(np.array([held], "u8") + np.uint64(length))
 
 
 def word_hashes(text: str) -> np.ndarray:
-    parts = list(word_blocks(text))
-    return np.concatenate(parts) if parts else np.zeros(0, "u8")
+    return np.concatenate([np.zeros(0, "u8"), *word_blocks(text)])
 
 
 def _runs(w: np.ndarray, size: int) -> np.ndarray:
@@ -84,7 +81,7 @@ def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     """The distinct shingles, ascending."""
     held, found, waiting = np.zeros(0, "u8"), [], 0
     for w in word_blocks(text or ""):
-        held = np.concatenate((held, w))
+        held = np.concatenate((held, w)) if len(held) else w
         if len(held) >= size:
             found.append(np.unique(_runs(held, size)))
             waiting += len(found[-1])

@@ -136,8 +136,9 @@ def test_components_by_either_way(spark, finish_at):
 
 def test_cells_meet_every_pair_once(spark):
     rows = [(7, i % 3, 10, 0, i, i, i) for i in range(50)] + [(8, -1, 10, 0, i, 1, 1) for i in range(9)] + [(9, -1, 10, 0, 3, 3, 3), (9, -1, 10, 0, 60, 4, 4)]
-    docs = spark.createDataFrame([(*r, bytearray(64)) for r in rows], "token long, salt long, n long, pos long, lead long, c1 long, c2 long, bitmap binary")
-    cells = J.mixed_runs(docs, cell_rows=8)
+    docs = spark.createDataFrame(rows, "token long, salt long, n long, pos long, lead long, c1 long, c2 long")
+    bitmaps = spark.createDataFrame([(i, bytearray(64)) for i in range(0, 61, 2)], "lead long, bitmap binary")
+    cells = J.mixed_runs(docs, bitmaps, cell_rows=8)
     assert max(r["count"] for r in cells.groupBy("token", "lo", "hi").count().collect()) < 40
     got = sorted((r.a, r.b) for r in J.all_pairs(cells).collect())
     assert got == sorted({(a, b) for a in range(50) for b in range(a + 1, 50)} | {(3, 60)})
