@@ -74,16 +74,23 @@ def prefix_varint_encode(v: np.ndarray) -> bytes:
 
 
 def prefix_varint_decode(data: bytes, n: int) -> np.ndarray:
+    out = prefix_varint_decode_all(data)
+    if len(out) != n:
+        raise ValueError(f"{len(out)} values, {n} expected")
+    return out
+
+
+def prefix_varint_decode_all(data: bytes) -> np.ndarray:
     out, at = [], 0
-    for _ in range(n):
+    while at < len(data):
         first = data[at]
         more = 8 - (first ^ 0xFF).bit_length()
+        if at + more >= len(data):
+            raise ValueError("the last value is cut off")
         x = int.from_bytes(data[at : at + more + 1], "big")
         keep = 7 * (more + 1) if more < 8 else 64
         out.append(x & ((1 << keep) - 1))
         at += more + 1
-    if at != len(data):
-        raise ValueError("bytes are left over")
     return np.array(out, "u8")
 
 
@@ -257,6 +264,10 @@ def undelta(d: np.ndarray) -> np.ndarray:
     return np.cumsum(d.astype("i8"))
 
 
+#: The widest range of values that is counted one by one.
+MAX_RANGE = 50_000_000
+
+
 def per_unit_encode(v: np.ndarray) -> bytes:
     """Sorted values as a base, a count and how many there are of each value from least to largest."""
     v = v.astype("i8")
@@ -264,7 +275,7 @@ def per_unit_encode(v: np.ndarray) -> bytes:
         raise ValueError("values must not fall")
     if not len(v):
         return b""
-    if int(v[-1]) - int(v[0]) > 50_000_000:
+    if int(v[-1]) - int(v[0]) > MAX_RANGE:
         raise ValueError("the range is too wide")
     return varint_encode(np.concatenate((zigzag(v[:1]), np.bincount(v - v[0]).astype("u8"))))
 

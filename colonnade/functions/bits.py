@@ -30,6 +30,13 @@ def varint_length(v: Column) -> Column:
     return F.ceil(bit_width(v) / 7).cast("bigint")
 
 
+def varint_hex(v: Column) -> Column:
+    """The varint of a non-negative int as lower-case hexadecimal digits: seven bits a byte, low bits first, the top bit set on all but the last."""
+    byte = lambda k: F.shiftrightunsigned(v, 7 * k).bitwiseAND(F.lit(127)) + F.when(F.shiftrightunsigned(v, 7 * k + 7) > 0, 128).otherwise(0)
+    two = lambda k: F.lower(F.lpad(F.hex(byte(k)), 2, "0"))
+    return F.concat(two(0), *[F.when(F.shiftrightunsigned(v, 7 * k) > 0, two(k)).otherwise(F.lit("")) for k in range(1, 5)])
+
+
 def prefix_varint_length(v: Column) -> Column:
     """Bytes of a value whose first byte tells the length by its leading ones: seven bits a byte up to eight bytes, else nine."""
     return F.when(bit_width(v) > 56, F.lit(9)).otherwise(varint_length(v)).cast("bigint")

@@ -2,8 +2,9 @@
 
 ``numbered`` gives every row its dense position in a total order: rows are range-partitioned and sorted, and each sorted part starts where
 the counts of the parts before it end. ``Ordered`` then works in row groups of a fixed number of positions: lags and running
-aggregates run in windows partitioned by row group, and a table with one row for each group carries what the groups before leave.
-Only that table (rows / GROUP_ROWS) is ever ordered by one task.
+aggregates run in windows partitioned by row group, and a table with one row for each group carries what the groups before leave. That table
+is summed up in the same way, in spans of SPAN groups, so what one task ever orders is one row for each span (rows / GROUP_ROWS / SPAN), or
+one for each sorted part.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from colonnade.session import shared_checkpoints
 
 GROUP_ROWS = 131_072
+SPAN = 1024
 
 
 def numbered(df: DataFrame, *keys, name: str = "rn") -> DataFrame:
@@ -65,9 +67,7 @@ class Ordered:
         make = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}[how]
         whole = F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col("rn"))) if how == "last" else make("__v")
         df = self.df.withColumn("__v", value)
-        groups = df.groupBy("grp").agg(whole.alias("__w"))
-        before = Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)  # one row for each row group
-        carried = groups.select("grp", make("__w").over(before).alias("__carry"))
+        carried = self._carried(df.groupBy("grp").agg(whole.alias("__w")), how, make)
         frame = self.within().rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
         own, carry = make("__v").over(frame), F.col("__carry")
         df = df.withColumn("__own", own).join(carried, "grp", "left")
@@ -79,6 +79,21 @@ class Ordered:
             out = F.coalesce("__own", carry)
         return self._new(df.withColumn(name, out).drop("__own", "__carry", "__v"))
 
+    @staticmethod
+    def _carried(groups: DataFrame, how: str, make) -> DataFrame:
+        """(grp, __carry): the aggregate of all groups before each one, from (grp, __w)."""
+        whole = F.max_by("__w", F.when(F.col("__w").isNotNull(), F.col("grp"))) if how == "last" else make("__w")
+        groups = groups.withColumn("__span", F.floor(F.col("grp") / SPAN).cast("long"))
+        spans = groups.groupBy("__span").agg(whole.alias("__s"))
+        spans = spans.select("__span", make("__s").over(Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)).alias("__far"))
+        near = make("__w").over(Window.partitionBy("__span").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1))
+        both = groups.withColumn("__near", near).join(spans, "__span")
+        if how == "sum":
+            carry = F.coalesce("__near", F.lit(0)) + F.coalesce("__far", F.lit(0))
+        else:
+            carry = F.greatest("__near", "__far") if how == "max" else F.coalesce("__near", "__far")
+        return both.select("grp", carry.alias("__carry"))
+
     def with_column(self, name: str, value: Column) -> Ordered:
         return self._new(self.df.withColumn(name, value))
 

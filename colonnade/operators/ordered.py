@@ -62,21 +62,31 @@ def lag_max_restore(groups: DataFrame) -> DataFrame:
 def bubble_counts(o: Ordered, value: str = "epoch_s") -> DataFrame:
     """(rn, bubbles): how many earlier rows hold a larger value, for the rows that have any.
 
-    Exact over the whole stream: inversions within a row group are counted in the group; against the groups before, a row takes the
-    rows above it from a histogram over (earlier groups, value), summed from above in one window for each group. Only groups that a
-    larger value precedes take part, so the histogram join is as small as the disorder.
+    Exact over the whole stream. Inversions within a row group are counted in the group. Two rows of different groups meet on just one
+    level k, where their group numbers agree but for the bits up to k and differ in bit k: they lie in the left and the right half
+    of a block. On each level a row takes part only if its value reaches beyond the least (or largest) one of the other half, so a nearly sorted stream
+    leaves few. All levels are sorted at once, by block and then from the largest value down, and a right row's count is the number of left
+    rows before it in its block, by a running sum. So at most log2(groups) copies of a row are sorted, and no key is joined on but the group.
     """
     points = o.df.select("rn", "grp", F.col(value).alias("v"))
     inner = _inversions(points)
-    tops = points.groupBy("grp").agg(F.max("v").alias("top"), F.min("v").alias("low"))
-    before = tops.select(F.col("grp").alias("g0"), "top")
-    behind = tops.select("grp", "low").join(before, (F.col("g0") < F.col("grp")) & (F.col("top") > F.col("low"))).select("grp", "g0")
-    hist = points.groupBy(F.col("grp").alias("g0"), F.col("v").alias("hv")).agg(F.count("*").alias("c"))
-    above = behind.join(hist, "g0").groupBy("grp", "hv").agg(F.sum("c").alias("c"))
-    # larger values come first, and of equal ones the counts after the rows: a running sum then counts strictly larger ones
-    mixed = above.select("grp", F.col("hv").alias("v"), F.lit(1).alias("kind"), "c", F.lit(None).cast("bigint").alias("rn")).unionByName(points.join(behind.select("grp").distinct(), "grp", "left_semi").select("grp", "v", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("c"), "rn"))
-    w = Window.partitionBy("grp").orderBy(F.col("v").desc(), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    outer = mixed.withColumn("outer", F.sum("c").over(w)).where("kind = 0").select("rn", "outer")
+    levels = int(points.agg(F.max("grp")).first()[0] or 0).bit_length()
+    if not levels:
+        return inner.where("bubbles > 0")
+    k = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
+    ends = points.groupBy("grp").agg(F.max("v").alias("top"), F.min("v").alias("low")).select("grp", "top", "low", k.alias("level"))
+    ends = ends.withColumn("block", F.expr("shiftright(grp, level + 1)")).withColumn("right", F.expr("shiftright(grp, level) & 1"))
+    halves = ends.groupBy("level", "block").agg(F.max(F.when(F.col("right") == 0, F.col("top"))).alias("top_left"), F.min(F.when(F.col("right") == 1, F.col("low"))).alias("low_right"))
+    halves = halves.where("top_left > low_right")
+    part = ends.join(halves, ["level", "block"]).where("CASE WHEN right = 0 THEN top > low_right ELSE low < top_left END")
+    part = part.groupBy("grp").agg(F.collect_list(F.struct("level", "block", "right", "top_left", "low_right")).alias("parts"))  # as many as levels
+    rows = points.join(part, "grp").select("rn", "v", F.explode("parts").alias("p")).where("CASE WHEN p.right = 0 THEN v > p.low_right ELSE v < p.top_left END")
+    rows = rows.select(F.col("rn").alias("row"), "v", "p.level", "p.block", "p.right")
+    sorted_ = Ordered.by(rows, "level", "block", F.col("v").desc(), F.col("right").desc(), group_rows=o.rows)  # of equal values the right ones come first
+    counted = sorted_.running((F.col("right") == 0).cast("bigint"), "lefts", inclusive=False).lag("level", "l0").lag("block", "b0")
+    begins = F.when(~(F.col("level").eqNullSafe(F.col("l0")) & F.col("block").eqNullSafe(F.col("b0"))), F.col("lefts"))
+    counted = counted.running(begins, "base", "last")
+    outer = counted.where("right = 1").groupBy(F.col("row").alias("rn")).agg(F.sum(F.col("lefts") - F.col("base")).alias("outer"))
     return inner.join(outer, "rn", "left").select("rn", (F.col("bubbles") + F.coalesce("outer", F.lit(0))).alias("bubbles")).where("bubbles > 0")
 
 
@@ -106,7 +116,7 @@ def _inversions(points: DataFrame) -> DataFrame:
 
 
 def front_coded(values: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
-    """(rn, grp, shared, rest) of sorted distinct strings: characters shared with the string before, and what follows them.
+    """(rn, grp, shared, rest) of sorted distinct strings: bytes shared with the string before, and the bytes that follow them.
 
     Every row group starts with a string in full, so groups are decoded on their own.
     """
@@ -115,19 +125,20 @@ def front_coded(values: DataFrame, name: str, group_rows: int | None = None) ->
     o = Ordered.by(values.select(name).distinct(), name, **({"group_rows": group_rows} if group_rows else {}))
     prev = F.lag(name).over(o.within())
     rows = o.df.withColumn("__prev", prev).select("rn", "grp", name, prefix_bytes(F.col(name), F.col("__prev")).alias("shared"))
-    return rows.select("rn", "grp", "shared", F.substring(name, F.col("shared") + 1, F.length(name)).alias("rest"))
+    raw = F.encode(name, "UTF-8")
+    return rows.select("rn", "grp", "shared", F.substring(raw, F.col("shared") + 1, F.octet_length(name)).alias("rest"))
 
 
 def front_decoded(coded: DataFrame) -> DataFrame:
     """(rn, value): the strings of front_coded again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = ""
+        last = b""
         for b in batches:
             out = []
             for shared, rest in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 last = last[:shared] + rest
-                out.append(last)
+                out.append(last.decode())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["rn", "value"])
 
     return coded.repartition("grp").sortWithinPartitions("grp", "rn").select("rn", "shared", "rest").mapInArrow(run, "rn long, value string")

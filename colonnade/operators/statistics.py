@@ -11,11 +11,17 @@ def every() -> WindowSpec:
     return Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def dense_histogram(df: DataFrame, bucket: str) -> DataFrame:
-    """Counts for every integer from the least to the largest bucket, zeros included; the range is made in parallel."""
+#: A dense histogram of a wider range raises: one bad value would otherwise make rows without end.
+MAX_RANGE = 50_000_000
+
+
+def dense_histogram(df: DataFrame, bucket: str, max_range: int = MAX_RANGE) -> DataFrame:
+    """Counts for every integer from the least to the largest bucket, zeros included; the range, of max_range at most, is made in parallel."""
     counts = df.groupBy(bucket).agg(F.count("*").alias("cnt"))
     ends = counts.agg(F.min(bucket).alias("lo"), F.max(bucket).alias("hi"))
     step = 4096
+    wide = F.lit(f"a histogram of more than {max_range} buckets")
+    ends = ends.select("lo", F.when(F.col("hi") - F.col("lo") <= max_range, F.col("hi")).otherwise(F.raise_error(wide).cast("bigint")).alias("hi"))
     cells = ends.where("lo IS NOT NULL").select(F.explode(F.sequence("lo", "hi", F.lit(step).cast("bigint"))).alias("from"), "hi")
     seconds = cells.repartition("from").select(F.explode(F.sequence("from", F.least("hi", F.col("from") + step - 1))).alias(bucket))
     return seconds.join(counts, bucket, "left").select(bucket, F.coalesce("cnt", F.lit(0)).alias("cnt"))
@@ -39,20 +45,34 @@ def smoothed(counts: DataFrame, alphabet: int) -> DataFrame:
     return symbols.join(counts, "sym", "left").select("sym", F.greatest(F.coalesce("cnt", F.lit(0)), F.lit(1)).alias("cnt"))
 
 
+def _fitting(counts: DataFrame, scale: int) -> DataFrame:
+    """counts, if the scale has room for all symbols; else an error."""
+    full = F.raise_error(F.lit(f"more than {scale} symbols")).cast("bigint")
+    return counts.select("sym", F.when(F.count("*").over(every()) <= scale, F.col("cnt")).otherwise(full).alias("cnt"))
+
+
 def normalise_max(counts: DataFrame, scale: int) -> DataFrame:
-    """Frequencies that sum to scale: rounded down, at least one, what is missing goes to the first most frequent symbol."""
-    base = counts.withColumn("total", F.sum("cnt").over(every())).withColumn("c", F.greatest(F.expr(f"cnt * {scale} div total"), F.lit(1)))
-    ranked = base.withColumn("rest", scale - F.sum("c").over(every())).withColumn("rk", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("c").desc(), "sym")))
-    return ranked.select("sym", "cnt", (F.col("c") + F.when(F.col("rk") == 1, F.col("rest")).otherwise(0)).cast("bigint").alias("freq"))
+    """Frequencies that sum to scale: rounded down, at least one; the first most frequent symbol gets what is missing, and gives what is too much.
+
+    It gives down to one, then the next one does. More symbols than scale are an error.
+    """
+    base = _fitting(counts, scale).withColumn("total", F.sum("cnt").over(every())).withColumn("c", F.greatest(F.expr(f"cnt * {scale} div total"), F.lit(1)))
+    order = Window.partitionBy(F.lit(1)).orderBy(F.col("c").desc(), "sym")
+    given = F.coalesce(F.sum(F.col("c") - 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # what those before can give
+    ranked = base.withColumn("rest", scale - F.sum("c").over(every())).withColumn("rk", F.row_number().over(order)).withColumn("given", given)
+    more = F.when(F.col("rk") == 1, F.col("rest")).otherwise(F.lit(0))
+    less = F.greatest(F.lit(0), F.least(F.col("c") - 1, -F.col("rest") - F.col("given")))
+    return ranked.select("sym", "cnt", (F.col("c") + F.when(F.col("rest") >= 0, more).otherwise(-less)).cast("bigint").alias("freq"))
 
 
 def normalise_remainders(counts: DataFrame, scale: int) -> DataFrame:
     """Frequencies that sum to scale by largest remainders, each at least one.
 
     A deficit is dealt out in turns by remainder, count and symbol; a surplus is taken from the smallest remainders first, each drained to one.
+    More symbols than scale are an error.
     """
     one = Window.partitionBy(F.lit(1))
-    base = counts.withColumn("total", F.sum("cnt").over(every())).select("sym", "cnt", F.greatest(F.expr(f"cnt * {scale} div total"), F.lit(1)).alias("c"), F.expr(f"cnt * {scale} % total").alias("rem"))
+    base = _fitting(counts, scale).withColumn("total", F.sum("cnt").over(every())).select("sym", "cnt", F.greatest(F.expr(f"cnt * {scale} div total"), F.lit(1)).alias("c"), F.expr(f"cnt * {scale} % total").alias("rem"))
     up = F.row_number().over(one.orderBy(F.col("rem").desc(), F.col("cnt").desc(), "sym")) - 1
     drained = F.coalesce(F.sum(F.col("c") - 1).over(one.orderBy("rem", "cnt", "sym").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     r = base.withColumn("need", scale - F.sum("c").over(every())).withColumn("k", F.count("*").over(every())).withColumn("up", up).withColumn("drained", drained)

@@ -70,14 +70,18 @@ COLUMN_CODECS = {
     "b19_context_ans": (_S, "repo_id % 5", (E.context_ans_encode, E.context_ans_decode)),
     "b20_timestamps": (_S, "epoch_s", C.TIMES),
     "b21_event_ids": (_P, "pos", C.IDS),
-    "b24_delta_pack_zstd": (_S, "epoch_s", (lambda v: C.compress(C.DELTA_PACKED[0](v), 12), lambda b, n: C.DELTA_PACKED[1](C.expand(b, 12), n))),
+    "b24_numeric": (_S, "epoch_s", C.NUMERIC),
     "b25_frequency_table": (_P, "repo_id", (lambda v: E.table_encode(v), lambda b, n: E.table_decode(b)[0])),
     "b26_hybrid": (_S, "repo_id * 1000", C.HYBRID),
     "b27_permuted_times": (_S, "epoch_s - epoch_s % 60", C.PERMUTED),
+    "b27b_second_counts": (_P, "epoch_s", (E.second_counts_encode, E.second_counts_decode)),
     "b16c_limited_recency": (_S, "repo_id", C.LIMITED_MTF),
     "b07b_change_markers": (_S, "repo_id % 3", C.MARKERS),
     "b10b_late_split": (_S, "epoch_s - epoch_s % 60", C.LATE_SPLIT),
     "b12b_back_references": (_S, "repo_id", C.BACK_REFS),
+    "b02b_signal_deltas": (_S, "pos", C.SIGNALS),
+    "b11b_adaptive_ids": (_P, "pos", C.ADAPTIVE_IDS),
+    "b01b_short_deltas": (_S, "epoch_s", C.SHORT_DELTAS),
     "b10c_two_lag": (_S, "epoch_s", C.TWO_LAG),
 }
 
@@ -129,10 +133,15 @@ def b08_size(spark, d):
     return _sizes(spark, d, F.col("repo_id") % 2, I.bitmap_encode)
 
 
-@query("b22_context_mixing_substitute", "WITH {EV} SELECT pos, repo_name FROM ev")
+@query("b22_context_mixing", "WITH {EV} SELECT pos, repo_name FROM ev")
 def b22(spark, d):
-    """Names by a strong general compressor (lzma) in row groups, in place of a context-mixing coder."""
-    return _strings(spark, d, -1)
+    """Names by the context-mixing coder in row groups."""
+    return _strings(spark, d, C.MIXED)
+
+
+@query("b22b_lzma", "WITH {EV} SELECT pos, repo_name FROM ev")
+def b22b(spark, d):
+    return _strings(spark, d, C.LZMA)
 
 
 @query("b23_zstd_round_trip", "WITH {EV} SELECT pos, repo_name FROM ev")
@@ -157,15 +166,47 @@ def _strings(spark, d, level):
     return packed.mapInArrow(back, "rn long, repo_name string").join(o.df.select("rn", "pos"), "rn").select("pos", "repo_name")
 
 
-@query("b28_compression_parameters")
+#: Settings of the compressor: level, window (log2), checksum, content size stored.
+_SETTINGS = {"level 1": (1, 0, False, True), "level 9": (9, 0, False, True), "level 22": (22, 0, False, True), "window 17": (19, 17, False, True), "window 24": (19, 24, False, True), "window 30": (19, 30, False, True), "checksum": (19, 0, True, True), "plain": (19, 0, False, True), "size unknown": (19, 0, False, False)}
+
+
+def _zstd(data: bytes, level: int, window: int, checksum: bool, sized: bool) -> bytes:
+    import zstandard
+
+    options = {"window_log": window} if window else {}
+    made = zstandard.ZstdCompressionParameters.from_level(level, write_checksum=checksum, write_content_size=sized, **options)
+    return zstandard.ZstdCompressor(compression_params=made).compress(data)
+
+
+def _unzstd(data: bytes, size: int) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor(max_window_size=1 << 31).decompress(data, max_output_size=size)
+
+
+@query(
+    "b28_compression_parameters",
+    "WITH {EV}, g AS (SELECT (count(*) + 8191) // 8192 AS groups, count(*) AS n FROM ev), s AS (SELECT unnest([" + ", ".join(f"'{k}'" for k in _SETTINGS) + "]) AS setting) SELECT setting, l.layout, n::BIGINT AS restored, CASE setting WHEN 'checksum' THEN 4 * groups * l.streams END::BIGINT AS added FROM g, s, (VALUES ('columns', 3), ('combined', 1)) l(layout, streams)",
+)
 def b28(spark, d):
-    """Payload bytes of a column at several levels; every level must give the column back, so only sizes differ."""
-    o = Ordered.by(events_view(spark, d), "pos", group_rows=GROUP)
-    out = None
-    for level in (1, 9, 19, 22):
-        s = column_sections(o, F.col("epoch_s"), lambda v, level=level: C.compress(C.DELTA_VARINT[0](v), level)).agg(F.sum(F.octet_length("payload")).alias("bytes")).select(F.lit(level).alias("level"), "bytes")
-        out = s if out is None else out.unionByName(s)
-    return out
+    """Settings of the compressor over three columns, each on its own and all in one stream: rows that come back, and the bytes a checksum adds to the plain form."""
+    o = Ordered.by(events_view(spark, d).select("pos", "epoch_s", "repo_id"), "pos", group_rows=GROUP)
+
+    def group(table):
+        table, rows = table.sort_by("rn"), []
+        columns = [C.DELTA_VARINT[0](table[c].to_numpy()) for c in ("pos", "epoch_s", "repo_id")]
+        for layout, streams in (("columns", columns), ("combined", [b"".join(columns)])):
+            size = {}
+            for name, options in _SETTINGS.items():
+                packed = [_zstd(s, *options) for s in streams]
+                size[name] = sum(map(len, packed))
+                right = all(_unzstd(p, len(s)) == s for p, s in zip(packed, streams, strict=True))
+                rows.append([name, layout, table.num_rows if right else 0, None])
+            next(r for r in rows if r[:2] == ["checksum", layout])[3] = size["checksum"] - size["plain"]
+        return pa.table([[r[k] for r in rows] for k in range(4)], schema=pa.schema([("setting", pa.string()), ("layout", pa.string()), ("restored", pa.int64()), ("added", pa.int64())]))
+
+    per = o.df.groupBy("grp").applyInArrow(group, "setting string, layout string, restored long, added long")
+    return per.groupBy("setting", "layout").agg(F.sum("restored").alias("restored"), F.sum("added").alias("added"))
 
 
 @query(

@@ -96,14 +96,31 @@ def j10(spark, d):
     return numbered(late.unionByName(clean), "insert_position", "clean", "seq").select("rn", "pos")
 
 
-@query("j11_compare_tables", "WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL) SELECT sum(n)::BIGINT AS n_rows, sum(CASE WHEN l_partkey % 100 = 7 THEN n ELSE 0 END)::BIGINT AS n_differing, min(CASE WHEN l_partkey % 100 = 7 THEN l_orderkey END) AS first_key FROM a")
+_LINES = "row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 AS rn"
+
+
+@query(
+    "j11_compare_tables",
+    f"WITH a AS (SELECT l_orderkey, l_partkey, {_LINES} FROM lineitem), x AS (SELECT rn, l_orderkey || ':' || l_partkey AS left_row, l_orderkey || ':-' || l_partkey AS right_row FROM a WHERE l_partkey % 100 = 7) "
+    "SELECT 'rows' AS kind, (SELECT count(*) FROM a)::BIGINT AS at, NULL AS left_row, NULL AS right_row UNION ALL SELECT 'differing', count(*)::BIGINT, NULL, NULL FROM x UNION ALL (SELECT 'example', rn::BIGINT, left_row, right_row FROM x ORDER BY rn LIMIT 3)",
+)
 def j11(spark, d):
-    """Two tables compared as multisets of rows, without expanding them."""
-    left = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    """Two tables compared row by row at the same position: how many differ, and the first three that do."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
+    left = numbered(table(spark, d, "lineitem").select(*keys), *keys).select("rn", "l_orderkey", "l_partkey")
     right = left.withColumn("l_partkey", F.when(F.col("l_partkey") % 100 == 7, -F.col("l_partkey")).otherwise(F.col("l_partkey")))
-    both = left.withColumn("s", F.lit(1)).unionByName(right.withColumn("s", F.lit(-1)))
-    per = both.groupBy(left.columns).agg(F.sum("s").alias("s"), F.sum(F.when(F.col("s") > 0, 1).otherwise(0)).alias("n"))
-    return per.agg(F.sum("n").cast("bigint").alias("n_rows"), F.sum(F.greatest("s", F.lit(0))).cast("bigint").alias("n_differing"), F.min(F.when(F.col("s") > 0, F.col("l_orderkey"))).alias("first_key"))
+    return compared(left, right, "rn")
+
+
+def compared(left, right, at: str, examples: int = 3):
+    """(kind, at, left_row, right_row): the number of rows, of differing ones, and the first of these by position; a row that one table lacks differs."""
+    row = lambda df: F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in df.columns if c != at])
+    both = left.select(at, row(left).alias("left_row")).join(right.select(at, row(right).alias("right_row")), at, "full")
+    differing = both.where(~F.col("left_row").eqNullSafe(F.col("right_row")))
+    none = F.lit(None).cast("string")
+    total = lambda df, kind: df.agg(F.count("*").alias("at")).select(F.lit(kind).alias("kind"), "at", none.alias("left_row"), none.alias("right_row"))
+    first = differing.orderBy(at).limit(examples).select(F.lit("example").alias("kind"), F.col(at).alias("at"), "left_row", "right_row")
+    return total(both, "rows").unionByName(total(differing, "differing")).unionByName(first)
 
 
 _BACK = _RN + ", fr AS (SELECT repo_name, min(rn) AS first_rn FROM o GROUP BY repo_name), fo AS (SELECT owner, min(rn) AS first_rn FROM o GROUP BY owner), ri AS (SELECT repo_name, first_rn, row_number() OVER (ORDER BY first_rn) - 1 AS i FROM fr), oi AS (SELECT owner, first_rn, row_number() OVER (ORDER BY first_rn) - 1 AS i FROM fo)"

@@ -114,10 +114,17 @@ def w13(spark, d):
     return log.df.select(F.col("at").alias("rn"), "bubbles", (F.col("at") - F.coalesce("before", F.lit(-1)) - 1).alias("advance"))
 
 
-@query("w15_front_coding", "SELECT DISTINCT p_name AS value FROM part")
+@query(
+    "w15_front_coding",
+    "WITH n AS (SELECT s, row_number() OVER (ORDER BY encode(s)) - 1 AS rn FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS s FROM documents WHERE doc_id % 10 = 0)), p AS (SELECT rn, s, CASE WHEN rn % 16 > 0 THEN lag(s) OVER (ORDER BY rn) END AS q FROM n), "
+    "c AS (SELECT rn, s, (CASE WHEN q IS NULL THEN 0 ELSE coalesce((SELECT min(i) FROM (SELECT unnest(range(1, least(strlen(s), strlen(q)) + 1)) AS i) WHERE substr(hex(encode(s)), 2 * i - 1, 2) <> substr(hex(encode(q)), 2 * i - 1, 2)) - 1, least(strlen(s), strlen(q))) END)::INT AS shared FROM p) "
+    "SELECT rn::BIGINT AS rn, shared, substr(hex(encode(s)), 2 * shared + 1) AS rest, s AS value FROM c",
+)
 def w15(spark, d):
-    """Forward and back again; the forward part alone is f10."""
-    return R.front_decoded(R.front_coded(table(spark, d, "part"), "p_name", 16)).select("value")
+    """Words of some documents in blocks of 16: bytes shared with the word before, the rest, and the words decoded from these."""
+    words = table(spark, d, "documents").where("doc_id % 10 = 0").select(F.explode(F.split("text", " ")).alias("s"))
+    coded = R.front_coded(words, "s", 16)
+    return coded.select("rn", "shared", F.hex("rest").alias("rest")).join(R.front_decoded(coded), "rn")
 
 
 _MTF = "s AS (SELECT rn, rn // 2048 AS grp, repo_id % 16 AS s FROM o), x AS (SELECT *, max(rn) OVER (PARTITION BY grp, s ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM s)"
@@ -133,15 +140,21 @@ def w16b(spark, d):
     return R.move_from_front(R.move_to_front(stream(spark, d, "repo_id").with_column("s", F.col("repo_id") % 16), "s", 16), 16)
 
 
-@query("w17_limited_move_to_front", "WITH {EV}, " + _RN + ", t AS (SELECT repo_name, row_number() OVER (ORDER BY count(*) DESC, repo_name) - 1 AS sym FROM ev GROUP BY repo_name QUALIFY sym < 64) SELECT rn::BIGINT AS rn, sym IS NOT NULL AS in_head, repo_name FROM o LEFT JOIN t USING (repo_name)")
+@query(
+    "w17_limited_move_to_front",
+    "WITH {EV}, " + _RN + ", t AS (SELECT repo_name, row_number() OVER (ORDER BY count(*) DESC, repo_name) - 1 AS sym FROM ev GROUP BY repo_name QUALIFY sym < 64), s AS (SELECT rn, rn // 2048 AS grp, sym AS s, repo_name FROM o JOIN t USING (repo_name)), "
+    "x AS (SELECT *, max(rn) OVER (PARTITION BY grp, s ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM s), f AS (SELECT grp, s, min(rn) AS first FROM s GROUP BY 1, 2) "
+    "SELECT x.rn::BIGINT AS rn, repo_name, (CASE WHEN last IS NOT NULL THEN (SELECT count(DISTINCT y.s) FROM s y WHERE y.grp = x.grp AND y.rn > x.last AND y.rn < x.rn) ELSE x.s + (SELECT count(*) FROM f WHERE f.grp = x.grp AND f.first < x.rn AND f.s > x.s) END)::BIGINT AS code FROM x "
+    "UNION ALL SELECT rn::BIGINT, repo_name, NULL FROM o WHERE repo_name NOT IN (SELECT repo_name FROM t)",
+)
 def w17(spark, d):
-    """Move-to-front over the most frequent symbols only, the rest kept as they are, and merged back."""
-    o = numbered(events_view(spark, d), "id", "event_type")
+    """Move-to-front over the most frequent symbols only: their codes, and the names decoded from these; the rest is kept as it is."""
+    o = numbered(events_view(spark, d).select("id", "event_type", "repo_name"), "id", "event_type")
     best = D.top_k(o, "repo_name", 64)
     head, rest = D.split_by(o, best, "repo_name")
     coded = R.move_to_front(Ordered(head, GROUP), "sym", 64)
-    back = R.move_from_front(coded, 64).join(F.broadcast(best.select(F.col("sym").alias("symbol"), "repo_name")), "symbol")
-    return back.select("rn", F.lit(True).alias("in_head"), "repo_name").unionByName(rest.select("rn", F.lit(False).alias("in_head"), "repo_name"))
+    back = R.move_from_front(coded, 64).join(F.broadcast(best.select(F.col("sym").alias("symbol"), "repo_name")), "symbol").join(coded.select("rn", "code"), "rn")
+    return back.select("rn", "repo_name", "code").unionByName(rest.select("rn", "repo_name", F.lit(None).cast("bigint").alias("code")))
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from colonnade.codecs.events import STATIC_TYPES
 from colonnade.functions import bits, names, times
 from colonnade.operators.order import Ordered
 from colonnade.plans.registry import query
@@ -11,11 +12,6 @@ from colonnade.session import table
 from colonnade.sources.events import derived_url, events_view, key_value, ntz_epoch_seconds
 
 ISO_SQL = "strftime(make_timestamp(epoch_s * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
-# The event types of the source format, in their order.
-EVENT_TYPES = [
-    "CommitCommentEvent", "CreateEvent", "DeleteEvent", "DiscussionEvent", "ForkEvent", "GollumEvent", "IssueCommentEvent", "IssuesEvent",
-    "MemberEvent", "PublicEvent", "PullRequestEvent", "PullRequestReviewCommentEvent", "PullRequestReviewEvent", "PushEvent", "ReleaseEvent", "WatchEvent",
-]
 
 
 @query("p01_flatten", "WITH {EV} SELECT id AS key_id, event_type AS key_type, repo_id, repo_name, 'https://api.github.com/repos/' || repo_name AS repo_url, " + ISO_SQL + " AS created_at FROM ev")
@@ -73,17 +69,27 @@ def p06(spark, d):
     return _page_names(spark, d).select("page_id", a[0].alias("owner_a"), a[1].alias("rest_a"), b[0].alias("owner_b"), b[1].alias("rest_b"))
 
 
-@query("p07_join_owner", f"WITH {_URLS} SELECT page_id, name AS kept_owner, name AS kept_rest, CASE WHEN instr(name, '/') > 0 THEN name ELSE name || '/' END AS plain FROM urls WHERE name NOT LIKE '%/' AND name NOT LIKE '/%'")
+@query(
+    "p07_join_owner",
+    f"WITH {_URLS}, e AS (SELECT page_id * 10 + k AS row, CASE k WHEN 0 THEN name WHEN 1 THEN name || '/' WHEN 2 THEN '/' || name WHEN 3 THEN '/' ELSE '' END AS name FROM urls, (SELECT unnest(range(5)) AS k)) "
+    "SELECT row, CASE WHEN instr(name, '/') > 0 AND instr(name, '/') = length(name) THEN left(name, -1) ELSE name END AS kept_owner, CASE WHEN starts_with(name, '/') THEN substr(name, 2) ELSE name END AS kept_rest, CASE WHEN instr(name, '/') > 0 THEN name ELSE name || '/' END AS plain FROM e",
+)
 def p07(spark, d):
-    p = _page_names(spark, d).where("name NOT LIKE '%/' AND name NOT LIKE '/%'")
-    a, b = names.split_name(F.col("name"), "owner"), names.split_name(F.col("name"), "rest")
-    return p.select("page_id", names.join_name(*a, missing="owner").alias("kept_owner"), names.join_name(*b, missing="rest").alias("kept_rest"), names.join_name(*a).alias("plain"))
+    """Every name as it is, with a slash behind or before it, a slash alone and nothing: a slash at either end is lost by one of the two ways."""
+    n = F.col("name")
+    odd = F.array(n, F.concat(n, F.lit("/")), F.concat(F.lit("/"), n), F.lit("/"), F.lit(""))
+    p = _page_names(spark, d).select("page_id", F.posexplode(odd).alias("k", "name")).select((F.col("page_id") * 10 + F.col("k")).alias("row"), "name")
+    a, b = names.split_name(n, "owner"), names.split_name(n, "rest")
+    return p.select("row", names.join_name(*a, missing="owner").alias("kept_owner"), names.join_name(*b, missing="rest").alias("kept_rest"), names.join_name(*a).alias("plain"))
 
 
-@query("p08_derived_url", "WITH {EV} SELECT pos, 'https://api.github.com/repos/' || repo_name AS url, 0::BIGINT AS not_derivable FROM ev")
+@query("p08_derived_url", "WITH {EV} SELECT pos, CASE WHEN repo_id % 10 = 3 THEN 'https://example.org/' || repo_name END AS kept, CASE WHEN repo_id % 10 = 3 THEN 'https://example.org/' || repo_name ELSE 'https://api.github.com/repos/' || repo_name END AS url FROM ev")
 def p08(spark, d):
-    e = events_view(spark, d).withColumn("url", derived_url("repo_name"))
-    return e.select("pos", "url", (F.col("url") != derived_url("repo_name")).cast("bigint").alias("not_derivable"))
+    """A url that can be derived from the name is dropped and made again; any other is kept."""
+    given = F.when(F.col("repo_id") % 10 == 3, F.concat(F.lit("https://example.org/"), "repo_name")).otherwise(derived_url("repo_name"))
+    e = events_view(spark, d).select("pos", "repo_name", given.alias("given"))
+    stored = e.select("pos", "repo_name", F.when(F.col("given") != derived_url("repo_name"), F.col("given")).alias("kept"))
+    return stored.select("pos", "kept", F.coalesce("kept", derived_url("repo_name")).alias("url"))
 
 
 @query("p09_blank_lines", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*)::BIGINT AS n_lines, sum(length(line))::BIGINT AS n_chars FROM l WHERE line <> '' GROUP BY doc_id")
@@ -98,11 +104,11 @@ def p10(spark, d):
     return table(spark, d, "part").where(F.contains(low, F.lit("re")) | F.contains(low, F.lit("naive"))).select("p_partkey", "p_name")
 
 
-@query("p11_enum_map", "WITH {EV}, m(name, code) AS (VALUES " + ", ".join(f"('{t}', {i})" for i, t in enumerate(EVENT_TYPES)) + "), t AS (SELECT name, code FROM m) SELECT pos, t.code::INT AS code, t.name AS decoded FROM ev JOIN t ON t.code = pos % 16")
+@query("p11_enum_map", "WITH {EV}, m(name, code) AS (VALUES " + ", ".join(f"('{t}', {i})" for i, t in enumerate(STATIC_TYPES)) + "), t AS (SELECT name, code FROM m) SELECT pos, t.code::INT AS code, t.name AS decoded FROM ev JOIN t ON t.code = pos % 16")
 def p11(spark, d):
     """Static names to codes and back through a literal map; an unknown name raises."""
-    to_code = F.create_map(*[F.lit(x) for i, t in enumerate(EVENT_TYPES) for x in (t, i)])
-    back = F.array(*map(F.lit, EVENT_TYPES))
+    to_code = F.create_map(*[F.lit(x) for i, t in enumerate(STATIC_TYPES) for x in (t, i)])
+    back = F.array(*map(F.lit, STATIC_TYPES))
     name = F.element_at(back, (F.col("pos") % 16 + 1).cast("int"))
     code = F.coalesce(to_code[name], F.raise_error(F.lit("unknown event type")).cast("int"))
     return events_view(spark, d).select("pos", code.alias("code")).select("pos", "code", F.element_at(back, F.col("code") + 1).alias("decoded"))
@@ -214,13 +220,15 @@ def f09(spark, d):
     return o.select("pos", wide.alias("wide"), F.when(v.isin(0, 1, 2), v).otherwise(3).cast("int").alias("narrow"), F.when(z == 0, 0).when(z == 2, 1).when(z == 4, 2).otherwise(3).alias("ids"))
 
 
-_NAMES = "nm AS (SELECT p_name AS s, lag(p_name) OVER (ORDER BY p_name) AS q FROM (SELECT DISTINCT p_name FROM part))"
+_WORDS = "wd AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS s FROM documents WHERE doc_id % 10 = 0), nm AS (SELECT s, lag(s) OVER (ORDER BY encode(s)) AS q FROM wd)"
 
 
-@query("f10_common_prefix", "WITH " + _NAMES + " SELECT s, (CASE WHEN q IS NULL THEN 0 ELSE coalesce((SELECT min(i) FROM (SELECT unnest(range(1, least(length(s), length(q)) + 1)) AS i) WHERE substr(s, i, 1) <> substr(q, i, 1)) - 1, least(length(s), length(q))) END)::INT AS shared FROM nm")
+@query("f10_common_prefix", "WITH " + _WORDS + " SELECT s, (CASE WHEN q IS NULL THEN 0 ELSE coalesce((SELECT min(i) FROM (SELECT unnest(range(1, least(strlen(s), strlen(q)) + 1)) AS i) WHERE substr(hex(encode(s)), 2 * i - 1, 2) <> substr(hex(encode(q)), 2 * i - 1, 2)) - 1, least(strlen(s), strlen(q))) END)::INT AS shared FROM nm")
 def f10(spark, d):
-    o = Ordered.by(table(spark, d, "part").select(F.col("p_name").alias("s")).distinct(), "s").lag("s", "q").df
-    return o.select("s", F.coalesce(names.prefix_bytes(F.col("s"), F.col("q")), F.lit(0)).alias("shared"))
+    """Bytes that each word shares with the one before it in order, of some documents' words in four languages."""
+    words = table(spark, d, "documents").where("doc_id % 10 = 0").select(F.explode(F.split("text", " ")).alias("s")).distinct()
+    o = Ordered.by(words, "s").lag("s", "q").df
+    return o.select("s", names.prefix_bytes(F.col("s"), F.col("q")).alias("shared"))
 
 
 _PAIRS = "pr AS (SELECT DISTINCT owner, CASE repo_id % 4 WHEN 0 THEN owner WHEN 1 THEN owner || '-' || suffix WHEN 2 THEN 'x' || owner || suffix ELSE owner || suffix END AS rest FROM ev)"
@@ -247,12 +255,14 @@ def f12(spark, d):
 
 @query(
     "f13_case_folding",
-    "WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '[^A-Za-z]+')) AS s FROM documents), c AS (SELECT s, string_split(s, '') AS a FROM w WHERE s <> '') SELECT s, lower(s) AS letters, s AS back FROM c",
+    "WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '[^A-Za-z]+')) AS s FROM documents UNION SELECT DISTINCT upper(unnest(string_split_regex(text, '[^A-Za-z]+'))) FROM documents), "
+    "t AS (SELECT s, regexp_extract(s, '[A-Z]{2,}$') AS tail FROM w WHERE s <> '') SELECT s, lower(regexp_replace(left(s, length(s) - length(tail)), '([A-Z])', '^\\1', 'g')) || CASE WHEN tail <> '' THEN '$' || lower(tail) ELSE '' END AS folded, s AS back FROM t",
 )
 def f13(spark, d):
-    w = table(spark, d, "documents").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("s")).where("s <> ''").distinct()
-    f = w.select("s", names.folded(F.col("s")).alias("f"))
-    return f.select("s", F.translate("f", "^$", "").alias("letters"), names.unfolded(F.col("f")).alias("back"))
+    """Words as they stand and in capitals, folded and back again."""
+    w = table(spark, d, "documents").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("s"))
+    w = w.union(w.select(F.upper("s"))).where("s <> ''").distinct().select("s", names.folded(F.col("s")).alias("folded"))
+    return w.select("s", "folded", names.unfolded(F.col("folded")).alias("back"))
 
 
 @query("f14_join_and_split", "WITH t AS (SELECT event_type AS v, row_number() OVER (ORDER BY event_type) - 1 AS i FROM (SELECT DISTINCT event_type FROM events)), j AS (SELECT string_agg(v, chr(10) ORDER BY i) AS joined, count(*) AS n FROM t) SELECT i::BIGINT AS i, v, joined, n::BIGINT AS n FROM t, j")
@@ -262,10 +272,15 @@ def f14(spark, d):
     return joined.select(F.posexplode(F.split("joined", "\n")).alias("i", "v"), "joined", "n").select(F.col("i").cast("bigint").alias("i"), "v", "joined", "n")
 
 
-@query("f15_length_prefix", "SELECT p_partkey, strlen(p_name)::INT AS n_bytes, lpad(lower(hex(strlen(p_name))), 2, '0') || lower(hex(encode(p_name))) AS framed FROM part WHERE strlen(p_name) < 128")
+_VARINT_SQL = "lower(CASE WHEN n < 128 THEN lpad(hex(n), 2, '0') WHEN n < 16384 THEN lpad(hex(n % 128 + 128), 2, '0') || lpad(hex(n // 128), 2, '0') ELSE lpad(hex(n % 128 + 128), 2, '0') || lpad(hex(n // 128 % 128 + 128), 2, '0') || lpad(hex(n // 16384), 2, '0') END)"
+
+
+@query("f15_length_prefix", f"SELECT doc_id, n::INT AS n_bytes, {_VARINT_SQL} AS prefix, md5({_VARINT_SQL} || lower(hex(encode(t)))) AS framed FROM (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS n FROM documents)")
 def f15(spark, d):
-    n = F.octet_length("p_name")
-    return table(spark, d, "part").where(n < 128).select("p_partkey", n.alias("n_bytes"), F.concat(F.lpad(F.lower(F.hex(n)), 2, "0"), F.lower(F.hex(F.encode("p_name", "UTF-8")))).alias("framed"))
+    """Every text behind its length in bytes as a varint; the frames as digests of their hexadecimal form."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    rows = table(spark, d, "documents").select("doc_id", t.alias("t"), F.octet_length(t).alias("n_bytes")).withColumn("prefix", bits.varint_hex(F.col("n_bytes")))
+    return rows.select("doc_id", "n_bytes", "prefix", F.md5(F.concat("prefix", F.lower(F.hex(F.encode("t", "UTF-8"))))).alias("framed"))
 
 
 @query("f16_sentinel_list", "WITH {EV}, n AS (SELECT repo_name, row_number() OVER (ORDER BY repo_name) - 1 AS i FROM (SELECT DISTINCT repo_name FROM ev)), v AS (SELECT repo_id, list_sort(list(DISTINCT i)) AS vs FROM ev JOIN n USING (repo_name) GROUP BY repo_id) SELECT repo_id, CASE WHEN len(vs) = 1 THEN (vs[1] + 1)::VARCHAR ELSE '0,' || len(vs) || ',' || array_to_string(vs, ',') END AS coded FROM v")
@@ -302,7 +317,12 @@ def f20(spark, d):
     return table(spark, d, "events").select("event_id", (F.col("event_id") + 1).alias("plain"), F.try_add(big, F.lit(1)).alias("checked"))
 
 
-@query("f21_utf8", "SELECT doc_id, TRUE AS valid, text AS lossy, length(text)::INT AS n FROM documents WHERE text IS NOT NULL")
+@query(
+    "f21_utf8",
+    "SELECT doc_id, CASE WHEN text IS NOT NULL THEN doc_id % 3 = 2 END AS valid, text || CASE WHEN doc_id % 3 < 2 THEN chr(65533) ELSE '' END AS lossy FROM documents",
+)
 def f21(spark, d):
-    raw = F.encode("text", "UTF-8")
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.is_valid_utf8(raw.cast("string")).alias("valid"), F.make_valid_utf8(raw.cast("string")).alias("lossy"), F.length("text").alias("n"))
+    """Bytes that end in one that is never valid, in half a character, or well: checked, and read with a replacement character for what is broken."""
+    tail = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("FF"))).when(F.col("doc_id") % 3 == 1, F.unhex(F.lit("C3"))).otherwise(F.unhex(F.lit("")))
+    raw = F.concat(F.encode("text", "UTF-8"), tail).cast("string")
+    return table(spark, d, "documents").select("doc_id", F.is_valid_utf8(raw).alias("valid"), F.make_valid_utf8(raw).alias("lossy"))

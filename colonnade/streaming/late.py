@@ -9,28 +9,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from colonnade.operators.order import Ordered
+
 
 def parquet_stream(spark: SparkSession, path: str, schema: str, files: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
-def marked_late(stream: DataFrame) -> DataFrame:
-    """(pos, repo_id, epoch_s, late): late rows lie below the largest time of their key so far, in the order of rn within a batch.
+def marked_late(stream: DataFrame, path: str) -> DataFrame:
+    """(pos, epoch_s, late) of a stream (rn, pos, epoch_s): late rows lie below the largest time of all rows before them, in the order of rn within a batch.
 
-    A watermark would drop them; here each key's state is its largest time, and every row comes out once.
+    A watermark would drop them; here every row comes out once. Within a batch the running maximum is that of an ordered table, spread over tasks;
+    from batch to batch one number is carried, written with each batch, so that a batch that is run again finds what was before it.
     """
+    spark = stream.sparkSession
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        top = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("rn", kind="stable")
-        before = rows["epoch_s"].cummax().shift()
-        if top is not None:
-            before = before.fillna(top).clip(lower=top)
-        yield pd.DataFrame({"pos": rows["pos"], "repo_id": rows["repo_id"], "epoch_s": rows["epoch_s"], "late": (rows["epoch_s"] < before).fillna(False)})
-        state.update((max(int(rows["epoch_s"].max()), top if top is not None else int(rows["epoch_s"].min())),))
+    def mark(batch: DataFrame, number: int) -> None:
+        top = None
+        if number:
+            top = spark.read.schema("top long").parquet(f"{path}/tops").where(F.col("batch") < number).agg(F.max("top")).first()[0]
+        o = Ordered.by(batch.select(F.col("rn").alias("at"), "pos", "epoch_s"), "at")
+        o = o.running(F.col("epoch_s"), "before", "max", inclusive=False)
+        before = F.greatest("before", F.lit(top).cast("long"))
+        o.df.select("pos", "epoch_s", F.coalesce(F.col("epoch_s") < before, F.lit(False)).alias("late")).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        batch.agg(F.max("epoch_s").alias("top")).write.mode("overwrite").parquet(f"{path}/tops/batch={number}")
 
-    return stream.groupBy("repo_id").applyInPandasWithState(step, "pos long, repo_id long, epoch_s long, late boolean", "top long", "append", GroupStateTimeout.NoTimeout)
+    stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(mark).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("pos", "epoch_s", "late")
 
 
 def two_lag_deltas(stream: DataFrame) -> DataFrame:
@@ -50,9 +56,9 @@ def two_lag_deltas(stream: DataFrame) -> DataFrame:
 
 
 def tumbling_counts(stream: DataFrame, width: str) -> DataFrame:
-    """(hour, n) updates of counts in tumbling windows, hour being the window's start in epoch seconds."""
+    """(start, n) updates of counts in tumbling windows, start in epoch seconds."""
     timed = stream.withColumn("ts", F.timestamp_seconds("epoch_s"))
-    return timed.groupBy(F.window("ts", width)).agg(F.count("*").alias("n")).select(F.unix_seconds("window.start").alias("hour"), "n")
+    return timed.groupBy(F.window("ts", width)).agg(F.count("*").alias("n")).select(F.unix_seconds("window.start").alias("start"), "n")
 
 
 def run_available(stream: DataFrame, path: str, complete: bool = False) -> DataFrame:
@@ -74,16 +80,14 @@ def run_available(stream: DataFrame, path: str, complete: bool = False) -> DataF
 
 
 def encoded_batches(stream: DataFrame, codec, path: str) -> DataFrame:
-    """Each micro-batch encoded into its own table of sections, and all of them decoded again with n = 1 a row."""
-    spark, numbers = stream.sparkSession, []
+    """Each micro-batch encoded into sections of its own, and all of them decoded again, with the number of the batch.
+
+    The sections lie in one table partitioned by batch, read and decoded at once, so the plan is the same for any number of batches.
+    """
+    spark = stream.sparkSession
 
     def encode(batch: DataFrame, number: int) -> None:
         codec.encode(batch).write.mode("overwrite").parquet(f"{path}/sections/batch={number}")
-        numbers.append(number)
 
     stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(encode).start().awaitTermination()
-    out = spark.createDataFrame([], "id string, event_type string, repo_id long, repo_name string, epoch_s long, n int")
-    for k in sorted(set(numbers)):
-        part = codec.decode(spark.read.parquet(f"{path}/sections/batch={k}")).withColumn("n", F.lit(1))
-        out = out.unionByName(part)
-    return out
+    return codec.decode(spark.read.parquet(f"{path}/sections").withColumn("batch", F.col("batch").cast("long")), by="batch")
