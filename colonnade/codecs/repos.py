@@ -221,7 +221,10 @@ def gaps_decode(s, n):
 
 
 def marks_encode(ids, names):
-    """Owners by reference to the entry that first had them (0: a new one, case-folded), the owner within names marked and names case-folded; ids in byte planes."""
+    """Owners by reference to the entry that first had them (0: a new one, case-folded), the owner within names marked and names case-folded.
+
+    Ids in byte planes, but for those that their owner's entry before has too: a bitmap says which.
+    """
     owners, rests, slash = T.split_names(names)
     seen: dict[str, int] = {}
     refs, fresh = [], []
@@ -231,24 +234,33 @@ def marks_encode(ids, names):
         if k == len(fresh):
             fresh.append(o)
     texts = [T.folded(T.marked(o, r)) if has else "/" for o, r, has in zip(owners, rests, slash, strict=True)]
-    steps = I.zigzag(ids)
-    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(ids) else 1
-    return {"ids": bytes((width,)) + I.planes_encode(steps, width), "refs": I.varint_encode(np.array(refs, "i8")), "owners": _counted(len(fresh), T.joined_encode([T.folded(o) for o in fresh])), "names": T.joined_encode(texts)}
+    had: dict[str, int] = {}
+    again = np.zeros(len(ids), bool)
+    for k, (o, i) in enumerate(zip(owners, ids.tolist(), strict=True)):
+        again[k] = had.get(o) == i
+        had[o] = i
+    steps = I.zigzag(ids[~again])
+    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
+    return {"ids": E._framed(I.bitmap_encode(again), bytes((width,)) + I.planes_encode(steps, width)), "refs": I.varint_encode(np.array(refs, "i8")), "owners": _counted(len(fresh), T.joined_encode([T.folded(o) for o in fresh])), "names": T.joined_encode(texts)}
 
 
 def marks_decode(s, n):
     k, a = _count(s["owners"])
     fresh = [T.unfolded(o) for o in T.joined_decode(a, k)]
-    ids = I.unzigzag(I.planes_decode(s["ids"][1:], n, s["ids"][0]))
-    names, new = [], 0
-    for r, t in zip(I.varint_decode(s["refs"], n).tolist(), T.joined_decode(s["names"], n), strict=True):
+    bits, planes = E._unframed(s["ids"])
+    again = I.bitmap_decode(bits, n).astype(bool)
+    fewer = iter(I.unzigzag(I.planes_decode(planes[1:], int((~again).sum()), planes[0])).tolist())
+    ids, names, new, had = [], [], 0, {}
+    for r, t, same in zip(I.varint_decode(s["refs"], n).tolist(), T.joined_decode(s["names"], n), again.tolist(), strict=True):
         if r:
             o = fresh[r - 1]
         else:
             o = fresh[new]
             new += 1
+        ids.append(had[o] if same else next(fewer))
+        had[o] = ids[-1]
         names.append(o if t == "/" else f"{o}/{T.unmarked(o, T.unfolded(t))}")
-    return ids, names
+    return np.array(ids, "i8"), names
 
 
 def streams_encode(ids, names):
