@@ -30,7 +30,7 @@ import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,18 +55,24 @@ class Encoder:
     """Token ids of texts; texts that spell special tokens are ordinary text."""
 
     def __init__(self, vocabulary: str, ranks: str | None):
-        import public_tokenizers
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(vocabulary)
-        self.exact.encode_special_tokens = True
-        self.fast = None
+        self.vocabulary, self.fast = vocabulary, None
         if ranks:
+            import public_tokenizers
+            import tiktoken
+
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    @cached_property
+    def exact(self):
+        """The tokenizers library's own; loaded by workers that meet a text for it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.vocabulary)
+        found.encode_special_tokens = True
+        return found
+
     def ids(self, text: str) -> list[int]:
         if self.fast is None or (len(text) >= LONG_RUN and _LONG_RUN.search(text)):
             return self.exact.encode(text, add_special_tokens=False).ids
