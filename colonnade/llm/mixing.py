@@ -9,9 +9,11 @@ A source whose target is q times its size repeats every document floor(q) times.
 source's documents in an order seeded by MD5, up to the target; the document that the end falls into gives the words before
 it. So a source's taken words equal its rounded target.
 
-Scale: the text column is only counted, never shuffled. Running sums are made within (source, cell), where a cell is one of
-4096 by hash, and a table of cell sums gives each cell its start, so a source with a third of all rows is spread over 4096
-groups. Targets join that table, and rows meet it once, on the keys of the running sums, so rows are shuffled once.
+Scale: the text column is only counted, never shuffled. ``mix`` counts words once and writes (id, source, size, draw); ``materialize``, which has
+to carry the texts, counts them once for the sums and once as it goes over the rows. Running sums are made within (source, cell), where
+a cell is one of 4096 by hash, and a table of cell sums gives each cell its start, so a source with a third of all rows is spread over 4096
+groups. There may be very many sources: they are numbered and summed up as ordered streams (``operators.order``), not in one task, and the
+level is one number. Targets join the table of cells, and rows meet it once, on the keys of the running sums, so rows are shuffled once.
 
 Defined results: null text has size 0 and takes nothing; a null source is a source of its own, last in order; repeated rows count
 once each; an empty table gives an empty result; other columns of the input do not matter, whatever their names.
@@ -23,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade.llm.words import WORD, word_count
+from colonnade.operators.order import Ordered, numbered
+from colonnade.session import shared_table
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -32,56 +36,57 @@ SEED = "mix-1"
 
 def source_targets(sizes: DataFrame, *, weights=WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(source, source_size, target) of a table (source, size); weights repeat over the sources in code point order, null last."""
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weighted = by_source.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), ((rank - 1) % len(weights) + 1).cast("int")))
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    filled = Window.orderBy("limit", F.col("source").asc_nulls_last())
-    before = filled.rowsBetween(Window.unboundedPreceding, -1)
-    from_here = filled.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = (
-        weighted.withColumn("cap", F.col("source_size") * max_epochs)
-        .withColumn("limit", F.col("cap") / F.col("w"))
-        .withColumn("all", F.sum("source_size").over(everything) * F.lit(float(budget)))
-        .withColumn("level", (F.col("all") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("w").over(from_here))
-        .withColumn("level", F.max(F.when(F.col("level") <= F.col("limit"), F.col("level"))).over(everything))
-    )
-    target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("w"), F.col("cap").cast("double")))
-    return level.select("source", "source_size", target.alias("target"))
-
-
-def mix(
-    docs: DataFrame, *, weights=WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, seed: str = SEED, keep: tuple[str, ...] = ()
-) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, whole, part) and the columns in ``keep``: ``whole`` repetitions, then ``part`` words."""
-    extra = {f"keep_{i}": F.col(c) for i, c in enumerate(keep)}
-    rows = docs.select(
-        F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("draw"), *[v.alias(k) for k, v in extra.items()]
-    ).withColumn("cell", F.substring("draw", 1, 3))
-    targets = source_targets(rows.select("source", "size"), weights=weights, budget=budget, max_epochs=max_epochs)
+    by_source = numbered(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), F.col("source").asc_nulls_last(), name="rank")
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    weighted = by_source.withColumn("w", w).withColumn("cap", F.col("source_size") * max_epochs).withColumn("limit", F.col("cap") / F.col("w"))
+    filled = Ordered.by(weighted, "limit", F.col("source").asc_nulls_last()).running(F.col("cap"), "full", inclusive=False).running(F.col("w"), "gone", inclusive=False)
+    everything = weighted.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    level = (F.lit(float(budget)) * F.lit(everything["size"] or 0) - F.col("full")) / (F.lit(everything["w"] or 0) - F.col("gone"))
+    found = filled.df.select("source", "source_size", "w", "cap", "limit", level.alias("level"))
+    reached = found.agg(F.max(F.when(F.col("level") <= F.col("limit"), F.col("level"))).alias("level")).first()["level"]
+    cap = F.col("cap").cast("double")
+    return found.select("source", "source_size", F.least(cap, F.coalesce(F.lit(reached).cast("double") * F.col("w"), cap)).alias("target"))
+
+
+def _counted(docs: DataFrame, seed: str) -> DataFrame:
+    """docs (doc_id, source, text and others) with the size of each row, its place in the seeded order and the cell of that."""
+    draw = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return docs.withColumn("size", word_count(F.col("text"))).withColumn("draw", draw).withColumn("cell", F.substring("draw", 1, 3))
+
+
+def _shares(rows: DataFrame, sums: DataFrame, weights, budget: float, max_epochs: int) -> DataFrame:
+    """rows of _counted with source_size, target, ``whole`` repetitions, then ``part`` words; sums: (source, cell, cell_size) of all rows."""
+    targets = source_targets(sums.select("source", F.col("cell_size").alias("size")), weights=weights, budget=budget, max_epochs=max_epochs)
     whole = F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0)).cast("long")
     targets = targets.withColumn("whole", whole).withColumn("cut", F.round("target").cast("long") - F.col("whole") * F.col("source_size"))
-    cells = rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     order = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("source", "cell", F.coalesce(F.sum("cell_size").over(order), F.lit(0)).alias("base"))
+    cells = sums.select("source", "cell", F.coalesce(F.sum("cell_size").over(order), F.lit(0)).alias("base"))
     t = targets.select(F.col("source").alias("t_source"), "source_size", "target", "whole", "cut")
     cells = cells.join(t, F.col("source").eqNullSafe(F.col("t_source"))).select(F.col("source").alias("c_source"), F.col("cell").alias("c_cell"), "base", "source_size", "target", "whole", "cut")
     within = Window.partitionBy("source", "cell").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = rows.withColumn("end", F.sum("size").over(within)).join(cells, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("cell") == F.col("c_cell")))
     start = F.col("base") + F.col("end") - F.col("size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("cut") - start)).cast("long")
+    return joined.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("cut") - start)).cast("long"))
+
+
+def mix(docs: DataFrame, *, weights=WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, whole, part): ``whole`` repetitions, then ``part`` words."""
+    rows = shared_table(_counted(docs.select("doc_id", "source", "text"), seed).drop("text"))
+    sums = rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     taken = F.col("whole") * F.col("size") + F.col("part")
-    return joined.withColumn("part", part).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "whole", "part", *[F.col(k).alias(c) for k, c in zip(extra, keep, strict=True)])
+    return _shares(rows, sums, weights, budget, max_epochs).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "whole", "part")
 
 
-def materialize(docs: DataFrame, **options) -> DataFrame:
+def materialize(docs: DataFrame, *, weights=WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mix itself: the rows of docs (doc_id, text, source and others), each as often as it is taken.
 
     A repetition that is taken in part keeps the text up to the end of its last word taken. ``n_chars`` follows the text where there is such a column.
     """
     names = docs.columns
-    safe = docs.select("doc_id", "source", "text", *[F.col(c).alias(f"own_{i}") for i, c in enumerate(names)])
-    mixed = mix(safe, keep=tuple(f"own_{i}" for i in range(len(names))), **options)
+    thin = _counted(docs.select("doc_id", "source", "text"), seed)
+    sums = shared_table(thin.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")))
+    rows = _counted(docs.select("doc_id", "source", "text", *[F.col(c).alias(f"own_{i}") for i, c in enumerate(names)]), seed).drop("text")
+    mixed = _shares(rows, sums, weights, budget, max_epochs)
     copies = mixed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("whole")))).where((F.col("copy") < F.col("whole")) | (F.col("part") > 0))
     cut = (F.col("copy") == F.col("whole")) & (F.col("part") < F.col("size"))
     own = {c: F.col(f"own_{i}") for i, c in enumerate(names)}
