@@ -105,7 +105,7 @@ def next_ids(ids: DataFrame) -> DataFrame:
     starts = counts.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"), F.sum("count").over(Window.partitionBy(F.lit(1))).alias("total"))
     ranked = placed.withColumn("part", part).join(starts, "part").select("doc_id", "n", (F.col("start") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"), "total")
     after = ranked.select(F.col("rank").alias("at"), F.col("doc_id").alias("next_id"))
-    return ranked.join(after, F.pmod(F.col("rank") + 1, F.col("total")) == F.col("at")).select("doc_id", "n", "next_id")
+    return ranked.hint("merge").join(after, F.pmod(F.col("rank") + 1, F.col("total")) == F.col("at")).select("doc_id", "n", "next_id")
 
 
 def tables(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
@@ -125,14 +125,16 @@ def within(queries: DataFrame, prints: DataFrame, *, radius: int = RADIUS, block
     keyed = lambda df, name: df.select(F.col("fp").alias(name), F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")).alias("key")) for t, m in enumerate(masks)])).alias("e")).select(name, "e.t", "e.key")
     x = F.col("query").bitwiseXOR(F.col("fp"))
     first = F.coalesce(*[F.when(x.bitwiseAND(F.lit(m).cast("bigint")) == 0, F.lit(t)) for t, m in enumerate(masks)])
-    pairs = keyed(queries, "query").join(keyed(prints.select("fp"), "fp"), ["t", "key"])
+    # both sides grow with the documents: never a broadcast, however small a size is guessed; a key with very many fingerprints is split by adaptive execution
+    pairs = keyed(queries, "query").hint("merge").join(keyed(prints.select("fp"), "fp").hint("merge"), ["t", "key"])
     return pairs.where((F.bit_count(x) <= radius) & (first == F.col("t"))).select("query", "fp", F.bit_count(x).alias("distance"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document: its fingerprint, that of its edited text, their likeness, that to the next document's, and n_near.
 
-    ``n_near`` is, for documents whose id is divisible by 20, how many other documents have fingerprints within RADIUS bits; else null.
+    ``class_id`` is the least id of the documents with the same fingerprint. For documents whose id is divisible by 20 ``n_near`` is how many
+    other documents have fingerprints within RADIUS bits and ``near_classes`` the ids of the other classes among them; else null.
     """
     # no alias where none is needed, or the two joins' shuffles of the same rows would not be recognised as one
     doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
@@ -140,19 +142,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     known = rows.where("doc_id IS NOT NULL")  # both joins below read the same shuffle of these
     ids = known.select("doc_id", F.char_length("text").cast("long").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
     chain = next_ids(ids).checkpoint()
-    heads = known.join(chain.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "n"), "doc_id").select("for_id", F.expr("left(text, cast(n div 3 AS int))").alias("head"))
+    heads = known.join(chain.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "n").hint("merge"), "doc_id").select("for_id", F.expr("left(text, cast(n div 3 AS int))").alias("head"))
     heads = heads.groupBy(F.col("for_id").alias("doc_id")).agg(F.min("head").alias("head"))
-    full = known.join(heads, "doc_id", "left").unionByName(rows.where("doc_id IS NULL").withColumn("head", F.lit(None).cast("string"))).withColumn("n_chars", F.char_length("text").cast("long"))
+    full = known.join(heads.hint("merge"), "doc_id", "left").unionByName(rows.where("doc_id IS NULL").withColumn("head", F.lit(None).cast("string"))).withColumn("n_chars", F.char_length("text").cast("long"))
     edited = F.expr("concat(left(text, cast(n_chars - n_chars div 3 AS int)), left(coalesce(head, ''), cast(n_chars div 3 AS int)))")
     both = full.select("doc_id", "n_chars", "text", edited.alias("edited"))
     done = shared_table(both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fp"), fingerprint(F.col("edited")).alias("efp")))
-    of_next = chain.select("doc_id", "next_id").join(done.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fp").alias("next_fp")), "next_id").select("doc_id", "next_fp")
-    prints = done.groupBy("fp").agg(F.count("*").alias("docs"))
+    of_next = chain.select("doc_id", "next_id").hint("merge").join(done.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fp").alias("next_fp")), "next_id").select("doc_id", "next_fp")
+    # a class: the documents of one fingerprint, named by the least id
+    prints = done.groupBy("fp").agg(F.count("*").alias("docs"), F.min("doc_id").alias("class_id"))
     asked = done.where(F.col("doc_id") % QUERY_EVERY == 0).select("fp").distinct()
-    near = within(asked, prints).join(prints, "fp").groupBy(F.col("query").alias("fp")).agg((F.sum("docs") - 1).alias("near"))
+    near = within(asked, prints).hint("merge").join(prints.hint("merge"), "fp").groupBy(F.col("query").alias("fp")).agg((F.sum("docs") - 1).alias("near"), F.sort_array(F.collect_list(F.when(F.col("distance") > 0, F.col("class_id")))).alias("near_classes"))
     return (
-        done.join(of_next, "doc_id", "left")
-        .join(near, "fp", "left")
+        done.join(of_next.hint("merge"), "doc_id", "left")
+        .join(prints.select("fp", "class_id").hint("merge"), "fp")
+        .join(near.hint("merge"), "fp", "left")
         .select(
             "doc_id",
             "n_chars",
@@ -161,6 +165,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             as_text(F.col("efp")).alias("edited_fingerprint"),
             likeness(F.col("fp"), F.col("efp")).alias("near_edited"),
             likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+            "class_id",
             F.when(F.col("doc_id") % QUERY_EVERY == 0, F.col("near")).alias("n_near"),
+            F.when(F.col("doc_id") % QUERY_EVERY == 0, F.col("near_classes")).alias("near_classes"),
         )
     )

@@ -24,6 +24,32 @@ def test_marginals_against_all_labellings():
             assert got == pytest.approx([w / sum(want) for w in want])
 
 
+SMALL = [
+    "<nav><a href=/a>Home</a></nav><article><p>A sentence of some words, as they come.</p></article>",
+    "<div class=ad>Buy now.</div><main><h1>Title</h1><p>A sentence of some words, as they come.</p></main>",
+    "<p>Short.</p><div class=content>A sentence of some words, as they come. Another one.</div>",
+    "<aside><a href=/x>Link</a></aside><section><p>Words and more words, in a row.</p></section>",
+]
+
+
+@pytest.mark.parametrize("html", SMALL)
+def test_main_text_against_all_labellings(html):
+    """The whole way from a page to its text, with every labelling of the tree weighed."""
+    import numpy as np
+
+    m, t = H.model(), H.parse(html)
+    n = len(t.tag)
+    evidence = np.exp(np.clip(H.node_features(t) @ m.weights, -8, 8))
+    mass, content = 0.0, [0.0] * n
+    for y in itertools.product(range(3), repeat=n):
+        p = m.root[y[0]] * math.prod(evidence[i][y[i]] for i in range(n)) * math.prod(m.ties[H.kind_of(t.tag[i])][y[t.parent[i]]][y[i]] for i in range(1, n))
+        mass += p
+        for i in range(n):
+            content[i] += p * (y[i] == H.CONTENT)
+    want = "\n\n".join(t.text[i] for i in range(n) if t.tag[i] == "block" and content[i] / mass >= 0.5)
+    assert H.main_text(html, m) == want
+
+
 def test_held_out_pages():
     m, rng = H.model(), random.Random(4321)
     right = blocks = whole = 0

@@ -59,6 +59,8 @@ def test_documents(spark):
     rng = random.Random(4)
     rows = [(i * 7 - 50, words(rng, rng.choice((0, 1, 4, 40, 200)))) for i in range(80)] + [(1000, None), (1001, "é" * 10), (1002, words(rng, 100))]
     rows += [(2000 + i, rows[40][1]) for i in range(5)]
+    long = words(rng, 1500)
+    rows += [(3000 + i, long + f" tail{i % 3}") for i in range(6)]
     out = {r.doc_id: r for r in S.fingerprints(docs_of(spark, rows)).collect()}
     text = {i: t or "" for i, t in rows}
     order = sorted(text, reverse=True)
@@ -73,6 +75,9 @@ def test_documents(spark):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
         assert (r.near_next == 1.0) == (fp[i] == fp[nxt])
         assert r.n_near == (sum((fp[i] ^ fp[j]).bit_count() <= 3 for j in text) - 1 if i % 20 == 0 else None)
+        near = {j for j in text if (fp[i] ^ fp[j]).bit_count() <= 3 and fp[i] != fp[j]}
+        assert r.class_id == min(j for j in text if fp[j] == fp[i])
+        assert r.near_classes == (sorted({out[j].class_id for j in near}) if i % 20 == 0 else None)
     assert len({out[2000 + i].fingerprint for i in range(5)}) == 1
     long = [i for i in text if len(text[i]) > 600]
     assert sum(out[i].near_edited for i in long) / len(long) > 0.5 > 0.25 > sum(out[i].near_next for i in long if i < 1900) / len(long)
