@@ -116,13 +116,13 @@ def w13(spark, d):
 
 @query(
     "w15_front_coding",
-    "WITH n AS (SELECT s, row_number() OVER (ORDER BY encode(s)) - 1 AS rn FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS s FROM documents WHERE doc_id % 10 = 0)), p AS (SELECT rn, s, CASE WHEN rn % 16 > 0 THEN lag(s) OVER (ORDER BY rn) END AS q FROM n), "
+    "WITH n AS (SELECT s, row_number() OVER (ORDER BY encode(s)) - 1 AS rn FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS s FROM documents)), p AS (SELECT rn, s, CASE WHEN rn % 16 > 0 THEN lag(s) OVER (ORDER BY rn) END AS q FROM n), "
     "c AS (SELECT rn, s, (CASE WHEN q IS NULL THEN 0 ELSE coalesce((SELECT min(i) FROM (SELECT unnest(range(1, least(strlen(s), strlen(q)) + 1)) AS i) WHERE substr(hex(encode(s)), 2 * i - 1, 2) <> substr(hex(encode(q)), 2 * i - 1, 2)) - 1, least(strlen(s), strlen(q))) END)::INT AS shared FROM p) "
     "SELECT rn::BIGINT AS rn, shared, substr(hex(encode(s)), 2 * shared + 1) AS rest, s AS value FROM c",
 )
 def w15(spark, d):
-    """Words of some documents in blocks of 16: bytes shared with the word before, the rest, and the words decoded from these."""
-    words = table(spark, d, "documents").where("doc_id % 10 = 0").select(F.explode(F.split("text", " ")).alias("s"))
+    """The documents' words in blocks of 16: bytes shared with the word before, the rest, and the words decoded from these."""
+    words = table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("s"))
     coded = R.front_coded(words, "s", 16)
     return coded.select("rn", "shared", F.hex("rest").alias("rest")).join(R.front_decoded(coded), "rn")
 

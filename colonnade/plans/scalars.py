@@ -220,13 +220,13 @@ def f09(spark, d):
     return o.select("pos", wide.alias("wide"), F.when(v.isin(0, 1, 2), v).otherwise(3).cast("int").alias("narrow"), F.when(z == 0, 0).when(z == 2, 1).when(z == 4, 2).otherwise(3).alias("ids"))
 
 
-_WORDS = "wd AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS s FROM documents WHERE doc_id % 10 = 0), nm AS (SELECT s, lag(s) OVER (ORDER BY encode(s)) AS q FROM wd)"
+_WORDS = "wd AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS s FROM documents), nm AS (SELECT s, lag(s) OVER (ORDER BY encode(s)) AS q FROM wd)"
 
 
 @query("f10_common_prefix", "WITH " + _WORDS + " SELECT s, (CASE WHEN q IS NULL THEN 0 ELSE coalesce((SELECT min(i) FROM (SELECT unnest(range(1, least(strlen(s), strlen(q)) + 1)) AS i) WHERE substr(hex(encode(s)), 2 * i - 1, 2) <> substr(hex(encode(q)), 2 * i - 1, 2)) - 1, least(strlen(s), strlen(q))) END)::INT AS shared FROM nm")
 def f10(spark, d):
-    """Bytes that each word shares with the one before it in order, of some documents' words in four languages."""
-    words = table(spark, d, "documents").where("doc_id % 10 = 0").select(F.explode(F.split("text", " ")).alias("s")).distinct()
+    """Bytes that each word of the documents, in four languages, shares with the one before it in order."""
+    words = table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("s")).distinct()
     o = Ordered.by(words, "s").lag("s", "q").df
     return o.select("s", names.prefix_bytes(F.col("s"), F.col("q")).alias("shared"))
 
