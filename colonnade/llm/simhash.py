@@ -34,6 +34,7 @@ SIZE = 5
 RADIUS = 3
 BLOCKS = 6
 QUERY_EVERY = 20
+HOT_PARTS, LEAST_PART = 1000, 1024
 _LANES, _GAP, _CHUNK = 4, 16, 32_767
 _MASK = sum(1 << (_GAP * k) for k in range(_LANES))
 
@@ -153,10 +154,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     prints = done.groupBy("fp").agg(F.count("*").alias("docs"), F.min("doc_id").alias("class_id"))
     asked = done.where(F.col("doc_id") % QUERY_EVERY == 0).select("fp").distinct()
     near = within(asked, prints).hint("merge").join(prints.hint("merge"), "fp").groupBy(F.col("query").alias("fp")).agg((F.sum("docs") - 1).alias("near"), F.sort_array(F.collect_list(F.when(F.col("distance") > 0, F.col("class_id")))).alias("near_classes"))
+    of_print = prints.join(near.hint("merge"), "fp", "left")
+    # the documents of a fingerprint with more than a part of all documents are dealt over several keys; there are fewer than HOT_PARTS such fingerprints
+    part = max(LEAST_PART, -(-done.count() // HOT_PARTS))
+    hot = F.broadcast(prints.where(F.col("docs") > part).select("fp", F.ceil(F.col("docs") / part).alias("parts")))
+    dealt = done.join(hot, "fp", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "edited_sha256"), "parts"), F.lit(0).cast("long"))).drop("parts")
+    of_print = of_print.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("docs") / part) - 1))).select("fp", "salt", "class_id", "near", "near_classes")
     return (
-        done.join(of_next.hint("merge"), "doc_id", "left")
-        .join(prints.select("fp", "class_id").hint("merge"), "fp")
-        .join(near.hint("merge"), "fp", "left")
+        dealt.join(of_next.hint("merge"), "doc_id", "left")
+        .join(of_print.hint("merge"), ["fp", "salt"])
         .select(
             "doc_id",
             "n_chars",

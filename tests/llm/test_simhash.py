@@ -2,6 +2,7 @@ import hashlib
 import random
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from colonnade.llm import simhash as S
@@ -55,7 +56,9 @@ def test_tables_find_all_within_the_radius(spark):
     assert len(list(combinations(range(6), 3))) == 20
 
 
-def test_documents(spark):
+@pytest.mark.parametrize("least_part", [S.LEAST_PART, 2])
+def test_documents(spark, monkeypatch, least_part):
+    monkeypatch.setattr(S, "LEAST_PART", least_part)  # 2: fingerprints of three documents are hot already
     rng = random.Random(4)
     rows = [(i * 7 - 50, words(rng, rng.choice((0, 1, 4, 40, 200)))) for i in range(80)] + [(1000, None), (1001, "é" * 10), (1002, words(rng, 100))]
     rows += [(2000 + i, rows[40][1]) for i in range(5)]
