@@ -599,7 +599,7 @@ CODECS: dict[str, EventCodec] = {
         Composition("permuted_times", "canonical", {"id": ADAPTIVE_IDS, "time": PERMUTED, "type": ANS, "repo": HYBRID}, R.GAPS, types="sorted"),
         Composition("back_references", "canonical", {"id": SIGNALS, "type_time": TYPE_AND_TIME, "repo": BACK_REFS}, R.MARKS, types="static", numbering="first"),
         Composition("packed_columns_mixed", "number", {"id": NUMERIC, "time": NUMERIC, "type": BYTES, "repo": U32}, R.TRANSFORMED, types="sorted", level=LZMA, levels=(("names", MIXED), ("type", MIXED))),
-        Composition("ans_columns", "number", {"id": IDS, "time": TIMES, "type": CONTEXTS, "repo": U32}, R.STREAMS, types="sorted", levels=(("owners", MIXED), ("kept", MIXED))),
+        Composition("ans_columns", "number", {"id": IDS, "time": TIMES, "type": CONTEXTS, "repo": U32}, R.STREAMS, types="sorted", levels=(("kept", MIXED),)),
     )
 }
 
