@@ -198,3 +198,18 @@ def test_json_lines(spark, tmp_path):
         p.write_text(good + "\n" + bad + "\n")
         with pytest.raises(Exception):
             read_json_lines(spark, str(p)).collect()
+
+
+def test_scratch_tables_are_dropped(spark):
+    from pathlib import Path
+
+    from colonnade.session import drop_folders, scratch_folders, shared_table
+
+    before = scratch_folders()
+    kept, gone = shared_table(spark.range(5)), shared_table(spark.range(7))
+    (first,) = [p for p in scratch_folders() - before if Path(p.removeprefix("file:")).exists() and spark.read.parquet(p).count() == 7]
+    drop_folders({first})
+    assert not Path(first.removeprefix("file:")).exists() and first not in scratch_folders()
+    assert kept.count() == 5
+    with pytest.raises(Exception):
+        gone.collect()
