@@ -105,3 +105,23 @@ def test_table(spark):
     want = PAGES["article"][1]
     assert out == [(1, "u", want, len(want)), (1, "u", want, len(want)), (2, "", "", 0), (3, "v", "", 0)]
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_a_thousand_odd_pages():
+    """Any mixture of tags, comments, quotes and text is read without an error, and text outside of hidden elements is not lost by the parser."""
+    rng, m = random.Random(12), H.model()
+    tags = "html head body title p div article br hr a b i li ul ol td tr table script style svg math noscript template select option textarea iframe form button nav main".split()
+    for k in range(1000):
+        parts = []
+        for _ in range(rng.randrange(0, 60)):
+            t = rng.choice(tags)
+            parts.append(rng.choice((f"<{t}>", f"</{t}>", f"<{t} class='x y'>", f'<{t} id="nav', f"<{t}/>", f"w{k} ", "<!-- c -->", "<!--", "-->", "<", "</", "&amp;", "&#x41;", "&bogus", '"', "'", ">", "<!doctype html>", "<?x?>", "\x00", "é漢")))
+        page = "".join(parts)
+        tree = H.parse(page)
+        assert all(p < i for i, p in enumerate(tree.parent)) and len(tree.tag) == len(tree.text)
+        H.main_text(page, m)
+    words = [f"word{i}" for i in range(300)]
+    shown = [t for t in tags if t not in H.HIDDEN | H.RAW | H.VOID]
+    for _ in range(200):
+        page = "".join(rng.choice((f"<{rng.choice(shown)}>", f"</{rng.choice(shown)}>")) * (rng.random() < 0.6) + w + " " for w in words)
+        assert " ".join(H.parse(page).text).split() == words
